@@ -5,8 +5,8 @@ rounded against each other: of two documents one takes over probability from the
 expected words stay the same, until one of them is 0 or 1. Chunks of FAN documents are folded this way, each leaving at
 most one undecided document, and those are folded again, level by level, as a reduction tree over (source, chunk). A
 chunk has about FAN rows whatever its source's share of the table, so a source with a third of all rows is folded by
-as many tasks as the rest. The root's undecided document is rounded by chance: a source's taken words differ from the
-target by less than its largest document.
+as many tasks as the rest. The root's one undecided document is rounded to the nearer end: a source's taken words differ
+from the target by at most half its largest document.
 
 Random numbers are hashes of ids, so reruns agree whatever the partitioning.
 
@@ -110,7 +110,7 @@ def pivotal_round(units: DataFrame, largest: int, fan: int = FAN, seed: int = 17
         done = folded.select("grp", F.explode("done").alias("u")).select("grp", "u.key", F.col("u.p").cast("int").alias("taken"))
         decided = done if decided is None else decided.unionAll(done)
         level_units = folded.filter("open is not null").select("grp", F.floor(F.col("chunk") / fan).cast("long").alias("chunk"), F.col("open").alias("u"))
-    last = level_units.select("grp", "u.key", (_chance(F.lit(seed + 2), F.col("u.key")) < F.col("u.p")).cast("int").alias("taken"))
+    last = level_units.select("grp", "u.key", (F.col("u.p") >= 0.5).cast("int").alias("taken"))
     return decided.unionAll(last)
 
 

@@ -10,12 +10,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.neighbour_quality import score_quality
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn_from=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.exact_dedup import exact_classes
 
     return exact_classes(_table(spark, sf_dir, "documents"), stays="max")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.token_files import read_token_files, write_token_files
+
+    files, by_rank = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    read = read_token_files(files, by_rank)
+    return read.select("doc_id", "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.piece_prefix import encode_decode
+
+    coded = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.doc_rules import apply_rules
+
+    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
@@ -24,7 +57,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbour_quality": op1_neighbour_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_files": op3_token_files,
+    "op7_piece_prefix": op7_piece_prefix,
+    "op8_boosted_rules": op8_boosted_rules,
     "op10_source_mix": op10_source_mix,
 }
 

@@ -69,8 +69,8 @@ def utf8(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that the texts of each have about `most` bytes at the most; a longer text stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut to about `most` bytes of text and `rows` rows at the most; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), batch.num_rows, start + rows)
             yield batch.slice(start, end - start)
             start = end
 
@@ -131,6 +131,25 @@ def windows(hashes: np.ndarray, doc_offsets: np.ndarray, width: int, seed: int =
     return keep, mix(total[keep])
 
 
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the lines between newlines, and n + 1 offsets of each text's lines; an empty text has one line."""
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+    ends = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
+    return starts, ends, np.searchsorted(breaks, offsets) + np.arange(len(offsets))
+
+
+def run_ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows sorted by the keys (the last first), stable, and which of them start a run of equal keys."""
+    order = np.lexsort(keys)
+    first = np.ones(len(order), bool)
+    if len(order):
+        first[1:] = False
+        for k in keys:
+            first[1:] |= k[order][1:] != k[order][:-1]
+    return order, first
+
+
 def doc_of(doc_offsets: np.ndarray) -> np.ndarray:
     """For each unit the number of its text within the batch."""
     sizes = np.diff(doc_offsets)
