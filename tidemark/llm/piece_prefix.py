@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -32,7 +32,22 @@ from pyspark.sql import functions as F
 from tidemark.llm import textkit as K
 
 SPACE = "▁"
-CACHED = 300_000
+CACHED = 600_000
+
+
+class _Filled(dict):
+    """A dict of at most `size` results of a function; it starts anew when full. Long keys are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self.make, self.size = make, size
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class PieceCodec:
@@ -60,11 +75,12 @@ class PieceCodec:
         self.chunk = re.compile(rf"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            if len(piece) == 1 or self.merge(piece) == [piece]:
-                self.automaton.add_word(piece, piece)
+            if len(piece) > 1 and self.merge(piece) == [piece]:
+                self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
-        self.fits = lru_cache(1 << 18)(lambda left, right: self.merge(left + right) == [left, right])
-        self.cache: dict[str, bytes] = {}
+        self.fits = lru_cache(1 << 19)(lambda left, right: self.merge(left + right) == [left, right])
+        self.token_ids = _Filled(lambda token: array("I", [self.ids[token]] if token in self.ids else [self.bytes[b] for b in token.encode()]).tobytes(), 1 << 18)
+        self.cache = _Filled(self.encode_chunk, CACHED)
 
     def merge(self, text: str) -> list[str]:
         """Merge neighbouring symbols by best score, then leftmost, until no pair is a piece."""
@@ -92,20 +108,22 @@ class PieceCodec:
         return [s for s in symbols if s is not None]
 
     def last_tokens(self, text: str) -> list[str]:
-        """For each prefix of the text the last token of its encoding; a character without a piece stands for itself."""
+        """For each prefix of the text the last token of its encoding.
+
+        The automaton holds the pieces of two characters and more; where none of them fits, the last token is the character.
+        """
         last: list[str] = []
-        ends: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
-        fits = self.fits
-        for end, found in enumerate(ends):
-            for piece in found:
-                before = end - len(piece)
-                if before < 0 or fits(last[before], piece):
-                    last.append(piece)
-                    break
-            else:
-                last.append(text[end])
+        known, fits = 0, self.fits
+        for end, (piece, size) in self.automaton.iter(text):
+            if end < known:
+                continue
+            if end > known:
+                last += text[known:end]
+                known = end
+            if size > end or fits(last[end - size], piece):
+                last.append(piece)
+                known += 1
+        last += text[known:]
         return last
 
     def encode_chunk(self, chunk: str) -> bytes:
@@ -115,30 +133,18 @@ class PieceCodec:
         else:
             last, tokens, end = self.last_tokens(chunk), [], len(chunk)
             while end:
-                tokens.append(last[end - 1])
-                end -= len(tokens[-1])
+                token = last[end - 1]
+                tokens.append(token)
+                end -= len(token)
             tokens.reverse()
-        ids = array("I")
-        for token in tokens:
-            i = self.ids.get(token)
-            ids.extend([i] if i is not None else [self.bytes[b] for b in token.encode()])
-        return ids.tobytes()
+        return b"".join(map(self.token_ids.__getitem__, tokens))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, uint32."""
         if not text:
             return np.empty(0, np.uint32)
-        cache, out = self.cache, []
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-            ids = cache.get(chunk)
-            if ids is None:
-                ids = self.encode_chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[chunk] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.uint32)
+        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE))
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), np.uint32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; sequences that are no encodings (special ids, broken bytes) go to the library."""
