@@ -34,6 +34,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import ngram_components
+
+    return ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_ngrams").alias("n_shingles"), "component_id")
+
+
 def op7_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op1_neighbour_quality": op1_neighbour_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op6_ngram_join": op6_ngram_join,
     "op7_piece_prefix": op7_piece_prefix,
     "op8_boosted_rules": op8_boosted_rules,
     "op10_source_mix": op10_source_mix,
