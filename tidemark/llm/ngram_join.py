@@ -77,7 +77,7 @@ def frequent_ngrams(rows: DataFrame, width: int, most: int = FREQUENT) -> np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, most=2 << 20):
             held += (sets := ngram_sets(*K.utf8(batch.column("text")), width))
             n += sum(map(len, sets))
             if n >= _FLUSH:
@@ -115,7 +115,7 @@ def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, most=2 << 20):
             sets = ngram_sets(*K.utf8(batch.column("text")), width)
             n = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate([*sets, np.empty(0, np.uint64)])
@@ -141,10 +141,11 @@ def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
 def _records(batch: pa.RecordBatch) -> np.ndarray:
     lists = batch.column("first")
     sizes = np.diff(lists.offsets.to_numpy())
-    out = np.empty(int(sizes.sum()), P.POSTING)
+    placed = "comp" in batch.schema.names
+    out = np.empty(int(sizes.sum()), P.PLACED if placed else P.POSTING)
     out["key"] = lists.flatten().to_numpy().view(np.uint64)
     out["pos"] = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    for name, column in (("node", "id"), ("size", "n"), ("comp", "comp")):
+    for name, column in [("node", "id"), ("size", "n")] + [("comp", "comp")] * placed:
         out[name] = np.repeat(batch.column(column).to_numpy(), sizes)
     return out
 
@@ -193,27 +194,32 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frequent = spark.sparkContext.broadcast(frequent_ngrams(rows, width))
     sets = materialise(set_table(rows, frequent, width, percent), "ngram_sets")
     classes = materialise(sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("id").alias("class_id")), "ngram_classes")
-    heads = materialise(sets.filter("n > 0").join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").select("id", "n", "first", "often").dropDuplicates(["id", "n"]), "ngram_heads")
-    sizes = heads.select("id", "n")
-    posted = heads.agg(F.sum(F.size("first"))).first()[0] or 0
+    heads = sets.filter("n > 0").join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
+    posted = sets.agg(F.sum(F.size("first"))).first()[0] or 0
     buckets = buckets or P.bucket_count(posted, int(spark.conf.get("spark.sql.shuffle.partitions")))
     near = near_sizes(percent)
-    often = heads.filter("size(often) > 0").select("id", "n", F.explode("often").alias("gram"))
+    often = materialise(heads.filter("size(often) > 0").select("id", "n", "often"), "frequent_heads").select("id", "n", F.explode("often").alias("gram"))
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
 
     # first round: every posting with its list's smallest document
-    rare = P.candidate_pairs(P.posting_rows(heads.withColumn("comp", F.col("id")), _records, buckets), near, cross=False)
+    rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), near, cross=False)
     leads = materialise(often.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("lead")), "frequent_leads")
-    with_lead = often.join(leads, "gram").filter((F.col("id") != F.col("lead.id")) & close(F.col("n"), F.col("lead.n")))
-    pairs = materialise(rare.unionAll(with_lead.select(F.col("lead.id").alias("a"), F.col("id").alias("b"))).distinct(), "star_pairs")
+    with_lead = often.join(leads, "gram").filter(F.col("id") != F.col("lead.id")).withColumn("near", close(F.col("n"), F.col("lead.n")))
+    pairs = rare.unionAll(with_lead.select(F.when(F.col("near"), F.col("lead.id")).otherwise(F.col("id")).alias("a"), F.col("id").alias("b")))
+    met = materialise(pairs.distinct(), "star_pairs")  # a pair of one id twice: it shares a list, but not with a near smallest document
+    free_shuffles(spark)
+    ids = materialise(met.select(F.col("a").alias("id")).unionAll(met.select(F.col("b").alias("id"))).distinct(), "met_ids")
+    fragments = materialise(fragment_sets(P.probably_in(rows, ids, "id").join(ids, "id", "left_semi"), width), "fragments")
+    sizes = materialise(sets.select("id", "n").join(ids, "id", "left_semi").dropDuplicates(["id"]), "met_sizes")
+    pairs = met.filter("a <> b")
+    links = materialise(verified(pairs, fragments, sizes, percent), "star_links")
     free_shuffles(spark)
-    links = materialise(_verify(rows, pairs, sizes, width, percent), "star_links")
 
     # second round: what is left between components
     labels = materialise(components(links), "star_components")
-    placed = heads.join(labels, heads["id"] == labels["node"], "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
+    placed = heads.join(ids, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
     placed = materialise(placed, "placed")
-    rare = P.candidate_pairs(P.posting_rows(placed, _records, buckets), near, cross=True)
+    rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), near, cross=True)
     some = placed.filter("size(often) > 0").select("id", "n", "comp", F.explode("often").alias("gram"))
     mixed = some.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("gram")
     some = materialise(some.join(mixed, "gram", "left_semi"), "frequent_left")
@@ -221,7 +227,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = some.join(other, "gram").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & close(F.col("n"), F.col("nb")))
     pairs = materialise(rare.unionAll(left.select(F.col("id").alias("a"), "b")).distinct().join(pairs, ["a", "b"], "left_anti"), "cross_pairs")
     free_shuffles(spark)
-    links = links.unionAll(materialise(_verify(rows, pairs, sizes, width, percent), "cross_links"))
+    links = links.unionAll(materialise(verified(pairs, fragments, sizes, percent), "cross_links"))
     labels = materialise(components(links), "ngram_components")
 
     by_class = classes.join(labels, classes["class_id"] == labels["node"], "left").select("key_a", "key_b", "n", "class_id", F.coalesce("root", "class_id").alias("component_id"))
@@ -229,12 +235,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_ngrams"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _verify(rows: DataFrame, pairs: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(fragment_sets(rows.join(ids, "id", "left_semi"), width), "fragments")
-    return verified(pairs, sets, sizes, percent)
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The input's rows and columns with the smallest id of each component only; rows with a null id stay."""
     found = ngram_components(docs, id_col, text_col, width, percent)

@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4"), ("comp", "<i8")])
+POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
+PLACED = np.dtype([*POSTING.descr, ("comp", "<i8")])
 PER_BUCKET = 400_000
 
 
@@ -38,15 +40,16 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def star_pairs(r: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Each node of a key with the key's smallest node."""
+    """Each node of a key with the key's smallest node; with itself where that one is not near."""
     r = r[np.lexsort((r["node"], r["key"]))]
     first = np.ones(len(r), bool)
     first[1:] = r["key"][1:] != r["key"][:-1]
     lead = r[np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))]
-    return _pairs(lead, r, near)
+    far = np.unique(r["node"][(lead["node"] != r["node"]) & ~near(lead, r)])
+    return np.concatenate([_pairs(lead, r, near), np.column_stack([far, far])])
 
 
-def cross_pairs(r: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 2_000_000) -> np.ndarray:
+def cross_pairs(r: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 250_000) -> np.ndarray:
     """All pairs of a key's nodes that are in different components and were not tested as star pairs, built in blocks."""
     r = r[np.lexsort((r["node"], r["key"]))]
     first = np.ones(len(r), bool)
@@ -80,7 +83,7 @@ def candidate_pairs(postings: DataFrame, near: Callable[[np.ndarray, np.ndarray]
     """(bucket, payload) rows to distinct (a, b)."""
 
     def run(table: pa.Table) -> pa.Table:
-        records = np.concatenate([np.frombuffer(x.as_buffer(), POSTING) for x in table.column("payload")])
+        records = np.concatenate([np.frombuffer(x.as_buffer(), PLACED if cross else POSTING) for x in table.column("payload")])
         keys, counts = np.unique(records["key"], return_counts=True)
         records = records[np.isin(records["key"], keys[counts > 1])]
         pairs = (cross_pairs if cross else star_pairs)(records, near)
@@ -96,3 +99,30 @@ def posting_rows(df: DataFrame, records_of: Callable[[pa.RecordBatch], np.ndarra
                 yield by_bucket(records_of(batch.slice(start, 2048)), buckets)
 
     return df.mapInArrow(run, "bucket int, payload binary")
+
+
+#: Bits of an id filter; its size is fixed, so it may always be sent to all tasks. With very many ids it lets all rows pass.
+FILTER_BITS = 1 << 25
+
+
+def _bit(ids, turn: int):
+    return F.pmod(F.xxhash64(F.lit(turn), ids), F.lit(FILTER_BITS))
+
+
+def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is in ids, and a few more: a fixed-size bit filter before a join that would move whole texts."""
+    bits = ids.select(F.explode(F.array(*[_bit(F.col(column), t) for t in range(2)])).alias("bit"))
+    found = bits.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    held, columns = rows.sparkSession.sparkContext.broadcast(words.view(np.uint64)), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = np.ones(batch.num_rows, bool)
+            for t in range(2):
+                bit = batch.column(f"__bit{t}").to_numpy()
+                passed &= (held.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.select(columns).filter(pa.array(passed))
+
+    return rows.select("*", *[_bit(F.col(column), t).alias(f"__bit{t}") for t in range(2)]).mapInArrow(run, rows.schema)
