@@ -202,7 +202,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
 
     # first round: every posting with its list's smallest document
-    rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), near, cross=False)
+    rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), near, False, P.POSTING)
     leads = materialise(often.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("lead")), "frequent_leads")
     with_lead = often.join(leads, "gram").filter(F.col("id") != F.col("lead.id")).withColumn("near", close(F.col("n"), F.col("lead.n")))
     pairs = rare.unionAll(with_lead.select(F.when(F.col("near"), F.col("lead.id")).otherwise(F.col("id")).alias("a"), F.col("id").alias("b")))
@@ -219,7 +219,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = materialise(components(links), "star_components")
     placed = heads.join(ids, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
     placed = materialise(placed, "placed")
-    rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), near, cross=True)
+    rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), near, True, P.PLACED)
     some = placed.filter("size(often) > 0").select("id", "n", "comp", F.explode("often").alias("gram"))
     mixed = some.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("gram")
     some = materialise(some.join(mixed, "gram", "left_semi"), "frequent_left")

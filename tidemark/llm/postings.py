@@ -79,11 +79,11 @@ def _pairs(a: np.ndarray, b: np.ndarray, near: Callable[[np.ndarray, np.ndarray]
     return np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
 
 
-def candidate_pairs(postings: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], cross: bool) -> DataFrame:
+def candidate_pairs(postings: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], cross: bool, kind: np.dtype) -> DataFrame:
     """(bucket, payload) rows to distinct (a, b)."""
 
     def run(table: pa.Table) -> pa.Table:
-        records = np.concatenate([np.frombuffer(x.as_buffer(), PLACED if cross else POSTING) for x in table.column("payload")])
+        records = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("payload")])
         keys, counts = np.unique(records["key"], return_counts=True)
         records = records[np.isin(records["key"], keys[counts > 1])]
         pairs = (cross_pairs if cross else star_pairs)(records, near)

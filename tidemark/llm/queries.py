@@ -34,6 +34,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_minhash import dedup_lines
+
+    cleaned = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.ngram_join import ngram_components
 
@@ -66,6 +73,7 @@ QUERIES = {
     "op1_neighbour_quality": op1_neighbour_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op4_line_minhash": op4_line_minhash,
     "op6_ngram_join": op6_ngram_join,
     "op7_piece_prefix": op7_piece_prefix,
     "op8_boosted_rules": op8_boosted_rules,
