@@ -127,7 +127,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 
 def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
-    """Postings by bucket; in bucket -1 the pairs of a slice's own lines with the smallest of their band there."""
+    """Postings by bucket; below 0 the pairs of a slice's own lines with the smallest of their band there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, most=2 << 20):
@@ -141,22 +141,16 @@ def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
             records = records[np.lexsort((records["node"], keys))]
             head = np.ones(len(records), bool)
             head[1:] = records["key"][1:] != records["key"][:-1]
-            pairs = P.star_pairs(records[~head | np.append(~head[1:], False)], _same)
+            pairs = P.star_pairs(records[~head | np.append(~head[1:], False)[: len(head)]], _same)
+            pairs = pairs[pairs[:, 2] > 0, :2].astype("<i8")
             yield P.by_bucket(records[head], buckets)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.astype("<i8").tobytes()], pa.binary())], names=["bucket", "payload"])
+            if len(pairs):
+                bucket = -1 - int(pairs[0].sum() % buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["bucket", "payload"])
 
     return rows.mapInArrow(run, "bucket int, payload binary")
 
 
-def _unpack_pairs(packed: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = np.frombuffer(b"".join(batch.column("payload").to_pylist()), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return packed.mapInArrow(run, "a long, b long")
-
-
 def line_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line) of the nodes, one row each."""
 
@@ -178,18 +172,16 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in K.slices(iter([whole]), text="la", most=1 << 20):
+            for batch in K.slices(iter([whole]), text="la", most=1 << 20, rows=4096):
                 n, sets = batch.num_rows, []
                 for side in ("la", "lb"):
                     data, offsets = K.utf8(batch.column(side))
                     hashes, cuts = shingles(data, K.Rolling(data), offsets[:-1], offsets[1:])
-                    row = K.doc_of(cuts)
-                    order, first = K.run_ranks(hashes, row)
-                    sets.append((row[order][first], hashes[order][first]))
-                row, hashes = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
-                order, first = K.run_ranks(hashes, row)
-                union = np.bincount(row[order][first], minlength=n)
-                common = np.bincount(row, minlength=n) - union
+                    # the row in the high bits of the hash: one plain sort finds the sets of all rows
+                    sets.append(K.distinct((K.doc_of(cuts).astype(np.uint64) << np.uint64(52)) | (hashes >> np.uint64(12))))
+                both = np.sort(np.concatenate(sets))
+                common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=n)
+                union = np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=n) - common
                 good = pa.array(100 * common >= percent * union)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
 
@@ -201,9 +193,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None
     """(node, root) of the lines that are similar to another line; rows: id, text."""
     spark = rows.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialise(band_postings(rows, buckets), "bands")
-    star = P.candidate_pairs(packed.filter("bucket >= 0"), _same, False, BAND).unionAll(_unpack_pairs(packed.filter("bucket < 0")))
-    pairs = materialise(star.distinct(), "line_stars")
+    pairs = materialise(P.candidate_pairs(band_postings(rows, buckets), _same, False, BAND).filter("a <> b").select("a", "b"), "line_stars")
     nodes = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "line_nodes")
     lines = materialise(line_texts(rows, nodes), "line_texts")
     free_shuffles(spark)
@@ -222,7 +212,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None
             yield P.by_bucket(records, buckets)
 
     cross = P.candidate_pairs(placed.mapInArrow(post, "bucket int, payload binary"), _same, True, PLACED_BAND)
-    cross = materialise(cross.join(pairs, ["a", "b"], "left_anti"), "line_cross")
+    cross = materialise(cross.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "line_cross")
     links = links.unionAll(materialise(verified(cross, lines, percent), "line_cross_links"))
     return materialise(components(links), "line_components")
 

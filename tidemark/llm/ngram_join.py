@@ -1,12 +1,13 @@
 """N-gram Jaccard join by vertical partitioning.
 
 N-grams have one global order: those of few documents by hash, then the frequent ones. Documents with the same n-gram
-set form a class, and only the class's smallest id goes on. Two sets of the wanted similarity share one of the first
-n - ceil(t n) + 1 n-grams of either, so only those are posted.
+set form a class, and only the class's smallest id goes on. Two sets of the wanted similarity share l of the first
+n - ceil(t n) + l n-grams of either, so only those are posted, with l = n / 25.
 
 Candidates come in two rounds. First each document is paired with the smallest document of each of its posting lists,
-which links large groups with as many pairs as members. The pairs of a list whose two ends are still in different
-components follow, all of them, so no link between components is lost; groups that the first round joined add none.
+which links large groups with as many pairs as members; pairs with few common lists wait. Then come all pairs of a
+list whose ends are still in different components, if they share l lists: no link between components is lost, and
+groups that the first round joined add none.
 
 A candidate pair is verified by fragments: the global order is cut into FRAGMENTS ranges, each document's set with it,
 and the overlap is counted in each fragment on its own and summed per pair. A pair whose first fragments leave no room
@@ -16,8 +17,8 @@ Frequent n-grams (by summed local counts, at most FREQUENT of them because their
 sent to all tasks; the documents that have one among their first n-grams are joined on it as ordinary rows.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; fewer words than the width count as
-one n-gram; equal sets are one class whatever their texts; rows that repeat an id are one document with the union of
-links; rows with a null id are dropped; an empty table gives an empty result; extra columns are ignored.
+one n-gram; equal sets are one class whatever their texts; rows that repeat an id count as
+versions of one document, of which any may make a link; rows with a null id are dropped; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> lis
     sets = []
     for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if b > a:
-            sets.append(np.unique(grams[a:b]))
+            sets.append(K.distinct(grams[a:b]))
         else:
             few = hashes[word_offsets[i] : word_offsets[i + 1]]
             total = np.zeros(min(1, len(few)), np.uint64)
@@ -87,7 +88,7 @@ def frequent_ngrams(rows: DataFrame, width: int, most: int = FREQUENT) -> np.nda
             yield report(held, n)
 
     def report(held: list[np.ndarray], n: int) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(held), return_counts=True)
+        grams, counts = K.counted(np.concatenate(held))
         often = counts >= 4
         grams, counts = grams[often].view(np.int64), counts[often].astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array([None, *grams], pa.int64()), pa.array([n, *counts], pa.int64())], names=["gram", "n"])
@@ -99,15 +100,19 @@ def frequent_ngrams(rows: DataFrame, width: int, most: int = FREQUENT) -> np.nda
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def near_sizes(percent: int):
-    """Whether two postings' sizes and positions leave room for the wanted overlap, if theirs is the first common n-gram."""
+POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<u2")])
+PLACED = np.dtype([*POSTING.descr, ("comp", "<i8")])
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        na, nb = a["size"].astype(np.int64), b["size"].astype(np.int64)
-        room = np.minimum(na - a["pos"], nb - b["pos"])
-        return (100 + percent) * room >= percent * (na + nb)
 
-    return near
+def least_common(n: int | Column) -> int | Column:
+    """How many of the posted n-grams two similar sets share at least, if the smaller of this number is taken of both."""
+    return max(1, n // 25) if isinstance(n, int) else F.greatest(F.lit(1), F.floor(n / 25))
+
+
+def near_sizes(percent: int) -> P.Near:
+    """Whether two sizes, kept as 2048 log2(n), leave room for the similarity."""
+    most = int(2048 * np.log2(100 / percent)) + 3
+    return lambda a, b: np.abs(a["size"].astype(np.int32) - b["size"].astype(np.int32)) <= most
 
 
 def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
@@ -126,7 +131,7 @@ def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
             for s in sets:
                 f = often[start : start + len(s)]
                 start += len(s)
-                wanted = len(s) - _least(len(s), percent) + 1 if len(s) else 0
+                wanted = len(s) - _least(len(s), percent) + least_common(len(s)) if len(s) else 0
                 rare = s[~f][:wanted]
                 out["first"].append(rare.view(np.int64))
                 out["often"].append(s[f][: wanted - len(rare)].view(np.int64))
@@ -142,11 +147,12 @@ def _records(batch: pa.RecordBatch) -> np.ndarray:
     lists = batch.column("first")
     sizes = np.diff(lists.offsets.to_numpy())
     placed = "comp" in batch.schema.names
-    out = np.empty(int(sizes.sum()), P.PLACED if placed else P.POSTING)
+    out = np.empty(int(sizes.sum()), PLACED if placed else POSTING)
     out["key"] = lists.flatten().to_numpy().view(np.uint64)
-    out["pos"] = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    for name, column in [("node", "id"), ("size", "n")] + [("comp", "comp")] * placed:
-        out[name] = np.repeat(batch.column(column).to_numpy(), sizes)
+    out["node"] = np.repeat(batch.column("id").to_numpy(), sizes)
+    out["size"] = np.repeat((2048 * np.log2(np.maximum(batch.column("n").to_numpy(), 1))).astype(np.uint16), sizes)
+    if placed:
+        out["comp"] = np.repeat(batch.column("comp").to_numpy(), sizes)
     return out
 
 
@@ -166,8 +172,17 @@ def fragment_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, fragment int, grams array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose summed overlap reaches the similarity."""
+def _fragments(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    return fragment_sets(P.probably_in(rows, ids, "id").join(ids, "id", "left_semi"), width).dropDuplicates(["id", "fragment"])
+
+
+def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    size_of = lambda c, n: sizes.select(F.col("id").alias(c), F.col("n").alias(n))
+    return pairs.join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose summed overlap reaches the similarity."""
 
     def overlaps(some: DataFrame, which: Column) -> DataFrame:
         part = sets.filter(which)
@@ -177,9 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
         sums = [F.sum(F.size(F.array_intersect("ga", "gb"))).alias("common"), F.sum(F.size("ga")).alias("part_a"), F.sum(F.size("gb")).alias("part_b")]
         return joined.groupBy("a", "b", "na", "nb").agg(*sums)
 
-    size_of = lambda c, n: sizes.select(F.col("id").alias(c), F.col("n").alias(n))
-    sized = pairs.join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
-    first = overlaps(sized, F.col("fragment") < FIRST_FRAGMENTS)
+    first = overlaps(pairs, F.col("fragment") < FIRST_FRAGMENTS)
     room = F.col("common") + F.least(F.col("na") - F.col("part_a"), F.col("nb") - F.col("part_b"))
     open_pairs = materialise(first.filter((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", F.col("common").alias("so_far")), "open_pairs")
     rest = overlaps(open_pairs.drop("so_far"), F.col("fragment") >= FIRST_FRAGMENTS)
@@ -193,41 +206,49 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = _rows(docs, id_col, text_col)
     frequent = spark.sparkContext.broadcast(frequent_ngrams(rows, width))
     sets = materialise(set_table(rows, frequent, width, percent), "ngram_sets")
-    classes = materialise(sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("id").alias("class_id")), "ngram_classes")
-    heads = sets.filter("n > 0").join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
+    classes = materialise(sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")), "ngram_classes")
+    copies = sets.filter("n > 0").select("id", "key_a", "key_b", "n").join(classes.filter("members > 1"), ["key_a", "key_b", "n"]).filter("id <> class_id")
+    copies = materialise(copies.select("id").distinct(), "ngram_copies")
+    heads = P.without(sets.filter("n > 0").select("id", "n", "first", "often"), copies, "id")
     posted = sets.agg(F.sum(F.size("first"))).first()[0] or 0
     buckets = buckets or P.bucket_count(posted, int(spark.conf.get("spark.sql.shuffle.partitions")))
     near = near_sizes(percent)
     often = materialise(heads.filter("size(often) > 0").select("id", "n", "often"), "frequent_heads").select("id", "n", F.explode("often").alias("gram"))
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    ids_of = lambda pairs: pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
 
     # first round: every posting with its list's smallest document
-    rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), near, False, P.POSTING)
+    rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), near, False, POSTING)
     leads = materialise(often.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("lead")), "frequent_leads")
-    with_lead = often.join(leads, "gram").filter(F.col("id") != F.col("lead.id")).withColumn("near", close(F.col("n"), F.col("lead.n")))
-    pairs = rare.unionAll(with_lead.select(F.when(F.col("near"), F.col("lead.id")).otherwise(F.col("id")).alias("a"), F.col("id").alias("b")))
-    met = materialise(pairs.distinct(), "star_pairs")  # a pair of one id twice: it shares a list, but not with a near smallest document
+    with_lead = often.join(leads, "gram").withColumn("other", F.col("id") != F.col("lead.id"))
+    with_lead = with_lead.filter(~F.col("other") | close(F.col("n"), F.col("lead.n"))).groupBy(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).agg(F.sum(F.col("other").cast("long")).alias("lists"))
+    star = materialise(rare.unionAll(with_lead).groupBy("a", "b").agg(F.sum("lists").alias("lists")), "star_pairs")
     free_shuffles(spark)
-    ids = materialise(met.select(F.col("a").alias("id")).unionAll(met.select(F.col("b").alias("id"))).distinct(), "met_ids")
-    fragments = materialise(fragment_sets(P.probably_in(rows, ids, "id").join(ids, "id", "left_semi"), width), "fragments")
-    sizes = materialise(sets.select("id", "n").join(ids, "id", "left_semi").dropDuplicates(["id"]), "met_sizes")
-    pairs = met.filter("a <> b")
-    links = materialise(verified(pairs, fragments, sizes, percent), "star_links")
+    met = materialise(ids_of(star), "met_ids")  # documents that share a posting list with another
+    sizes = materialise(sets.select("id", "n").join(met, "id", "left_semi").dropDuplicates(["id"]), "met_sizes")
+    star = materialise(_sized(star.filter("a <> b"), sizes).filter(F.col("lists") * 2 >= least_common(F.least("na", "nb"))).select("a", "b", "na", "nb"), "star_sized")
+    ids = materialise(ids_of(star), "star_ids")
+    fragments = materialise(_fragments(rows, ids, width), "star_fragments")
+    links = materialise(verified(star, fragments, percent), "star_links")
     free_shuffles(spark)
 
-    # second round: what is left between components
+    # second round: what is left between components, by the number of common lists, which is complete here
     labels = materialise(components(links), "star_components")
-    placed = heads.join(ids, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
+    placed = heads.join(met, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
     placed = materialise(placed, "placed")
-    rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), near, True, P.PLACED)
+    rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), near, True, PLACED)
     some = placed.filter("size(often) > 0").select("id", "n", "comp", F.explode("often").alias("gram"))
     mixed = some.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("gram")
     some = materialise(some.join(mixed, "gram", "left_semi"), "frequent_left")
     other = some.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     left = some.join(other, "gram").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & close(F.col("n"), F.col("nb")))
-    pairs = materialise(rare.unionAll(left.select(F.col("id").alias("a"), "b")).distinct().join(pairs, ["a", "b"], "left_anti"), "cross_pairs")
+    cross = rare.unionAll(left.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("lists"))).groupBy("a", "b").agg(F.sum("lists").alias("lists"))
+    cross = _sized(cross, sizes).filter(F.col("lists") >= least_common(F.least("na", "nb"))).select("a", "b", "na", "nb")
+    cross = materialise(cross.join(star, ["a", "b"], "left_anti"), "cross_pairs")
     free_shuffles(spark)
-    links = links.unionAll(materialise(verified(pairs, fragments, sizes, percent), "cross_links"))
+    more = materialise(ids_of(cross).join(ids, "id", "left_anti"), "cross_ids")
+    fragments = fragments.unionAll(materialise(_fragments(rows, more, width), "cross_fragments"))
+    links = links.unionAll(materialise(verified(cross, fragments, percent), "cross_links"))
     labels = materialise(components(links), "ngram_components")
 
     by_class = classes.join(labels, classes["class_id"] == labels["node"], "left").select("key_a", "key_b", "n", "class_id", F.coalesce("root", "class_id").alias("component_id"))

@@ -1,8 +1,8 @@
 """Candidate pairs from packed posting lists.
 
-A posting is a numpy record (key, node, size, pos, comp). Postings travel as binary rows of one bucket each, so that a
-bucket with a million of them is sorted by numpy instead of being a million rows. Keys that too many nodes share must
-not come here; callers send them another way.
+A posting is a numpy record of a key, a node and what a caller adds (a size, a component). Postings travel as binary
+rows of one bucket each, so that a bucket with a million of them is sorted by numpy instead of being a million rows.
+Keys that too many nodes share must not come here; callers send them another way.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
-PLACED = np.dtype([*POSTING.descr, ("comp", "<i8")])
+from tidemark.llm import textkit as K
+
+#: Which of the pairs of records may be candidates.
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 PER_BUCKET = 400_000
 
 
@@ -39,27 +41,30 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
 
 
-def star_pairs(r: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Each node of a key with the key's smallest node; with itself where that one is not near."""
+def _lists(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The records by key and node, and which of them are the first of their key."""
     r = r[np.lexsort((r["node"], r["key"]))]
     first = np.ones(len(r), bool)
     first[1:] = r["key"][1:] != r["key"][:-1]
+    return r, first
+
+
+def star_pairs(r: np.ndarray, near: Near) -> np.ndarray:
+    """(a, b, lists): each node of a key with the key's smallest node; (node, node, 0) of every node that shares a key."""
+    r, first = _lists(r)
     lead = r[np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))]
-    far = np.unique(r["node"][(lead["node"] != r["node"]) & ~near(lead, r)])
-    return np.concatenate([_pairs(lead, r, near), np.column_stack([far, far])])
+    alone = first & np.append(first[1:], True)[: len(r)]
+    nodes = K.distinct(r["node"][~alone])
+    return np.concatenate([_counted([_pairs(lead, r, near)]), np.column_stack([nodes, nodes, np.zeros_like(nodes)])])
 
 
-def cross_pairs(r: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 250_000) -> np.ndarray:
-    """All pairs of a key's nodes that are in different components and were not tested as star pairs, built in blocks."""
-    r = r[np.lexsort((r["node"], r["key"]))]
-    first = np.ones(len(r), bool)
-    first[1:] = r["key"][1:] != r["key"][:-1]
+def cross_pairs(r: np.ndarray, near: Near, block: int = 250_000) -> np.ndarray:
+    """(a, b, lists): all pairs of a key's nodes that are in different components, built in blocks."""
+    r, first = _lists(r)
+    if not len(r):
+        return np.empty((0, 3), np.int64)
     group = np.cumsum(first) - 1
-    sizes = np.bincount(group) if len(r) else np.zeros(0, np.int64)
-    start = np.flatnonzero(first)
-    place = np.arange(len(r)) - start[group] if len(r) else np.zeros(0, np.int64)
-    later = sizes[group] - place - 1 if len(r) else np.zeros(0, np.int64)
-    later = np.where(place > 0, later, 0)  # the first was paired with all as their star
+    later = np.bincount(group)[group] - (np.arange(len(r)) - np.flatnonzero(first)[group]) - 1
     found, at = [], 0
     ends = np.cumsum(later)
     while at < len(r):
@@ -70,29 +75,51 @@ def cross_pairs(r: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarr
         differ = r["comp"][left] != r["comp"][right]
         found.append(_pairs(r[left[differ]], r[right[differ]], near))
         at = to
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return _counted(found)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def _pairs(a: np.ndarray, b: np.ndarray, near: Near) -> np.ndarray:
     keep = (a["node"] != b["node"]) & near(a, b)
     a, b = a["node"][keep], b["node"][keep]
-    return np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+
+
+def _counted(parts: list[np.ndarray]) -> np.ndarray:
+    pairs = np.concatenate(parts)
+    order, first = _order(pairs)
+    starts = np.flatnonzero(first)
+    return np.column_stack([pairs[order][starts], np.diff(np.append(starts, len(pairs)))])
+
 
+def _order(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    first = np.ones(len(order), bool)
+    first[1:] = (pairs[order][1:] != pairs[order][:-1]).any(axis=1)
+    return order, first
 
-def candidate_pairs(postings: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], cross: bool, kind: np.dtype) -> DataFrame:
-    """(bucket, payload) rows to distinct (a, b)."""
+
+def candidate_pairs(postings: DataFrame, near: Near, cross: bool, kind: np.dtype) -> DataFrame:
+    """(bucket, payload) rows to distinct (a, b, lists); buckets below 0 hold pairs made before, as (a, b) of 64-bit integers."""
 
     def run(table: pa.Table) -> pa.Table:
-        records = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("payload")])
-        keys, counts = np.unique(records["key"], return_counts=True)
-        records = records[np.isin(records["key"], keys[counts > 1])]
-        pairs = (cross_pairs if cross else star_pairs)(records, near)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        payload = [x.as_buffer() for x in table.column("payload")]
+        if table.column("bucket")[0].as_py() < 0:
+            pairs = _counted([np.frombuffer(x, "<i8").reshape(-1, 2) for x in payload])
+        else:
+            records = np.concatenate([np.frombuffer(x, kind) for x in payload])
+            keys, counts = K.counted(records["key"])
+            shared = keys[counts > 1]
+            at = np.minimum(np.searchsorted(shared, records["key"]), max(len(shared) - 1, 0))
+            records = records[shared[at] == records["key"]] if len(shared) else records[:0]
+            pairs = (cross_pairs if cross else star_pairs)(records, near)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "lists": pairs[:, 2]})
 
-    return postings.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return postings.groupBy("bucket").applyInArrow(run, "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
 
 
 def posting_rows(df: DataFrame, records_of: Callable[[pa.RecordBatch], np.ndarray], buckets: int) -> DataFrame:
+    """(bucket, payload) rows of the records that each batch of df makes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
@@ -109,8 +136,8 @@ def _bit(ids, turn: int):
     return F.pmod(F.xxhash64(F.lit(turn), ids), F.lit(FILTER_BITS))
 
 
-def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose id is in ids, and a few more: a fixed-size bit filter before a join that would move whole texts."""
+def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows with `maybe`: false only if the row's id is not in ids. A fixed-size bit filter, sent to all tasks."""
     bits = ids.select(F.explode(F.array(*[_bit(F.col(column), t) for t in range(2)])).alias("bit"))
     found = bits.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
     words = np.zeros(FILTER_BITS // 64, np.int64)
@@ -123,6 +150,18 @@ def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
             for t in range(2):
                 bit = batch.column(f"__bit{t}").to_numpy()
                 passed &= (held.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select(columns).filter(pa.array(passed))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(passed)], names=[*columns, "maybe"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.select("*", *[_bit(F.col(column), t).alias(f"__bit{t}") for t in range(2)]).mapInArrow(run, f"{fields}, maybe boolean")
+
+
+def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is in ids, and a few more, before a join that would move whole texts."""
+    return maybe_in(rows, ids, column).filter("maybe").drop("maybe")
+
 
-    return rows.select("*", *[_bit(F.col(column), t).alias(f"__bit{t}") for t in range(2)]).mapInArrow(run, rows.schema)
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is not in ids; only those that the bit filter cannot tell are joined."""
+    marked = maybe_in(rows, ids, column)
+    return marked.filter("not maybe").drop("maybe").unionAll(marked.filter("maybe").drop("maybe").join(ids.select(column), column, "left_anti").select(*rows.columns))

@@ -139,6 +139,21 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(breaks, offsets) + np.arange(len(offsets))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a plain sort is many times faster here than numpy's hash-based unique."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return x[starts], np.diff(np.append(starts, len(x)))
+
+
 def run_ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows sorted by the keys (the last first), stable, and which of them start a run of equal keys."""
     order = np.lexsort(keys)
