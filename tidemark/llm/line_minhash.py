@@ -105,8 +105,8 @@ def bands(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(row, BANDS), keys.reshape(-1)
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.ones(len(a), bool)
+def _one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.ones(len(a), np.int64)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,7 +130,7 @@ def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
     """Postings by bucket; below 0 the pairs of a slice's own lines with the smallest of their band there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, most=2 << 20):
+        for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))
             _, _, starts, ends = stripped_lines(data, offsets)
             rolling = K.Rolling(data)
@@ -141,8 +141,8 @@ def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
             records = records[np.lexsort((records["node"], keys))]
             head = np.ones(len(records), bool)
             head[1:] = records["key"][1:] != records["key"][:-1]
-            pairs = P.star_pairs(records[~head | np.append(~head[1:], False)[: len(head)]], _same)
-            pairs = pairs[pairs[:, 2] > 0, :2].astype("<i8")
+            pairs = P.star_pairs(records[~head | np.append(~head[1:], False)[: len(head)]], _one)
+            pairs = np.ascontiguousarray(pairs[pairs[:, 2] > 0][:, [0, 1, 3]], "<i8")
             yield P.by_bucket(records[head], buckets)
             if len(pairs):
                 bucket = -1 - int(pairs[0].sum() % buckets)
@@ -153,18 +153,20 @@ def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
 
 def line_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line) of the nodes, one row each."""
+    passes = P.IdFilter(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))
             _, _, starts, ends = stripped_lines(data, offsets)
             found, first = np.unique(K.Rolling(data).of(starts, ends), return_index=True)
+            good = passes(found)
+            found, first = found[good], first[good]
             raw = data.tobytes()
             text = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(text, pa.binary()).cast(pa.string())], names=["node", "line"])
 
-    distinct = rows.select("text").mapInArrow(run, "node long, line string")
-    return P.probably_in(distinct, nodes, "node").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    return rows.select("text").mapInArrow(run, "node long, line string").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -193,7 +195,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None
     """(node, root) of the lines that are similar to another line; rows: id, text."""
     spark = rows.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = materialise(P.candidate_pairs(band_postings(rows, buckets), _same, False, BAND).filter("a <> b").select("a", "b"), "line_stars")
+    pairs = materialise(P.candidate_pairs(band_postings(rows, buckets), _one, False, BAND).filter("a <> b").select("a", "b"), "line_stars")
     nodes = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "line_nodes")
     lines = materialise(line_texts(rows, nodes), "line_texts")
     free_shuffles(spark)
@@ -202,7 +204,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None
     placed = lines.join(labels, "node", "left").select("node", F.col("line").alias("text"), F.coalesce("root", "node").alias("comp"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, most=2 << 20):
+        for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))
             line, keys = bands(*shingles(data, K.Rolling(data), offsets[:-1], offsets[1:]))
             records = np.empty(len(keys), PLACED_BAND)
@@ -211,7 +213,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None
                 records[name] = batch.column(name).to_numpy()[line]
             yield P.by_bucket(records, buckets)
 
-    cross = P.candidate_pairs(placed.mapInArrow(post, "bucket int, payload binary"), _same, True, PLACED_BAND)
+    cross = P.candidate_pairs(placed.mapInArrow(post, "bucket int, payload binary"), _one, True, PLACED_BAND)
     cross = materialise(cross.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "line_cross")
     links = links.unionAll(materialise(verified(cross, lines, percent), "line_cross_links"))
     return materialise(components(links), "line_components")

@@ -2,10 +2,11 @@
 
 N-grams have one global order: those of few documents by hash, then the frequent ones. Documents with the same n-gram
 set form a class, and only the class's smallest id goes on. Two sets of the wanted similarity share l of the first
-n - ceil(t n) + l n-grams of either, so only those are posted, with l = n / 25.
+n - ceil(t n) + l n-grams of either, so only those are posted, with l = n / 25
+(for small n up to n / 4).
 
-Candidates come in two rounds. First each document is paired with the smallest document of each of its posting lists,
-which links large groups with as many pairs as members; pairs with few common lists wait. Then come all pairs of a
+Candidates come in two rounds. First each document is paired with that one of its posting lists' smallest documents
+with which it shares most lists; that links large groups with as many pairs as members. Then come all pairs of a
 list whose ends are still in different components, if they share l lists: no link between components is lost, and
 groups that the first round joined add none.
 
@@ -78,7 +79,7 @@ def frequent_ngrams(rows: DataFrame, width: int, most: int = FREQUENT) -> np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in K.slices(batches, most=2 << 20):
+        for batch in K.slices(batches):
             held += (sets := ngram_sets(*K.utf8(batch.column("text")), width))
             n += sum(map(len, sets))
             if n >= _FLUSH:
@@ -104,15 +105,22 @@ POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<u2")])
 PLACED = np.dtype([*POSTING.descr, ("comp", "<i8")])
 
 
-def least_common(n: int | Column) -> int | Column:
+def least_common(n):
     """How many of the posted n-grams two similar sets share at least, if the smaller of this number is taken of both."""
-    return max(1, n // 25) if isinstance(n, int) else F.greatest(F.lit(1), F.floor(n / 25))
+    if isinstance(n, Column):
+        return F.greatest(F.floor(n / 25), F.least(F.floor(n / 4), F.lit(16)), F.lit(1))
+    return np.maximum(np.maximum(n // 25, np.minimum(n // 4, 16)), 1)
 
 
-def near_sizes(percent: int) -> P.Near:
-    """Whether two sizes, kept as 2048 log2(n), leave room for the similarity."""
+def needed(percent: int) -> P.Need:
+    """Common lists that two documents need by their sizes, kept as 2048 log2(n) rounded down; 0 if the sizes differ too much."""
     most = int(2048 * np.log2(100 / percent)) + 3
-    return lambda a, b: np.abs(a["size"].astype(np.int32) - b["size"].astype(np.int32)) <= most
+
+    def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = a["size"].astype(np.int64), b["size"].astype(np.int64)
+        return np.where(np.abs(x - y) <= most, least_common(np.floor(2 ** (np.minimum(x, y) / 2048) + 1e-9).astype(np.int64)), 0)
+
+    return need
 
 
 def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
@@ -120,7 +128,7 @@ def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
-        for batch in K.slices(batches, most=2 << 20):
+        for batch in K.slices(batches):
             sets = ngram_sets(*K.utf8(batch.column("text")), width)
             n = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate([*sets, np.empty(0, np.uint64)])
@@ -131,7 +139,7 @@ def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
             for s in sets:
                 f = often[start : start + len(s)]
                 start += len(s)
-                wanted = len(s) - _least(len(s), percent) + least_common(len(s)) if len(s) else 0
+                wanted = len(s) - _least(len(s), percent) + int(least_common(len(s))) if len(s) else 0
                 rare = s[~f][:wanted]
                 out["first"].append(rare.view(np.int64))
                 out["often"].append(s[f][: wanted - len(rare)].view(np.int64))
@@ -212,21 +220,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = P.without(sets.filter("n > 0").select("id", "n", "first", "often"), copies, "id")
     posted = sets.agg(F.sum(F.size("first"))).first()[0] or 0
     buckets = buckets or P.bucket_count(posted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    near = near_sizes(percent)
+    need = needed(percent)
     often = materialise(heads.filter("size(often) > 0").select("id", "n", "often"), "frequent_heads").select("id", "n", F.explode("often").alias("gram"))
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     ids_of = lambda pairs: pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
 
     # first round: every posting with its list's smallest document
-    rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), near, False, POSTING)
+    rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), need, False, POSTING)
     leads = materialise(often.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("lead")), "frequent_leads")
-    with_lead = often.join(leads, "gram").withColumn("other", F.col("id") != F.col("lead.id"))
-    with_lead = with_lead.filter(~F.col("other") | close(F.col("n"), F.col("lead.n"))).groupBy(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).agg(F.sum(F.col("other").cast("long")).alias("lists"))
-    star = materialise(rare.unionAll(with_lead).groupBy("a", "b").agg(F.sum("lists").alias("lists")), "star_pairs")
+    with_lead = often.join(leads, "gram").withColumn("other", F.col("id") != F.col("lead.id")).filter(~F.col("other") | close(F.col("n"), F.col("lead.n")))
+    lists, least = F.sum(F.col("other").cast("long")).alias("lists"), F.min(F.when(F.col("other"), least_common(F.least("n", "lead.n"))).otherwise(0)).alias("need")
+    with_lead = with_lead.groupBy(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).agg(lists, least)
+    star = materialise(P.summed(rare.unionAll(with_lead)), "star_pairs")
     free_shuffles(spark)
     met = materialise(ids_of(star), "met_ids")  # documents that share a posting list with another
     sizes = materialise(sets.select("id", "n").join(met, "id", "left_semi").dropDuplicates(["id"]), "met_sizes")
-    star = materialise(_sized(star.filter("a <> b"), sizes).filter(F.col("lists") * 2 >= least_common(F.least("na", "nb"))).select("a", "b", "na", "nb"), "star_sized")
+    best = star.filter((F.col("a") != F.col("b")) & (F.col("lists") * 2 >= F.col("need"))).groupBy("b").agg(F.max(F.struct("lists", (-F.col("a")).alias("a"))).alias("best"))
+    star = materialise(_sized(best.select((-F.col("best.a")).alias("a"), "b"), sizes), "star_sized")
     ids = materialise(ids_of(star), "star_ids")
     fragments = materialise(_fragments(rows, ids, width), "star_fragments")
     links = materialise(verified(star, fragments, percent), "star_links")
@@ -236,15 +246,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = materialise(components(links), "star_components")
     placed = heads.join(met, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
     placed = materialise(placed, "placed")
-    rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), near, True, PLACED)
+    rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), need, True, PLACED)
     some = placed.filter("size(often) > 0").select("id", "n", "comp", F.explode("often").alias("gram"))
     mixed = some.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("gram")
     some = materialise(some.join(mixed, "gram", "left_semi"), "frequent_left")
     other = some.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     left = some.join(other, "gram").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & close(F.col("n"), F.col("nb")))
-    cross = rare.unionAll(left.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("lists"))).groupBy("a", "b").agg(F.sum("lists").alias("lists"))
-    cross = _sized(cross, sizes).filter(F.col("lists") >= least_common(F.least("na", "nb"))).select("a", "b", "na", "nb")
-    cross = materialise(cross.join(star, ["a", "b"], "left_anti"), "cross_pairs")
+    left = left.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("lists"), F.min(least_common(F.least("n", "nb"))).alias("need"))
+    cross = _sized(P.summed(rare.unionAll(left)).filter("lists >= need").select("a", "b"), sizes)
+    cross = materialise(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross_pairs")
     free_shuffles(spark)
     more = materialise(ids_of(cross).join(ids, "id", "left_anti"), "cross_ids")
     fragments = fragments.unionAll(materialise(_fragments(rows, more, width), "cross_fragments"))

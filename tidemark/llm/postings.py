@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as K
 
-#: Which of the pairs of records may be candidates.
-Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Of pairs of records: how many common lists a candidate needs, 0 if it can be none.
+Need = Callable[[np.ndarray, np.ndarray], np.ndarray]
 PER_BUCKET = 400_000
 
 
@@ -49,20 +49,20 @@ def _lists(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, first
 
 
-def star_pairs(r: np.ndarray, near: Near) -> np.ndarray:
-    """(a, b, lists): each node of a key with the key's smallest node; (node, node, 0) of every node that shares a key."""
+def star_pairs(r: np.ndarray, need: Need) -> np.ndarray:
+    """(a, b, lists, need): each node of a key with the key's smallest node; (node, node, 0, 0) of every node that shares a key."""
     r, first = _lists(r)
     lead = r[np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))]
     alone = first & np.append(first[1:], True)[: len(r)]
     nodes = K.distinct(r["node"][~alone])
-    return np.concatenate([_counted([_pairs(lead, r, near)]), np.column_stack([nodes, nodes, np.zeros_like(nodes)])])
+    return np.concatenate([_counted([_pairs(lead, r, need)]), np.column_stack([nodes, nodes, np.zeros_like(nodes), np.zeros_like(nodes)])])
 
 
-def cross_pairs(r: np.ndarray, near: Near, block: int = 250_000) -> np.ndarray:
-    """(a, b, lists): all pairs of a key's nodes that are in different components, built in blocks."""
+def cross_pairs(r: np.ndarray, need: Need, block: int = 250_000) -> np.ndarray:
+    """(a, b, lists, need): all pairs of a key's nodes that are in different components, built in blocks."""
     r, first = _lists(r)
     if not len(r):
-        return np.empty((0, 3), np.int64)
+        return np.empty((0, 4), np.int64)
     group = np.cumsum(first) - 1
     later = np.bincount(group)[group] - (np.arange(len(r)) - np.flatnonzero(first)[group]) - 1
     found, at = [], 0
@@ -73,48 +73,55 @@ def cross_pairs(r: np.ndarray, near: Near, block: int = 250_000) -> np.ndarray:
         left = np.repeat(rows, later[rows])
         right = _expand(rows + 1, later[rows])
         differ = r["comp"][left] != r["comp"][right]
-        found.append(_pairs(r[left[differ]], r[right[differ]], near))
+        found.append(_pairs(r[left[differ]], r[right[differ]], need))
         at = to
     return _counted(found)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, near: Near) -> np.ndarray:
-    keep = (a["node"] != b["node"]) & near(a, b)
+def _pairs(a: np.ndarray, b: np.ndarray, need: Need) -> np.ndarray:
+    least = need(a, b)
+    keep = (a["node"] != b["node"]) & (least > 0)
     a, b = a["node"][keep], b["node"][keep]
-    return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+    return np.column_stack([np.minimum(a, b), np.maximum(a, b), least[keep]])
 
 
 def _counted(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct (a, b, need) as (a, b, times, need)."""
     pairs = np.concatenate(parts)
     order, first = _order(pairs)
     starts = np.flatnonzero(first)
-    return np.column_stack([pairs[order][starts], np.diff(np.append(starts, len(pairs)))])
+    return np.column_stack([pairs[order][starts, :2], np.diff(np.append(starts, len(pairs))), pairs[order][starts, 2]])
 
 
 def _order(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     first = np.ones(len(order), bool)
-    first[1:] = (pairs[order][1:] != pairs[order][:-1]).any(axis=1)
+    first[1:] = (pairs[order][1:, :2] != pairs[order][:-1, :2]).any(axis=1)
     return order, first
 
 
-def candidate_pairs(postings: DataFrame, near: Near, cross: bool, kind: np.dtype) -> DataFrame:
-    """(bucket, payload) rows to distinct (a, b, lists); buckets below 0 hold pairs made before, as (a, b) of 64-bit integers."""
+def candidate_pairs(postings: DataFrame, need: Need, cross: bool, kind: np.dtype) -> DataFrame:
+    """(bucket, payload) rows to distinct (a, b, lists, need); buckets below 0 hold pairs made before, as (a, b, need) of 64-bit integers."""
 
     def run(table: pa.Table) -> pa.Table:
         payload = [x.as_buffer() for x in table.column("payload")]
         if table.column("bucket")[0].as_py() < 0:
-            pairs = _counted([np.frombuffer(x, "<i8").reshape(-1, 2) for x in payload])
+            pairs = _counted([np.frombuffer(x, "<i8").reshape(-1, 3) for x in payload])
         else:
             records = np.concatenate([np.frombuffer(x, kind) for x in payload])
             keys, counts = K.counted(records["key"])
             shared = keys[counts > 1]
             at = np.minimum(np.searchsorted(shared, records["key"]), max(len(shared) - 1, 0))
             records = records[shared[at] == records["key"]] if len(shared) else records[:0]
-            pairs = (cross_pairs if cross else star_pairs)(records, near)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "lists": pairs[:, 2]})
+            pairs = (cross_pairs if cross else star_pairs)(records, need)
+        return pa.table({name: pairs[:, i] for i, name in enumerate(("a", "b", "lists", "need"))})
 
-    return postings.groupBy("bucket").applyInArrow(run, "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
+    found = postings.groupBy("bucket").applyInArrow(run, "a long, b long, lists long, need long")
+    return summed(found)
+
+
+def summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"))
 
 
 def posting_rows(df: DataFrame, records_of: Callable[[pa.RecordBatch], np.ndarray], buckets: int) -> DataFrame:
@@ -132,36 +139,49 @@ def posting_rows(df: DataFrame, records_of: Callable[[pa.RecordBatch], np.ndarra
 FILTER_BITS = 1 << 25
 
 
-def _bit(ids, turn: int):
-    return F.pmod(F.xxhash64(F.lit(turn), ids), F.lit(FILTER_BITS))
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = K.mix(ids.view(np.uint64))
+    return (mixed & np.uint64(FILTER_BITS - 1)).astype(np.int64), (mixed >> np.uint64(39)).astype(np.int64)
+
+
+class IdFilter:
+    """A bit filter of ids, as broadcast words."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.concatenate(_bits(batch.column(0).to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.int64(1) << (bits & 63))], names=["word", "bits"])
+
+        found = ids.select(F.col(column).cast("long")).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        words = np.zeros(FILTER_BITS // 64, np.int64)
+        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        self.held = ids.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        """False only for ids that are not in the set."""
+        passed = np.ones(len(ids), bool)
+        for bit in _bits(np.ascontiguousarray(ids)):
+            passed &= (self.held.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return passed
 
 
-def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows with `maybe`: false only if the row's id is not in ids. A fixed-size bit filter, sent to all tasks."""
-    bits = ids.select(F.explode(F.array(*[_bit(F.col(column), t) for t in range(2)])).alias("bit"))
-    found = bits.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    held, columns = rows.sparkSession.sparkContext.broadcast(words.view(np.uint64)), rows.columns
+def _filtered(rows: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFrame:
+    passes = IdFilter(ids, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            passed = np.ones(batch.num_rows, bool)
-            for t in range(2):
-                bit = batch.column(f"__bit{t}").to_numpy()
-                passed &= (held.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(passed)], names=[*columns, "maybe"])
+            yield batch.filter(pa.array(passes(batch.column(column).to_numpy()) == keep))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.select("*", *[_bit(F.col(column), t).alias(f"__bit{t}") for t in range(2)]).mapInArrow(run, f"{fields}, maybe boolean")
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose id is in ids, and a few more, before a join that would move whole texts."""
-    return maybe_in(rows, ids, column).filter("maybe").drop("maybe")
+    return _filtered(rows, ids, column, True)
 
 
 def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose id is not in ids; only those that the bit filter cannot tell are joined."""
-    marked = maybe_in(rows, ids, column)
-    return marked.filter("not maybe").drop("maybe").unionAll(marked.filter("maybe").drop("maybe").join(ids.select(column), column, "left_anti").select(*rows.columns))
+    sure, open_rows = (_filtered(rows, ids, column, keep) for keep in (False, True))
+    return sure.unionAll(open_rows.join(ids.select(column), column, "left_anti").select(*rows.columns))
