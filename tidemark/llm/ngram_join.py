@@ -15,7 +15,8 @@ and the overlap is counted in each fragment on its own and summed per pair. A pa
 for the wanted overlap is dropped before the others are counted.
 
 Frequent n-grams (by summed local counts, at most FREQUENT of them because their least count grows with the input) are
-sent to all tasks; the documents that have one among their first n-grams are joined on it as ordinary rows.
+sent to all tasks. The documents that have one among their first n-grams and are still apart form families, which are
+compared block by block of BLOCK documents as matrix products of their fragments.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; fewer words than the width count as
 one n-gram; equal sets are one class whatever their texts; rows that repeat an id count as
@@ -39,6 +40,7 @@ from tidemark.llm.shared import free_shuffles, materialise
 WIDTH, PERCENT = 5, 80
 FREQUENT = 1_000_000
 FRAGMENTS, FIRST_FRAGMENTS = 8, 2
+BLOCK = 256
 _FLUSH = 3_000_000
 
 
@@ -208,6 +210,47 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.filter((100 + percent) * F.col("total") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _family_links(rows: DataFrame, members: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between the members (id, n, comp, family) of one family that are in different components.
+
+    A family is cut by size into classes and these into blocks of about `block` documents; a task gets two blocks whose
+    sizes may match and counts all overlaps of their documents fragment by fragment as matrix products, so pairs are
+    never rows.
+    """
+    step = float(np.log(100 / percent))
+    sized = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("long"))
+    counts = materialise(sized.groupBy("family", "class").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")), "family_blocks")
+    other = counts.select("family", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("with"), F.col("blocks").alias("with_blocks"))
+    own = sized.join(counts, ["family", "class"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    met = own.join(other, ["family", "class"]).withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("with_blocks") - 1)))
+    here, there = F.struct(F.col("class").alias("c"), F.col("own").alias("b")), F.struct(F.col("with").alias("c"), F.col("theirs").alias("b"))
+    met = met.select("id", "comp", "family", F.least(here, there).alias("x"), F.greatest(here, there).alias("y"), (here == F.least(here, there)).alias("left"))
+    sets = materialise(_fragments(rows, members.select("id").distinct(), width).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("parts")), "family_sets")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        is_left = np.array(table.column("left").to_pylist(), bool)
+        sets = [[np.array(p["grams"], np.int64) for p in parts] for parts in table.column("parts").to_pylist()]
+        left = np.flatnonzero(is_left)
+        right = left if same else np.flatnonzero(~is_left)
+        n = np.array([sum(map(len, s)) for s in sets])
+        common = np.zeros((len(left), len(right)), np.float32)
+        for f in range(FRAGMENTS):
+            grams = K.distinct(np.concatenate([s[f] for s in sets]))
+            seen = np.zeros((len(sets), len(grams)), np.float32)
+            for i, s in enumerate(sets):
+                seen[i, np.searchsorted(grams, s[f])] = 1
+            common += seen[left] @ seen[right].T
+        total = n[left][:, None] + n[right][None, :]
+        good = ((100 + percent) * common.astype(np.int64) >= percent * total) & (comps[left][:, None] != comps[right][None, :])
+        x, y = np.nonzero(good)
+        a, b = ids[left[x]], ids[right[y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return met.join(sets, "id").groupBy("family", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """One row per id: id, n_ngrams, class_id (smallest id with the same set), component_id."""
     spark = docs.sparkSession
@@ -248,17 +291,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = materialise(placed, "placed")
     rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), need, True, PLACED)
     some = placed.filter("size(often) > 0").select("id", "n", "comp", F.explode("often").alias("gram"))
-    mixed = some.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("gram")
-    some = materialise(some.join(mixed, "gram", "left_semi"), "frequent_left")
-    other = some.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    left = some.join(other, "gram").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & close(F.col("n"), F.col("nb")))
-    left = left.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("lists"), F.min(least_common(F.least("n", "nb"))).alias("need"))
-    cross = _sized(P.summed(rare.unionAll(left)).filter("lists >= need").select("a", "b"), sizes)
+    mixed = some.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("lead")).filter("c0 < c1").select("gram", "lead")
+    families = components(materialise(some.join(mixed, "gram").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "family_edges"))
+    members = placed.select("id", "n", "comp").join(materialise(families, "families"), F.col("id") == F.col("node")).select("id", "n", "comp", F.col("root").alias("family"))
+    family_links = materialise(_family_links(rows, materialise(members, "family_members"), width, percent), "family_links")
+    cross = _sized(rare.filter("lists >= need").select("a", "b"), sizes)
     cross = materialise(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross_pairs")
     free_shuffles(spark)
     more = materialise(ids_of(cross).join(ids, "id", "left_anti"), "cross_ids")
     fragments = fragments.unionAll(materialise(_fragments(rows, more, width), "cross_fragments"))
-    links = links.unionAll(materialise(verified(cross, fragments, percent), "cross_links"))
+    links = links.unionAll(materialise(verified(cross, fragments, percent), "cross_links")).unionAll(family_links)
     labels = materialise(components(links), "ngram_components")
 
     by_class = classes.join(labels, classes["class_id"] == labels["node"], "left").select("key_a", "key_b", "n", "class_id", F.coalesce("root", "class_id").alias("component_id"))

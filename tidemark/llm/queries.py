@@ -62,6 +62,13 @@ def op8_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprint_index import dedup_windows
+
+    cleaned = dedup_windows(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_piece_prefix": op7_piece_prefix,
     "op8_boosted_rules": op8_boosted_rules,
+    "op9_fingerprint_index": op9_fingerprint_index,
     "op10_source_mix": op10_source_mix,
 }
 
