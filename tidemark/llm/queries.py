@@ -41,6 +41,13 @@ def op4_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_ranges import dedup_bytes
+
+    cleaned = dedup_bytes(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.ngram_join import ngram_components
 
@@ -81,6 +88,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
     "op4_line_minhash": op4_line_minhash,
+    "op5_suffix_ranges": op5_suffix_ranges,
     "op6_ngram_join": op6_ngram_join,
     "op7_piece_prefix": op7_piece_prefix,
     "op8_boosted_rules": op8_boosted_rules,
