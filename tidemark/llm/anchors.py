@@ -79,3 +79,12 @@ def hash_rows(hashes: np.ndarray, buckets: int, extra: dict[str, int] | None = N
     parts = [x.tobytes() for x in np.split(hashes, starts[1:])] if len(used) else []
     more = {k: pa.array(np.full(len(used), v, np.int32)) for k, v in (extra or {}).items()}
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary()), *more.values()], names=["bucket", "payload", *more])
+
+
+def rows_by_doc(records: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Records with a field doc as (part, payload) rows, a part being some documents."""
+    part = (K.mix(np.ascontiguousarray(records["doc"]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    used, starts = np.unique(part[order], return_index=True)
+    payload = [x.tobytes() for x in np.split(records[order], starts[1:])] if len(used) else []
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])

@@ -29,11 +29,12 @@ from tidemark.llm import anchors as A
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
 from tidemark.llm.exact_dedup import exact_classes
-from tidemark.llm.shared import discard, free_shuffles, materialise, new_path
+from tidemark.llm.shared import discard, free_shuffles, materialise, new_path, small_batches
 
 WINDOW, ANCHOR = 20, 8
 FANOUT, BATCHES = 3, 4
 REPEAT = np.dtype([("key", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("start", "<i4")])
+START = np.dtype([("doc", "<i8"), ("start", "<i4")])
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +114,7 @@ def anchor_hashes(rows: DataFrame, buckets: int, window: int, anchor: int) -> Da
 
 
 def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, window: int, anchor: int) -> DataFrame:
-    """(doc, starts binary of 32-bit integers): windows that occur earlier; several rows per document."""
+    """(doc, starts binary of 32-bit integers): windows that occur earlier; one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
@@ -139,11 +140,18 @@ def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, wind
         if table.column("bucket")[0].as_py() >= 0:
             records, first = _first(records)
             records = records[~first]
+        out = np.empty(len(records), START)
+        out["doc"], out["start"] = records["doc"], records["start"]
+        return pa.Table.from_batches([A.rows_by_doc(out, buckets)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        records = np.concatenate([np.frombuffer(x.as_buffer(), START) for x in table.column("payload")])
         records = records[np.argsort(records["doc"], kind="stable")]
         docs, at = np.unique(records["doc"], return_index=True)
         return pa.table({"doc": docs, "starts": pa.array([x["start"].tobytes() for x in np.split(records, at[1:])] if len(docs) else [], pa.binary())})
 
-    return rows.mapInArrow(run, "bucket int, payload binary").groupBy("bucket").applyInArrow(judge, "doc long, starts binary")
+    found = rows.mapInArrow(run, "bucket int, payload binary").groupBy("bucket").applyInArrow(judge, "part int, payload binary")
+    return found.groupBy("part").applyInArrow(gather, "doc long, starts binary")
 
 
 def _first(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +165,7 @@ def _first(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept (the kept words joined by one space)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = materialise(exact_classes(rows, "id", "text", "min").select("id", "kept"), "window_classes")
@@ -171,7 +180,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         repeated = found if repeated is None else repeated.unionAll(found)
     repeats = A.RepeatFilter(repeated)
     starts = repeated_starts(heads, repeats, buckets, window, anchor)
-    gone = materialise(starts.groupBy(F.col("doc").alias("id")).agg(F.collect_list("starts").alias("starts")), "window_starts")
+    gone = materialise(starts.withColumnRenamed("doc", "id"), "window_starts")
     free_shuffles(spark)
     marked = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = marked.join(gone, "id", "left").join(copies.withColumn("copy", F.lit(True)), "id", "left").select("own", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
@@ -187,7 +196,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if copy and n >= window:
                     out = np.ones(n, bool)
                 elif found and not copy:
-                    out = K.cover(np.frombuffer(b"".join(found), "<i4").astype(np.int64), window, n)
+                    out = K.cover(np.frombuffer(found, "<i4").astype(np.int64), window, n)
                 else:
                     out = np.zeros(n, bool)
                 lost.append(int(out.sum()))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
 from tidemark.llm.components import components
-from tidemark.llm.shared import free_shuffles, materialise
+from tidemark.llm.shared import free_shuffles, materialise, small_batches
 
 SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 5, 16
@@ -194,6 +194,7 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """(node, root) of the lines that are similar to another line; rows: id, text."""
     spark = rows.sparkSession
+    small_batches(spark)
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = materialise(P.candidate_pairs(band_postings(rows, buckets), _one, False, BAND).filter("a <> b").select("a", "b"), "line_stars")
     nodes = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "line_nodes")

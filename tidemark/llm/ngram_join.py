@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
 from tidemark.llm.components import components
-from tidemark.llm.shared import free_shuffles, materialise
+from tidemark.llm.shared import free_shuffles, materialise, small_batches
 
 WIDTH, PERCENT = 5, 80
 FREQUENT = 1_000_000
@@ -254,6 +254,7 @@ def _family_links(rows: DataFrame, members: DataFrame, width: int, percent: int,
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """One row per id: id, n_ngrams, class_id (smallest id with the same set), component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = _rows(docs, id_col, text_col)
     frequent = spark.sparkContext.broadcast(frequent_ngrams(rows, width))
     sets = materialise(set_table(rows, frequent, width, percent), "ngram_sets")

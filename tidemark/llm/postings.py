@@ -18,7 +18,7 @@ from tidemark.llm import textkit as K
 
 #: Of pairs of records: how many common lists a candidate needs, 0 if it can be none.
 Need = Callable[[np.ndarray, np.ndarray], np.ndarray]
-PER_BUCKET = 400_000
+PER_BUCKET = 100_000
 
 
 def by_bucket(records: np.ndarray, buckets: int) -> pa.RecordBatch:

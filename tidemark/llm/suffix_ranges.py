@@ -32,7 +32,7 @@ from tidemark.llm import anchors as A
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
 from tidemark.llm.exact_dedup import exact_classes
-from tidemark.llm.shared import free_shuffles, materialise
+from tidemark.llm.shared import free_shuffles, materialise, small_batches
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
@@ -41,6 +41,7 @@ LEADING = 16
 SAMPLE = 20_000
 SUFFIX = np.dtype([("text", f"V{REACH + LENGTH}"), ("doc", "<i8"), ("at", "<i4"), ("low", "u1"), ("high", "u1")])
 FOUND = np.dtype([("doc", "<i8"), ("start", "<i4")])
+RUN = np.dtype([("doc", "<i8"), ("begin", "<i4"), ("end", "<i4")])
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,21 +192,21 @@ def _local(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return records[head | (records["doc"] == least)], out
 
 
-def _by_document(found: np.ndarray) -> pa.Table:
-    """(doc, starts, ends): maximal runs of removed bytes per document, as binary 32-bit integers."""
+def _runs(found: np.ndarray) -> np.ndarray:
+    """Maximal runs of bytes that the found strings cover."""
     found = found[np.lexsort((found["start"], found["doc"]))]
-    docs, at = np.unique(found["doc"], return_index=True)
-    begins, ends = [], []
-    for part in np.split(found["start"], at[1:]) if len(docs) else []:
-        part = part.astype(np.int64)
-        new = np.concatenate([[True], part[1:] > part[:-1] + LENGTH])
-        begins.append(part[new].astype("<i4").tobytes())
-        ends.append((part[np.append(np.flatnonzero(new)[1:] - 1, len(part) - 1)] + LENGTH).astype("<i4").tobytes())
-    return pa.table({"doc": docs, "begins": pa.array(begins, pa.binary()), "ends": pa.array(ends, pa.binary())})
+    start = found["start"].astype(np.int64)
+    new = np.ones(len(found), bool)
+    new[1:] = (found["doc"][1:] != found["doc"][:-1]) | (start[1:] > start[:-1] + LENGTH)
+    first = np.flatnonzero(new)
+    out = np.empty(len(first), RUN)
+    out["doc"], out["begin"] = found["doc"][first], start[first]
+    out["end"] = start[np.append(first[1:], len(found))[: len(first)] - 1] + LENGTH
+    return out
 
 
 def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
-    """(doc, begins, ends) of removed runs, several rows per document; rows: id, text with distinct texts."""
+    """(doc, begins, ends) of removed runs, one row per document; rows: id, text with distinct texts."""
     repeats = A.RepeatFilter(materialise(repeated_grams(rows, buckets), "repeated_grams"))
 
     # the sample: the beginnings of the suffixes with the smallest hashes, from all slices
@@ -223,7 +224,7 @@ def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
     splitters = np.array(sorted(set(cuts)), f"S{LEADING}") if cuts else np.empty(0, f"S{LEADING}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, most=1 << 19):
+        for batch in K.slices(batches):
             records, found = _local(_suffixes(batch, repeats))
             if len(records):
                 raw = np.ascontiguousarray(records["text"]).view(np.uint8).reshape(len(records), -1)
@@ -239,17 +240,24 @@ def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
     def judge(table: pa.Table) -> pa.Table:
         kind = SUFFIX if table.column("bucket")[0].as_py() >= 0 else FOUND
         records = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("payload")])
-        return _by_document(repeated_strings(records) if kind is SUFFIX else records)
+        return pa.Table.from_batches([A.rows_by_doc(_runs(repeated_strings(records) if kind is SUFFIX else records), buckets)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        runs = np.concatenate([np.frombuffer(x.as_buffer(), RUN) for x in table.column("payload")])
+        runs = runs[np.argsort(runs["doc"], kind="stable")]
+        docs, at = np.unique(runs["doc"], return_index=True)
+        parts = np.split(runs, at[1:]) if len(docs) else []
+        return pa.table({"doc": docs} | {f"{c}s": pa.array([x[c].tobytes() for x in parts], pa.binary()) for c in ("begin", "end")})
 
-    packed = rows.mapInArrow(run, "bucket int, payload binary")
-    return packed.groupBy("bucket").applyInArrow(judge, "doc long, begins binary, ends binary")
+    packed = rows.mapInArrow(run, "bucket int, payload binary").groupBy("bucket").applyInArrow(judge, "part int, payload binary")
+    return packed.groupBy("part").applyInArrow(gather, "doc long, begins binary, ends binary")
 
 
-def _merged(begins: list[bytes], ends: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged(begins: bytes, ends: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of what the given runs cover."""
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, np.frombuffer(b"".join(begins), "<i4"), 1)
-    np.add.at(change, np.frombuffer(b"".join(ends), "<i4"), -1)
+    np.add.at(change, np.frombuffer(begins, "<i4"), 1)
+    np.add.at(change, np.frombuffer(ends, "<i4"), -1)
     inside = np.concatenate([[0], np.cumsum(change[:n]) > 0, [0]]).astype(np.int8)
     step = np.diff(inside)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -258,13 +266,13 @@ def _merged(begins: list[bytes], ends: list[bytes], n: int) -> tuple[np.ndarray,
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept binary (what remains need not be valid UTF-8)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = materialise(exact_classes(rows, "id", "text", "min").select("id", "kept"), "byte_classes")
     copies = materialise(classes.filter("not kept").select("id").distinct(), "byte_copies")
     heads = P.without(rows, copies, "id")
-    gone = removed_runs(heads, buckets).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("begins", "ends")).alias("runs"))
-    gone = materialise(gone.select("id", "runs.begins", "runs.ends"), "byte_runs")
+    gone = materialise(removed_runs(heads, buckets).withColumnRenamed("doc", "id"), "byte_runs")
     free_shuffles(spark)
     marked = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = marked.join(gone, "id", "left").join(copies.withColumn("copy", F.lit(True)), "id", "left").select("own", "text", "begins", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))

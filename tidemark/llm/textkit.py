@@ -69,7 +69,7 @@ def utf8(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 19, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """The batches again, cut to about `most` bytes of text and `rows` rows at the most; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
