@@ -84,7 +84,7 @@ def simulate(bars: DataFrame, plans: DataFrame, holding: int, costs: Costs = Cos
     plans: (run_id, execution_date, code, place). A run's bars are those from its first execution on.
     """
     runs = plans.groupBy("run_id").agg(F.min("execution_date").alias("first"))
-    orders = plans.groupBy("run_id").agg(F.collect_list(F.struct("execution_date", "place", "code")).alias("orders"))
+    orders = plans.groupBy(F.concat("run_id").alias("run")).agg(F.collect_list(F.struct("execution_date", "place", "code")).alias("orders"))
     rows = tradable(bars).select("date", "code", "open", "close", "can_buy", "can_sell")
     joined = rows.crossJoin(F.broadcast(runs)).filter(F.col("date") >= F.col("first")).drop("first")
 
@@ -99,7 +99,7 @@ def simulate(bars: DataFrame, plans: DataFrame, holding: int, costs: Costs = Cos
         out = pd.DataFrame(simulate_run(own, targets, costs, last)[0])
         return out.assign(run_id=key[0])[["run_id", "date", "nav", "cash", "invested"]]
 
-    return joined.groupBy("run_id").cogroup(orders.groupBy("run_id")).applyInPandas(run, "run_id string, date date, nav double, cash double, invested double")
+    return joined.groupBy("run_id").cogroup(orders.groupBy("run")).applyInPandas(run, "run_id string, date date, nav double, cash double, invested double")
 
 
 def value_metrics(nav: DataFrame, capital: float, annual: int = 252) -> DataFrame:

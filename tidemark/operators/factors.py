@@ -15,8 +15,14 @@ FACTORS = [
     "amount_ratio_5_20", "turnover_mean_20", "intraday_range", "close_location", "open_gap", "amihud_20", "rsi_14", "turnover_1",
 ]
 CONTEXT = ["market_return_1", "market_breadth_up", "relative_return_1", "return_rank"]
-BY_CODE = W.partitionBy("code").orderBy("date")
-BY_DATE = W.partitionBy("date")
+
+
+def by_code():
+    return W.partitionBy("code").orderBy("date")
+
+
+def by_date():
+    return W.partitionBy("date")
 
 
 def valid_bars(rows: DataFrame) -> DataFrame:
@@ -26,25 +32,25 @@ def valid_bars(rows: DataFrame) -> DataFrame:
 
 def total_return(rows: DataFrame) -> DataFrame:
     """The index starts at 1 and grows by close / preclose; an exact product, no logarithms."""
-    step = F.when(F.row_number().over(BY_CODE) == 1, 1.0).otherwise(F.col("close") / F.col("preclose"))
-    return rows.withColumn("rn", F.row_number().over(BY_CODE).cast("long")).withColumn("__step", step).withColumn("tri", F.product("__step").over(BY_CODE.rowsBetween(W.unboundedPreceding, 0))).drop("__step")
+    step = F.when(F.row_number().over(by_code()) == 1, 1.0).otherwise(F.col("close") / F.col("preclose"))
+    return rows.withColumn("rn", F.row_number().over(by_code()).cast("long")).withColumn("__step", step).withColumn("tri", F.product("__step").over(by_code().rowsBetween(W.unboundedPreceding, 0))).drop("__step")
 
 
 def corporate_actions(rows: DataFrame) -> DataFrame:
     """(code, n) of precloses that differ from the close before."""
-    before = F.lag("close").over(BY_CODE)
+    before = F.lag("close").over(by_code())
     return rows.withColumn("__d", F.abs(F.try_divide("preclose", before) - 1)).withColumn("__b", before).groupBy("code").agg(F.count_if((F.col("__b") > 0) & (F.col("__d") > 1e-6)).alias("n_events"))
 
 
 def _mean(c: Column, k: int, least: int | None = None) -> Column:
-    return F.when(F.col("rn") >= (least or k), F.avg(c).over(BY_CODE.rowsBetween(-(k - 1), 0)))
+    return F.when(F.col("rn") >= (least or k), F.avg(c).over(by_code().rowsBetween(-(k - 1), 0)))
 
 
 def add_factors(rows: DataFrame) -> DataFrame:
     """All rolling factors share one exchange and one sort by code and date."""
-    r = rows.withColumn("ret", ratio(F.col("tri"), F.lag("tri").over(BY_CODE)))
-    span = lambda k: BY_CODE.rowsBetween(-(k - 1), 0)
-    move = lambda k: ratio(F.col("tri"), F.lag("tri", k).over(BY_CODE))
+    r = rows.withColumn("ret", ratio(F.col("tri"), F.lag("tri").over(by_code())))
+    span = lambda k: by_code().rowsBetween(-(k - 1), 0)
+    move = lambda k: ratio(F.col("tri"), F.lag("tri", k).over(by_code()))
     spread = lambda k: F.when(F.col("rn") >= k + 1, F.stddev_pop("ret").over(span(k)))
     over = lambda c, a, b: F.try_divide(_mean(F.col(c), a), F.nullif(_mean(F.col(c), b), F.lit(0.0)))
     gain, loss = _mean(F.greatest("ret", F.lit(0.0)), 14, 15), _mean(F.greatest(-F.col("ret"), F.lit(0.0)), 14, 15)
@@ -63,10 +69,10 @@ def add_context(rows: DataFrame) -> DataFrame:
     """Market return and breadth, deviation, ordinal rank by (return, code); defaults where undefined."""
     day = ratio(F.col("close"), F.col("preclose"))
     r = rows.withColumn("__r", day)
-    place = F.row_number().over(BY_DATE.orderBy("__r", "code")) - 1
+    place = F.row_number().over(by_date().orderBy("__r", "code")) - 1
     context = {
-        "market_return_1": F.avg("__r").over(BY_DATE), "market_breadth_up": F.avg((F.col("__r") > 0).cast("double")).over(BY_DATE),
-        "relative_return_1": F.col("__r") - F.avg("__r").over(BY_DATE), "return_rank": place / F.greatest(F.lit(1), F.count("__r").over(BY_DATE) - 1),
+        "market_return_1": F.avg("__r").over(by_date()), "market_breadth_up": F.avg((F.col("__r") > 0).cast("double")).over(by_date()),
+        "relative_return_1": F.col("__r") - F.avg("__r").over(by_date()), "return_rank": place / F.greatest(F.lit(1), F.count("__r").over(by_date()) - 1),
     }
     defaults = dict(zip(CONTEXT, (0.0, 0.5, 0.0, 0.5), strict=True))
     return r.withColumns({k: F.coalesce(F.when(F.col("__r").isNotNull(), v), F.lit(defaults[k])) for k, v in context.items()}).drop("__r")

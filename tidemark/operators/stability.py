@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+#: A correlation up to this is a rounding error of zero, not positive.
+NOISE = 1e-12
 
 
 def average_rank(part: list[str], value: str) -> Column:
@@ -41,7 +45,7 @@ def summary(ic: DataFrame, keys: list[str], annual: int = 252) -> DataFrame:
     spread = F.stddev_pop("ic")
     rate = F.when(spread > 1e-20, F.avg("ic") / spread)
     return ic.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("days"), F.avg("ic").alias("mean_ic"), F.median("ic").alias("median_ic"), spread.alias("std_ic"), rate.alias("ir"), (rate * math.sqrt(annual)).alias("annual_ir"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_ratio")
+        F.count(F.lit(1)).alias("days"), F.avg("ic").alias("mean_ic"), F.median("ic").alias("median_ic"), spread.alias("std_ic"), rate.alias("ir"), (rate * math.sqrt(annual)).alias("annual_ir"), F.avg((F.col("ic") > NOISE).cast("double")).alias("positive_ratio")
     )
 
 
@@ -60,7 +64,7 @@ def newey_west(ic: DataFrame, lag: int) -> DataFrame:
     return out.select("factor", F.col("n").alias("days"), "mean_ic", F.when((F.col("n") >= 2) & (variance > 1e-20), F.col("mean_ic") / F.sqrt(variance)).alias("t_stat"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(t: pd.Series) -> pd.Series:
     """two-sided p of a normal statistic, on summary rows only."""
     return t.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
@@ -72,7 +76,7 @@ def factor_pairs(rows: DataFrame, factors: list[str], least: int = 3) -> DataFra
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
     daily = ranked.groupBy("date").agg(F.count(F.lit(1)).alias("n"), *[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]).filter(F.col("n") >= least)
     long = daily.select(F.explode(F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(f"{a}|{b}").alias("r")) for a, b in pairs])).alias("p")).select("p.*").filter("r is not null")
-    return long.groupBy("factor_a", "factor_b").agg(F.count(F.lit(1)).alias("days"), F.avg("r").alias("mean_r"), F.avg(F.abs("r")).alias("mean_abs_r"), F.avg((F.col("r") > 0).cast("double")).alias("positive_ratio"))
+    return long.groupBy("factor_a", "factor_b").agg(F.count(F.lit(1)).alias("days"), F.avg("r").alias("mean_r"), F.avg(F.abs("r")).alias("mean_abs_r"), F.avg((F.col("r") > NOISE).cast("double")).alias("positive_ratio"))
 
 
 def stability(train: DataFrame, validation: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def bucket_means(rows: DataFrame, share: float = 0.2) -> DataFrame:
 
 def auc(rows: DataFrame) -> DataFrame:
     """Zero-based rank sum; NULL with one class only. rows: (score, up)."""
-    ranked = rows.withColumn("r", average_rank([], "score")) if rows.columns else rows
+    ranked = rows.withColumn("r", average_rank([], "score"))
     p, n = F.sum("up"), F.sum(1 - F.col("up"))
     return ranked.agg(F.try_divide(F.sum(F.col("r") * F.col("up")) - p * (p - 1) / 2, (p * n).cast("double")).alias("auc"), p.alias("ups"), n.alias("downs"))
 
