@@ -142,7 +142,7 @@ def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, wind
             records = records[~first]
         out = np.empty(len(records), START)
         out["doc"], out["start"] = records["doc"], records["start"]
-        return pa.Table.from_batches([A.rows_by_doc(out, buckets)])
+        return pa.Table.from_batches([A.rows_by_doc(out, max(8, buckets // 16))])
 
     def gather(table: pa.Table) -> pa.Table:
         records = np.concatenate([np.frombuffer(x.as_buffer(), START) for x in table.column("payload")])
