@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import textkit as K
 from tidemark.llm.shared import materialise
 
-CACHED = 300_000
+CACHED = 600_000
+JOINED = 500
 #: Row c: the lengths in bytes of the four ids that control byte c describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -51,9 +52,16 @@ class WordCache:
             ids.clear()
             ids[""] = b""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words} - ids.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids[word] = np.array(found.ids, np.uint32).tobytes()
+        new = list(set().union(*split).difference(ids))
+        for start in range(0, len(new), JOINED):
+            part = new[start : start + JOINED]
+            # many new words in one call; a token belongs to the word in whose span it starts
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            data = np.array(found.ids, np.uint32).tobytes()
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+            ids.update(zip(part, [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
@@ -62,16 +70,18 @@ def word_cache(tokenizer_file: str) -> WordCache:
     return WordCache(tokenizer_file)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of a document's ranked ids."""
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of many documents' ranked ids laid end to end, and how many of each a document has."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    lengths = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = lengths - 1
+    blocks = -(-counts // 4)
+    shift = (np.cumsum(blocks) - blocks) * 4 - (np.cumsum(counts) - counts)
+    codes = np.zeros(int(blocks.sum()) * 4, np.uint8)
+    codes[np.arange(len(ranks)) + np.repeat(shift, counts)] = lengths - 1
     codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.tobytes(), data.tobytes()
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+    return codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6, data, blocks, np.diff(ends)
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -92,6 +102,12 @@ def _binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
+def _cut(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive pieces of the bytes as binary values."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ids (little-endian 32-bit, the end id last)."""
     end = np.array([end_id], np.uint32).tobytes()
@@ -148,12 +164,12 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, id_col:
         for batch in batches:
             data, offsets = _concatenated(batch.column("ids"))
             ranked, offsets = ranks.value[data.view("<u4")], offsets // 4
-            packed = [pack(ranked[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             n = np.diff(offsets)
+            control, coded, blocks, sizes = pack(ranked, n)
             starts = position + np.cumsum(n) - n
             position += int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id"), pa.array(n), _binary([x[0] for x in packed]), _binary([x[1] for x in packed])],
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id"), pa.array(n), _cut(control, blocks), _cut(coded, sizes)],
                 names=["part", "position", "doc_id", "n_tokens", "control", "data"],
             )
 
@@ -171,9 +187,8 @@ def read_token_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = batch.column("n_tokens").to_numpy()
-            ids = names.value[unpack(_concatenated(batch.column("control"))[0], _concatenated(batch.column("data"))[0], counts)].tobytes()
-            ends = np.cumsum(counts) * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), _binary([ids[e - 4 * n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)])], names=["doc_id", "start", "ids"])
+            ids = names.value[unpack(_concatenated(batch.column("control"))[0], _concatenated(batch.column("data"))[0], counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), _cut(ids.astype("<u4").view(np.uint8), counts * 4)], names=["doc_id", "start", "ids"])
 
     # one row per file: always small enough to send along
     placed = files.join(F.broadcast(before), F.col("part") == F.col("__part")).select("doc_id", (F.col("position") + F.col("before")).alias("start"), "n_tokens", "control", "data")
