@@ -24,7 +24,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects; learnt as in its own query."""
     scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn_from=~held_out())
     rejected = scored.filter(F.col("score") < LEAST_SCORE).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("__rejected")), "left_anti")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__rejected"]), "left_anti")
 
 
 def dedup_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,4 +48,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input's rows and columns without the copies."""
     kept = exact_classes(docs, id_col, text_col, stays).filter("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__keep")) & (sha == F.col("__sha")), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]) & (sha == kept["__sha"]), "left_semi")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
@@ -237,7 +238,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input's rows and columns with the lines removed from the text, and n_lines and n_removed behind them."""
     gone = removed_lines(docs, id_col, text_col, percent).withColumnRenamed("id", "__id")
     columns, place = docs.columns, docs.columns.index(text_col)
-    schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,4 +255,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays[place] = pa.array(texts, arrays[place].type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*columns, "n_lines", "n_removed"])
 
-    return docs.join(gone, docs[id_col] == gone["__id"], "left").drop("__id").mapInArrow(run, schema)
+    return docs.join(gone, docs[id_col] == gone["__id"], "left").select(*[docs[c] for c in columns], gone["gone"]).mapInArrow(run, schema)

@@ -138,5 +138,6 @@ def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The input's rows and columns, each row as often as the mix takes it."""
     copies = mix(docs, id_col, text_col, source_col, most, seed).filter("copies > 0")
     copies = copies.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "copies").distinct().withColumnRenamed("copies", "__copies")
-    match = docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].eqNullSafe(F.col("__source")) & (word_count(docs[text_col]) == F.col("__size"))
-    return docs.join(copies, match).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[c] for c in docs.columns])
+    match = docs[id_col].eqNullSafe(copies["__id"]) & docs[source_col].eqNullSafe(copies["__source"]) & (word_count(docs[text_col]) == copies["__size"])
+    turn = "_".join(["turn", *docs.columns])  # no column of the input can have this name
+    return docs.join(copies, match).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies["__copies"])).alias(turn)).drop(turn)

@@ -313,4 +313,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The input's rows and columns with the smallest id of each component only; rows with a null id stay."""
     found = ngram_components(docs, id_col, text_col, width, percent)
     gone = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
