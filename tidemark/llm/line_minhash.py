@@ -8,9 +8,12 @@ have both, so a similar pair always has signatures of one kind in common; at the
 band with a probability of 0.998.
 
 Candidates come in two rounds, as in the n-gram join: each node with the smallest of its band (first within a slice of
-the input, then over all, so a band that very many lines share is small when it is gathered), then all pairs of a band
-that are still in different components. Every candidate is verified by the Jaccard similarity of the shingle sets. Of a
-component the occurrence with the smallest (id, line number) stays.
+the input, then over all, so a band that very many lines share is small when it is gathered), then, in bands of three
+nodes or more, all pairs that are still in different components. A node has a sketch: the size of its shingle set and
+WORDS * 64 bits, of which each shingle sets one. Two sets differ in at least as many shingles as their sketches in bits,
+so a sketch that differs too much rules a pair out for certain, before the pair becomes a row (second round) or meets
+its texts (first round). Every other candidate is verified by the Jaccard similarity of the shingle sets. Of a component
+the occurrence with the smallest (id, line number) stays.
 
 Defined cases: null and empty texts have one line without a word; rows with a null id are kept as they are and take no
 part; rows that repeat an id are judged as the same lines; an empty table gives an empty result; other columns,
@@ -36,9 +39,12 @@ SHINGLE, PERCENT = 5, 80
 ROWS, BANDS = 5, 16
 SIZE = ROWS * BANDS
 SHORT, LONG = 128, 160
-BAND = np.dtype([("key", "<u8"), ("node", "<i8")])
-PLACED_BAND = np.dtype([*BAND.descr, ("comp", "<i8")])
-_TURNS = np.random.default_rng(23).integers(1, 2**63, (2, SIZE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WORDS = 8
+_BITS = [f"bits_{i}" for i in range(WORDS)]
+#: more: how many other nodes of the band stayed in the slice, 2 if it were more
+BAND = np.dtype([("key", "<u8"), ("node", "<i8"), ("more", "u1")])
+PLACED_BAND = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("size", "<i8"), ("bits", "<u8", (WORDS,))])
+_TURNS = np.random.default_rng(23).integers(1, 2**31, (2, SIZE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def stripped_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +76,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     few = np.flatnonzero(n <= LONG)
     if len(few):
         inside = n[row] <= LONG
-        some = hashes[inside]
+        some = (hashes[inside] >> np.uint64(32)).astype(np.uint32)
         cuts = np.concatenate([[0], np.cumsum(n[few])[:-1]])
         values = np.empty((len(few), SIZE), np.uint64)
         for i in range(SIZE):
@@ -106,8 +112,33 @@ def bands(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(row, BANDS), keys.reshape(-1)
 
 
-def _one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.ones(len(a), np.int64)
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles (of 52 bits of their hash, as verified) and WORDS * 64 bits of each row."""
+    n = len(offsets) - 1
+    sizes, bits = np.empty(n, np.int64), np.zeros((n, WORDS * 64), np.uint8)
+    for start in range(0, n, 4096):  # the row in the high bits of the hash: one plain sort finds the sets of all rows
+        cuts = offsets[start : start + 4097] - offsets[start]
+        own = hashes[offsets[start] : offsets[start] + cuts[-1]]
+        found = K.distinct((K.doc_of(cuts).astype(np.uint64) << np.uint64(52)) | (own >> np.uint64(12)))
+        row = (found >> np.uint64(52)).astype(np.int64)
+        sizes[start : start + len(cuts) - 1] = np.bincount(row, minlength=len(cuts) - 1)
+        bits[start + row, (found & np.uint64(WORDS * 64 - 1)).astype(np.int64)] = 1
+    return sizes, np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+def may_match(percent: int) -> P.Need:
+    """1 for pairs of records whose sketches leave room for the similarity, else 0."""
+
+    def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(a["bits"] ^ b["bits"]).sum(axis=1, dtype=np.int64)
+        return _room(a["size"], b["size"], differ, percent).astype(np.int64)
+
+    return need
+
+
+def _room(x, y, differ, percent: int):
+    """Sets of x and y members that differ in `differ` at least: common <= (x + y - differ) / 2 and <= the smaller one."""
+    return ((100 + percent) * (x + y - differ) >= 2 * percent * (x + y)) & (100 * x >= percent * y) & (100 * y >= percent * x)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,13 +168,16 @@ def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
             rolling = K.Rolling(data)
             nodes, first = np.unique(rolling.of(starts, ends), return_index=True)
             line, keys = bands(*shingles(data, rolling, starts[first], ends[first]))
-            records = np.empty(len(keys), BAND)
+            records = np.zeros(len(keys), BAND)
             records["key"], records["node"] = keys, nodes[line].view(np.int64)
             records = records[np.lexsort((records["node"], keys))]
             head = np.ones(len(records), bool)
             head[1:] = records["key"][1:] != records["key"][:-1]
-            pairs = P.star_pairs(records[~head | np.append(~head[1:], False)[: len(head)]], _one)
-            pairs = np.ascontiguousarray(pairs[pairs[:, 2] > 0][:, [0, 1, 3]], "<i8")
+            starts = np.flatnonzero(head)
+            members = np.diff(np.append(starts, len(records)))
+            lead = records["node"][np.repeat(starts, members)]
+            records["more"][starts] = np.minimum(members - 1, 2)
+            pairs = np.ascontiguousarray(np.unique(np.column_stack([lead, records["node"]])[~head], axis=0), "<i8")
             yield P.by_bucket(records[head], buckets)
             if len(pairs):
                 bucket = -1 - int(pairs[0].sum() % buckets)
@@ -152,6 +186,57 @@ def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, payload binary")
 
 
+def stars(postings: DataFrame) -> DataFrame:
+    """(a, b, band): pairs of a node with the smallest of its band, or the key of a band of three nodes or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        payload = [x.as_buffer() for x in table.column("payload")]
+        if table.column("bucket")[0].as_py() < 0:
+            pairs, large = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in payload]), np.empty(0, np.uint64)
+        else:
+            r = np.concatenate([np.frombuffer(x, BAND) for x in payload])
+            keys, counts = K.counted(r["key"])
+            several = keys[counts > 1]
+            large = r["key"][r["more"] > 1]
+            kept = several[np.minimum(np.searchsorted(several, r["key"]), len(several) - 1)] == r["key"] if len(several) else np.zeros(len(r), bool)
+            r = r[kept]
+            r = r[np.lexsort((r["node"], r["key"]))]
+            head = np.ones(len(r), bool)
+            head[1:] = r["key"][1:] != r["key"][:-1]
+            starts = np.flatnonzero(head)
+            members = np.diff(np.append(starts, len(r)))
+            if len(starts):
+                # a node that several slices sent counts again, which only makes a band large too early
+                large = np.concatenate([large, r["key"][starts][members + np.add.reduceat(r["more"].astype(np.int64), starts) > 2]])
+            pairs = np.column_stack([r["node"][np.repeat(starts, members)], r["node"]])
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        large = np.unique(large).view(np.int64)
+        nothing = np.zeros(len(large), np.int64)
+        return pa.table({"a": np.append(pairs[:, 0], nothing), "b": np.append(pairs[:, 1], nothing), "band": pa.array([*[None] * len(pairs), *large.tolist()], pa.int64())})
+
+    return postings.groupBy("bucket").applyInArrow(run, "a long, b long, band long").distinct()
+
+
+def line_sketches(lines: DataFrame) -> DataFrame:
+    """(node, size, bits) of lines (node, line); bits as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, text="line"):
+            data, offsets = K.utf8(batch.column("line"))
+            sizes, bits = sketches(*shingles(data, K.Rolling(data), offsets[:-1], offsets[1:]))
+            columns = [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), *columns], names=["node", "size", *_BITS])
+
+    return lines.mapInArrow(run, "node long, size long, " + ", ".join(f"{x} long" for x in _BITS))
+
+
+def possible(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out."""
+    side = lambda c: sketched.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *_BITS)])
+    differ = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in _BITS[1:]), F.bit_count(F.col(f"a_{_BITS[0]}").bitwiseXOR(F.col(f"b_{_BITS[0]}"))))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_room(F.col("a_size"), F.col("b_size"), differ, percent)).select("a", "b")
+
+
 def line_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line) of the nodes, one row each."""
     passes = P.IdFilter(nodes, "node")
@@ -188,6 +273,8 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
                 good = pa.array(100 * common >= percent * union)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
 
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+    lines = P.probably_in(lines, ends, "node")
     side = lambda c: lines.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
@@ -197,25 +284,33 @@ def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None
     spark = rows.sparkSession
     small_batches(spark)
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = materialise(P.candidate_pairs(band_postings(rows, buckets), _one, False, BAND).filter("a <> b").select("a", "b"), "line_stars")
+    found = materialise(stars(band_postings(rows, buckets)), "line_stars")
+    pairs, large = found.filter("band is null").select("a", "b"), found.filter("band is not null")
     nodes = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "line_nodes")
     lines = materialise(line_texts(rows, nodes), "line_texts")
     free_shuffles(spark)
-    links = materialise(verified(pairs, lines, percent), "line_links")
+    sketched = materialise(line_sketches(lines), "line_sketches")
+    links = materialise(verified(materialise(possible(pairs, sketched, percent), "line_possible"), lines, percent), "line_links")
+    free_shuffles(spark)
     labels = materialise(components(links), "line_labels")
     placed = lines.join(labels, "node", "left").select("node", F.col("line").alias("text"), F.coalesce("root", "node").alias("comp"))
+    in_large = P.IdFilter(large, "band")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))
-            line, keys = bands(*shingles(data, K.Rolling(data), offsets[:-1], offsets[1:]))
+            hashes, cuts = shingles(data, K.Rolling(data), offsets[:-1], offsets[1:])
+            line, keys = bands(hashes, cuts)
+            held = in_large(keys.view(np.int64))
+            line, keys = line[held], keys[held]
+            sizes, bits = sketches(hashes, cuts)
             records = np.empty(len(keys), PLACED_BAND)
-            records["key"] = keys
+            records["key"], records["size"], records["bits"] = keys, sizes[line], bits[line]
             for name in ("node", "comp"):
                 records[name] = batch.column(name).to_numpy()[line]
             yield P.by_bucket(records, buckets)
 
-    cross = P.candidate_pairs(placed.mapInArrow(post, "bucket int, payload binary"), _one, True, PLACED_BAND)
+    cross = P.candidate_pairs(placed.mapInArrow(post, "bucket int, payload binary"), may_match(percent), True, PLACED_BAND)
     cross = materialise(cross.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "line_cross")
     links = links.unionAll(materialise(verified(cross, lines, percent), "line_cross_links"))
     return materialise(components(links), "line_components")
