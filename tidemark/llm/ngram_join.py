@@ -273,12 +273,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rare = P.candidate_pairs(P.posting_rows(heads.select("id", "n", "first"), _records, buckets), need, False, POSTING)
     leads = materialise(often.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("lead")), "frequent_leads")
     with_lead = often.join(leads, "gram").withColumn("other", F.col("id") != F.col("lead.id")).filter(~F.col("other") | close(F.col("n"), F.col("lead.n")))
-    lists, least = F.sum(F.col("other").cast("long")).alias("lists"), F.min(F.when(F.col("other"), least_common(F.least("n", "lead.n"))).otherwise(0)).alias("need")
-    with_lead = with_lead.groupBy(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).agg(lists, least)
-    star = materialise(P.summed(rare.unionAll(with_lead)), "star_pairs")
+    lists, least = F.count(F.lit(1)).alias("lists"), F.min(least_common(F.least("n", "lead.n"))).alias("need")
+    with_lead = with_lead.filter("other").groupBy(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).agg(lists, least)
+    own = often.groupBy(F.col("id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("lists"), F.lit(0).cast("long").alias("need"))
+    star = materialise(P.summed(rare.unionAll(with_lead).unionAll(own)), "star_pairs")
     free_shuffles(spark)
-    met = materialise(ids_of(star), "met_ids")  # documents that share a posting list with another
-    sizes = materialise(sets.select("id", "n").join(met, "id", "left_semi").dropDuplicates(["id"]), "met_sizes")
+    # a document whose lists, shared with anyone at all, are fewer than it would have to share with one partner has none;
+    # 79 % of the size: of a partner at the least similarity, with room for the rounding of posted sizes
+    shared = star.filter("a = b").select(F.col("a").alias("id"), "lists")
+    able = P.probably_in(sets.select("id", "n"), shared, "id").groupBy("id").agg(F.min("n").alias("n")).join(shared, "id")
+    sizes = materialise(able.filter(F.col("lists") >= least_common(F.floor(F.col("n") * (percent - 1) / 100))).select("id", "n"), "met_sizes")
+    met = sizes.select("id")
+    # half of the lists are enough here: a group's members may share the others with another of them
     best = star.filter((F.col("a") != F.col("b")) & (F.col("lists") * 2 >= F.col("need"))).groupBy("b").agg(F.max(F.struct("lists", (-F.col("a")).alias("a"))).alias("best"))
     star = materialise(_sized(best.select((-F.col("best.a")).alias("a"), "b"), sizes), "star_sized")
     ids = materialise(ids_of(star), "star_ids")
@@ -288,7 +294,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # second round: what is left between components, by the number of common lists, which is complete here
     labels = materialise(components(links), "star_components")
-    placed = heads.join(met, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
+    placed = P.probably_in(heads, met, "id").join(met, "id", "left_semi").join(labels, F.col("id") == F.col("node"), "left").select("id", "n", "first", "often", F.coalesce("root", "id").alias("comp"))
     placed = materialise(placed, "placed")
     rare = P.candidate_pairs(P.posting_rows(placed.select("id", "n", "first", "comp"), _records, buckets), need, True, PLACED)
     some = placed.filter("size(often) > 0").select("id", "n", "comp", F.explode("often").alias("gram"))

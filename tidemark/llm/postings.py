@@ -50,12 +50,12 @@ def _lists(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def star_pairs(r: np.ndarray, need: Need) -> np.ndarray:
-    """(a, b, lists, need): each node of a key with the key's smallest node; (node, node, 0, 0) of every node that shares a key."""
+    """(a, b, lists, need): each node of a key with the key's smallest node; (node, node, keys, 0): how many keys the node shares."""
     r, first = _lists(r)
     lead = r[np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))]
     alone = first & np.append(first[1:], True)[: len(r)]
-    nodes = K.distinct(r["node"][~alone])
-    return np.concatenate([_counted([_pairs(lead, r, need)]), np.column_stack([nodes, nodes, np.zeros_like(nodes), np.zeros_like(nodes)])])
+    nodes, shared = np.unique(r["node"][~alone], return_counts=True)
+    return np.concatenate([_counted([_pairs(lead, r, need)]), np.column_stack([nodes, nodes, shared, np.zeros_like(nodes)])])
 
 
 def cross_pairs(r: np.ndarray, need: Need, block: int = 250_000) -> np.ndarray:
