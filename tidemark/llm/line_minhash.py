@@ -293,7 +293,9 @@ def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None
     links = materialise(verified(materialise(possible(pairs, sketched, percent), "line_possible"), lines, percent), "line_links")
     free_shuffles(spark)
     labels = materialise(components(links), "line_labels")
-    placed = lines.join(labels, "node", "left").select("node", F.col("line").alias("text"), F.coalesce("root", "node").alias("comp"))
+    alone, joined = P.split(lines, labels, "node")  # only the texts of nodes with links move
+    joined = joined.join(labels, "node", "left").select("node", F.col("line").alias("text"), F.coalesce("root", "node").alias("comp"))
+    placed = joined.unionAll(alone.select("node", F.col("line").alias("text"), F.col("node").alias("comp")))
     in_large = P.IdFilter(large, "band")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

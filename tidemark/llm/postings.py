@@ -181,7 +181,12 @@ def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return _filtered(rows, ids, column, True)
 
 
+def split(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id is certainly not in ids, and the others, of which a few may not be either."""
+    return _filtered(rows, ids, column, False), _filtered(rows, ids, column, True)
+
+
 def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose id is not in ids; only those that the bit filter cannot tell are joined."""
-    sure, open_rows = (_filtered(rows, ids, column, keep) for keep in (False, True))
+    sure, open_rows = split(rows, ids, column)
     return sure.unionAll(open_rows.join(ids.select(column), column, "left_anti").select(*rows.columns))
