@@ -283,3 +283,25 @@ def test_pipeline_stages(spark):
         docs = docs.persist()
         counts.append(docs.count())
     assert counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] <= counts[2] and counts[5] == counts[4]
+
+
+def test_token_cache_equals_the_tokenizer_on_odd_words(monkeypatch):
+    """Marks, special tokens, apostrophes and odd letters before punctuation; generations change often."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import token_files
+
+    monkeypatch.setattr(token_files, "CACHED", 2000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cache, plain = token_files.WordCache(path), Tokenizer.from_file(path)
+    assert cache.apart
+    alphabet = ["a", "B", "é", "É", "İ", "ß", "́", "̸", " ", "\n", "\t", " ", "'", "'s", "'LL", ",", "!", "***", "<", ">", "|"]
+    alphabet += ["<|endoftext|>", "<|ENDOFTEXT|>", "1", "²", "ª", "—", "한", "Σ", "Å", "÷", "_", "日", "\U0001f600", "\x00", "\r", "\u0085"]
+    rng = random.Random(5)
+    for _ in range(12):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(1000)]
+        want = [np.array(plain.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
+        assert cache.encode(texts) == want

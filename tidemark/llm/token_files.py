@@ -16,7 +16,9 @@ order; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,40 +31,88 @@ from pyspark.sql import functions as F
 from tidemark.llm import textkit as K
 from tidemark.llm.shared import materialise
 
-CACHED = 600_000
+#: A generation of a cache; it holds two of them.
+CACHED = 250_000
 JOINED = 500
 #: Row c: the lengths in bytes of the four ids that control byte c describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
+#: ASCII punctuation that may end a word; not the apostrophe, which the pattern joins to letters behind it.
+_TAIL = string.punctuation.replace("'", "")
+#: Fixed value: the pattern of tokenizers that cut a letter or digit from punctuation behind it.
+_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Recent:
+    """Values of the keys asked for lately: a young generation and the one before, from which keys in use return."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """The keys without a value; all others are in the young generation then."""
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        missing = []
+        for key in keys.difference(self.young):
+            if (value := self.old.get(key)) is None:
+                missing.append(key)
+            else:
+                self.young[key] = value
+        return missing
+
+
 class WordCache:
-    """Ids by white-space separated word, exact for tokenizers whose pattern never crosses white space."""
+    """Ids by white-space separated word, exact for tokenizers whose pattern never crosses white space.
+
+    Of a tokenizer that lower-cases and has the pattern _APART, a word's ids are those of its beginning and of the ASCII
+    punctuation behind its last letter or digit, so words that differ in that or in ASCII case share the encoded parts.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.ids: dict[str, bytes] = {"": b""}
+        self.words, self.parts = Recent(), Recent()
+        with open(tokenizer_file, encoding="utf-8") as f:
+            steps = json.load(f)
+        normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        patterns = [x.get("pattern", {}).get("Regex") for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        special = [x["content"] for x in steps["added_tokens"]]
+        self.apart = normal == ["NFC", "Replace", "Lowercase"] and patterns[:1] == [_APART] and all(x.startswith("<|") for x in special)
+
+    def cut(self, word: str) -> tuple[str, str]:
+        """Two parts whose ids, one after the other, are the word's."""
+        if not self.apart or "<|" in word:  # special tokens are found in the text as it stands
+            return word, ""
+        head = word.rstrip(_TAIL)
+        # other last characters could turn into marks, which belong to the punctuation behind them
+        if head and not (head[-1].isalnum() and (head[-1] <= "z" or "\u00c0" <= head[-1] <= "\u00ff")):
+            head = word
+        return head.lower() if head.isascii() else head, word[len(head) :]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        ids = self.ids
-        if len(ids) > CACHED:
-            ids.clear()
-            ids[""] = b""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(ids))
+        cut = {word: self.cut(word) for word in self.words.lacking(set().union(*split))}
+        new = [x for x in self.parts.lacking(set().union(*cut.values())) if x]
+        ids = self.parts.young
+        ids[""] = b""
         for start in range(0, len(new), JOINED):
             part = new[start : start + JOINED]
-            # many new words in one call; a token belongs to the word in whose span it starts
+            # many new parts in one call; a token belongs to the part in whose span it starts
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             data = np.array(found.ids, np.uint32).tobytes()
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
             starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
             cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
             ids.update(zip(part, [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        words = self.words.young
+        words.update((word, ids[head] + ids[tail]) for word, (head, tail) in cut.items())
+        return [b"".join(map(words.__getitem__, parts)) for parts in split]
 
 
 @lru_cache(2)
