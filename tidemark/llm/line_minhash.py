@@ -335,21 +335,42 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input's rows and columns with the lines removed from the text, and n_lines and n_removed behind them."""
     gone = removed_lines(docs, id_col, text_col, percent).withColumnRenamed("id", "__id")
     columns, place = docs.columns, docs.columns.index(text_col)
+    id_place = columns.index(id_col)
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    touched = P.IdFilter(gone, "__id")
+
+    def may_lose(batch: pa.RecordBatch) -> np.ndarray:
+        ids = batch.column(id_place).cast(pa.int64())
+        return touched(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def cleaned(batch: pa.RecordBatch, gone: list[list[int] | None]) -> pa.RecordBatch:
+        texts, total, lost = [], [], []
+        for text, numbers in zip(batch.column(place).to_pylist(), gone, strict=True):
+            parts = (text or "").split("\n")
+            total.append(len(parts))
+            lost.append(len(numbers or ()))
+            if numbers:
+                drop = set(numbers)
+                text = "\n".join(x for i, x in enumerate(parts) if i not in drop)
+            texts.append(text)
+        arrays = [batch.column(i) for i in range(len(columns))]
+        arrays[place] = pa.array(texts, arrays[place].type)
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*columns, "n_lines", "n_removed"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~may_lose(batch)))
+            yield cleaned(batch, [None] * batch.num_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, total, lost = [], [], []
-            for text, numbers in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
-                parts = (text or "").split("\n")
-                total.append(len(parts))
-                lost.append(len(numbers or ()))
-                if numbers:
-                    drop = set(numbers)
-                    text = "\n".join(x for i, x in enumerate(parts) if i not in drop)
-                texts.append(text)
-            arrays = [batch.column(i) for i in range(len(columns))]
-            arrays[place] = pa.array(texts, arrays[place].type)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*columns, "n_lines", "n_removed"])
-
-    return docs.join(gone, docs[id_col] == gone["__id"], "left").select(*[docs[c] for c in columns], gone["gone"]).mapInArrow(run, schema)
+            yield batch.filter(pa.array(may_lose(batch)))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield cleaned(batch, batch.column(len(columns)).to_pylist())
+
+    # only documents that may lose a line meet the list of lines
+    met = docs.mapInArrow(others, docs.schema)
+    met = met.join(gone, met[id_col] == gone["__id"], "left").select(*[met[c] for c in columns], gone["gone"])
+    return docs.mapInArrow(whole, schema).unionAll(met.mapInArrow(judged, schema))
