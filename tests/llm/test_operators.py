@@ -305,3 +305,53 @@ def test_token_cache_equals_the_tokenizer_on_odd_words(monkeypatch):
         texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(1000)]
         want = [np.array(plain.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
         assert cache.encode(texts) == want
+
+
+def repeated_ids():
+    """Rows that share an id: the same text twice, other texts, a copy of an earlier text; several null ids."""
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    a, b, c, d, e, f = (" ".join(words[60 * i : 60 * i + 60]) for i in range(6))
+    late = " ".join(words[360:]) + " " + " ".join(words[:60])
+    return [
+        (3, b), (3, b), (4, c), (4, c), (5, d), (5, c), (5, d + " " + e), (6, f), (6, " ".join(words[360:380]) + " " + f),
+        (7, b + " " + a), (None, a), (None, late), (None, a), (None, "short"), (None, None), (None, " ".join(words[380:]) + " tail"), (8, late),
+    ]
+
+
+def test_window_dedup_of_rows_that_share_an_id(spark):
+    from tidemark.llm.fingerprint_index import dedup_windows
+
+    rows = [(-(1 << 63) if i is None else i, WORD.findall(t or ""), i, t) for i, t in repeated_ids()]
+    least, texts, want = {}, {}, []
+    for key, w, _, t in rows:
+        texts[t or ""] = min(texts.get(t or "", key), key)
+        for k in range(len(w) - 19):
+            place = (key, k)
+            least[tuple(w[k : k + 20])] = min(least.get(tuple(w[k : k + 20]), place), place)
+    for key, w, i, t in rows:
+        out = [texts[t or ""] < key and len(w) >= 20] * len(w)
+        for k in range(len(w) - 19):
+            if least[tuple(w[k : k + 20])] < (key, k):
+                out[k : k + 20] = [True] * 20
+        want.append((i, len(w), sum(out), " ".join(x for x, o in zip(w, out, strict=True) if not o)))
+    got = dedup_windows(spark.createDataFrame(repeated_ids(), "doc_id long, text string"), batches=3, buckets=5)
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_byte_dedup_of_rows_that_share_an_id(spark):
+    from tidemark.llm.suffix_ranges import dedup_bytes
+
+    rows = [(-(1 << 63) if i is None else i, (t or "").encode(), i) for i, t in repeated_ids()]
+    least, want = {}, []
+    for key, t, _ in rows:
+        for k in range(len(t) - 49):
+            least[t[k : k + 50]] = min(least.get(t[k : k + 50], key), key)
+    for key, t, i in rows:
+        out = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if least[t[k : k + 50]] < key:
+                out[k : k + 50] = b"\1" * 50
+        want.append((i, len(t), sum(out), len(re.findall(b"\1+", bytes(out))), bytes(b for b, o in zip(t, out, strict=True) if not o)))
+    got = dedup_bytes(spark.createDataFrame(repeated_ids(), "doc_id long, text string"), buckets=7)
+    assert Counter((*r[:4], bytes(r[4])) for r in got.collect()) == Counter(want)

@@ -82,8 +82,8 @@ def hash_rows(hashes: np.ndarray, buckets: int, extra: dict[str, int] | None = N
 
 
 def rows_by_doc(records: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Records with a field doc as (part, payload) rows, a part being some documents."""
-    part = (K.mix(np.ascontiguousarray(records["doc"]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    """Records with a field row as (part, payload) rows, a part being some documents."""
+    part = (K.mix(np.ascontiguousarray(records["row"]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     used, starts = np.unique(part[order], return_index=True)
     payload = [x.tobytes() for x in np.split(records[order], starts[1:])] if len(used) else []

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import postings as P
 from tidemark.llm.shared import materialise
 
 
@@ -49,3 +50,21 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = exact_classes(docs, id_col, text_col, stays).filter("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]) & (sha == kept["__sha"]), "left_semi")
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, row, text) and more: null ids as the smallest number; (id, row) is the key of a document, row a hash of id and text.
+
+    Rows that repeat an id have one key only if their texts are equal too.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    return docs.select(*more, number.alias("id"), F.xxhash64(number, F.sha2(text, 256)).alias("row"), text.alias("text"))
+
+
+def split_copies(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of keyed rows: the keys (id, row) of those whose text has a smaller id, and the rows of all others."""
+    classes = materialise(exact_classes(rows, "id", "text", "min").select("id", F.xxhash64("id", "text_sha256").alias("row"), "kept"), f"{name}_classes")
+    copies = materialise(classes.filter("not kept").select("id", "row").distinct(), f"{name}_copies")
+    sure, open_rows = P.split(rows, copies, "row")
+    return copies, sure.unionAll(open_rows.join(copies, ["id", "row"], "left_anti").select(*rows.columns))

@@ -7,13 +7,13 @@ history or the batch itself has already are repeated, and the batch's hashes bec
 compaction merges them into one.
 
 Only windows whose anchor is repeated can be repeats. These are verified: whole windows are grouped by a second pair of
-hashes over all their words (64 and 32 bits), and all but the earliest (id, start) of a group go. A slice of the input
-sends each window once, so a passage that very many documents share meets in one task once per slice only.
+hashes over all their words (64 and 32 bits), and all that start later than the earliest (id, start) of a group go. A
+slice of the input sends each window once, so a passage that very many documents share meets in one task once per slice only.
 
 Defined cases: null and empty texts have no words; documents with equal texts are copies of the one with the smallest id
-and lose all words if they have WINDOW or more; rows that repeat an id are copies as well if their texts are equal, and
-otherwise are ordered among themselves by start alone; rows with a null id count as the earliest; an empty table gives
-an empty result.
+and lose all words if they have WINDOW or more; rows repeating both id and text are one document and share one result; other
+rows that repeat an id are documents of their own, ordered among themselves by start alone, and of equal starts none
+goes; rows with a null id count as the earliest and as repeating one id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from tidemark.llm import anchors as A
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
-from tidemark.llm.exact_dedup import exact_classes
+from tidemark.llm.exact_dedup import keyed_rows, split_copies
 from tidemark.llm.shared import discard, free_shuffles, materialise, new_path, small_batches
 
 WINDOW, ANCHOR = 20, 8
 FANOUT, BATCHES = 3, 4
-REPEAT = np.dtype([("key", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("start", "<i4")])
-START = np.dtype([("doc", "<i8"), ("start", "<i4")])
+REPEAT = np.dtype([("key", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
+START = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +114,11 @@ def anchor_hashes(rows: DataFrame, buckets: int, window: int, anchor: int) -> Da
 
 
 def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, window: int, anchor: int) -> DataFrame:
-    """(doc, starts binary of 32-bit integers): windows that occur earlier; one row per document."""
+    """(doc, row, starts binary of 32-bit integers): windows that occur earlier; one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
-            ids = batch.column("id").to_numpy()
+            ids, own = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             hashes, offsets = hashed_words(*K.utf8(batch.column("text")))
             at, grams = K.windows(hashes, offsets, anchor)
             starts, chosen = A.stretches(at, grams, offsets, window, anchor)
@@ -129,7 +129,7 @@ def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, wind
             doc = np.searchsorted(offsets, starts, side="right") - 1
             records = np.empty(len(starts), REPEAT)
             records["key"], records["check"] = keys[place], (checks[place] >> np.uint64(32)).astype(np.uint32)
-            records["doc"], records["start"] = ids[doc], starts - offsets[doc]
+            records["doc"], records["row"], records["start"] = ids[doc], own[doc], starts - offsets[doc]
             records, first = _first(records)
             yield P.by_bucket(records[first], buckets)
             if len(rest := records[~first]):
@@ -141,36 +141,40 @@ def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, wind
             records, first = _first(records)
             records = records[~first]
         out = np.empty(len(records), START)
-        out["doc"], out["start"] = records["doc"], records["start"]
+        for c in START.names:
+            out[c] = records[c]
         return pa.Table.from_batches([A.rows_by_doc(out, max(8, buckets // 16))])
 
     def gather(table: pa.Table) -> pa.Table:
         records = np.concatenate([np.frombuffer(x.as_buffer(), START) for x in table.column("payload")])
-        records = records[np.argsort(records["doc"], kind="stable")]
-        docs, at = np.unique(records["doc"], return_index=True)
-        return pa.table({"doc": docs, "starts": pa.array([x["start"].tobytes() for x in np.split(records, at[1:])] if len(docs) else [], pa.binary())})
+        order, head = K.run_ranks(records["row"], records["doc"])
+        records, at = records[order], np.flatnonzero(head)
+        starts = [x["start"].tobytes() for x in np.split(records, at[1:])] if len(at) else []
+        return pa.table({"doc": records["doc"][at], "row": records["row"][at], "starts": pa.array(starts, pa.binary())})
 
     found = rows.mapInArrow(run, "bucket int, payload binary").groupBy("bucket").applyInArrow(judge, "part int, payload binary")
-    return found.groupBy("part").applyInArrow(gather, "doc long, starts binary")
+    return found.groupBy("part").applyInArrow(gather, "doc long, row long, starts binary")
 
 
 def _first(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The records by window and place, and which are the earliest of their window."""
-    records = records[np.lexsort((records["start"], records["doc"], records["check"], records["key"]))]
-    first = np.ones(len(records), bool)
-    first[1:] = (records["key"][1:] != records["key"][:-1]) | (records["check"][1:] != records["check"][:-1])
-    return records, first
+    """The distinct records by window and place, and which are at the earliest place (id, start) of their window."""
+    records = records[np.lexsort((records["row"], records["start"], records["doc"], records["check"], records["key"]))]
+    window, place, other = (np.ones(len(records), bool) for _ in range(3))
+    window[1:] = (records["key"][1:] != records["key"][:-1]) | (records["check"][1:] != records["check"][:-1])
+    place[1:] = window[1:] | (records["doc"][1:] != records["doc"][:-1]) | (records["start"][1:] != records["start"][:-1])
+    other[1:] = place[1:] | (records["row"][1:] != records["row"][:-1])
+    places = np.cumsum(place)
+    first = places == places[np.maximum.accumulate(np.where(window, np.arange(len(records)), 0))] if len(records) else window
+    return records[other], first[other]
 
 
 def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept (the kept words joined by one space)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = keyed_rows(docs, id_col, text_col)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = materialise(exact_classes(rows, "id", "text", "min").select("id", "kept"), "window_classes")
-    copies = materialise(classes.filter("not kept").select("id").distinct(), "window_copies")
-    heads = P.without(rows, copies, "id")
+    copies, heads = split_copies(rows, "window")
     cuts = rows.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     number = sum((F.when(F.col("id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     hashes = materialise(anchor_hashes(heads.withColumn("batch", number.cast("int")), buckets, window, anchor), "window_hashes")
@@ -182,8 +186,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     starts = repeated_starts(heads, repeats, buckets, window, anchor)
     gone = materialise(starts.withColumnRenamed("doc", "id"), "window_starts")
     free_shuffles(spark)
-    marked = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = marked.join(gone, "id", "left").join(copies.withColumn("copy", F.lit(True)), "id", "left").select("own", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = keyed_rows(docs, id_col, text_col, F.col(id_col).alias("own"))
+    marked = marked.join(gone, ["id", "row"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "row"], "left").select("own", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):

@@ -16,7 +16,7 @@ that very many documents share meets in a task once per slice.
 
 Defined cases: null and empty texts have no bytes; documents with equal texts are copies of the one with the smallest id
 and lose all bytes if they have LENGTH or more; a null id counts as the smallest; rows that repeat an id never remove
-each other's bytes unless their texts are equal; an empty table gives an empty result.
+each other's bytes, and share one result if their texts are equal; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import anchors as A
-from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
-from tidemark.llm.exact_dedup import exact_classes
+from tidemark.llm.exact_dedup import keyed_rows, split_copies
 from tidemark.llm.shared import free_shuffles, materialise, small_batches
 
 LENGTH, GRAM = 50, 20
@@ -39,9 +38,9 @@ REACH = LENGTH - GRAM
 LEADING = 16
 #: Suffix beginnings that the splitters are taken from, at the most.
 SAMPLE = 20_000
-SUFFIX = np.dtype([("text", f"V{REACH + LENGTH}"), ("doc", "<i8"), ("at", "<i4"), ("low", "u1"), ("high", "u1")])
-FOUND = np.dtype([("doc", "<i8"), ("start", "<i4")])
-RUN = np.dtype([("doc", "<i8"), ("begin", "<i4"), ("end", "<i4")])
+SUFFIX = np.dtype([("text", f"V{REACH + LENGTH}"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("low", "u1"), ("high", "u1")])
+FOUND = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
+RUN = np.dtype([("doc", "<i8"), ("row", "<i8"), ("begin", "<i4"), ("end", "<i4")])
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +80,7 @@ def repeated_grams(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _suffixes(batch: pa.RecordBatch, repeats: A.RepeatFilter) -> np.ndarray:
-    ids = batch.column("id").to_numpy()
+    ids, own = batch.column("id").to_numpy(), batch.column("row").to_numpy()
     data, offsets = K.utf8(batch.column("text"))
     anchors, hashes, high, low = _anchored(data, offsets)
     good = repeats(hashes & ~np.uint64(1))
@@ -95,7 +94,7 @@ def _suffixes(batch: pa.RecordBatch, repeats: A.RepeatFilter) -> np.ndarray:
         place = np.arange(REACH + LENGTH) - REACH
         content[(place < -high[:, None]) | (place >= LENGTH - low[:, None])] = 0
         records["text"] = content.view(f"V{REACH + LENGTH}").ravel()
-        records["doc"], records["at"], records["low"], records["high"] = ids[doc], anchors - offsets[doc], low, high
+        records["doc"], records["row"], records["at"], records["low"], records["high"] = ids[doc], own[doc], anchors - offsets[doc], low, high
     return records
 
 
@@ -145,7 +144,7 @@ def shared_bytes(symbols: np.ndarray) -> np.ndarray:
 
 
 def repeated_strings(records: np.ndarray) -> np.ndarray:
-    """(doc, start) of the strings of the suffixes that also occur in a document with a smaller id among them."""
+    """(doc, row, start) of the strings of the suffixes that also occur in a document with a smaller id among them."""
     suffixes = _symbols(records, REACH)
     order = multikey_order(suffixes)
     records, common = records[order], shared_bytes(suffixes[order])
@@ -170,7 +169,7 @@ def repeated_strings(records: np.ndarray) -> np.ndarray:
         least = doc[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]
         again = rows[doc > least]
         out = np.empty(len(again), FOUND)
-        out["doc"], out["start"] = records["doc"][again], records["at"][again] - back
+        out["doc"], out["row"], out["start"] = records["doc"][again], records["row"][again], records["at"][again] - back
         found.append(out)
     return np.concatenate(found) if found else np.empty(0, FOUND)
 
@@ -186,7 +185,7 @@ def _local(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rest = records[~head & (records["doc"] > least)]
     counts = rest["high"].astype(np.int64) - rest["low"] + 1
     out = np.empty(int(counts.sum()), FOUND)
-    out["doc"] = np.repeat(rest["doc"], counts)
+    out["doc"], out["row"] = np.repeat(rest["doc"], counts), np.repeat(rest["row"], counts)
     out["start"] = np.repeat(rest["at"] - rest["high"].astype(np.int64), counts) + np.arange(len(out)) - np.repeat(np.cumsum(counts) - counts, counts)
     # of the same document twice the one is as good as the other for others, but both may be removed
     return records[head | (records["doc"] == least)], out
@@ -194,19 +193,19 @@ def _local(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(found: np.ndarray) -> np.ndarray:
     """Maximal runs of bytes that the found strings cover."""
-    found = found[np.lexsort((found["start"], found["doc"]))]
+    found = found[np.lexsort((found["start"], found["row"], found["doc"]))]
     start = found["start"].astype(np.int64)
     new = np.ones(len(found), bool)
-    new[1:] = (found["doc"][1:] != found["doc"][:-1]) | (start[1:] > start[:-1] + LENGTH)
+    new[1:] = (found["doc"][1:] != found["doc"][:-1]) | (found["row"][1:] != found["row"][:-1]) | (start[1:] > start[:-1] + LENGTH)
     first = np.flatnonzero(new)
     out = np.empty(len(first), RUN)
-    out["doc"], out["begin"] = found["doc"][first], start[first]
+    out["doc"], out["row"], out["begin"] = found["doc"][first], found["row"][first], start[first]
     out["end"] = start[np.append(first[1:], len(found))[: len(first)] - 1] + LENGTH
     return out
 
 
 def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
-    """(doc, begins, ends) of removed runs, one row per document; rows: id, text with distinct texts."""
+    """(doc, row, begins, ends) of removed runs, one row per document; rows: id, row, text, where equal texts have one id."""
     repeats = A.RepeatFilter(materialise(repeated_grams(rows, buckets), "repeated_grams"))
 
     # the sample: the beginnings of the suffixes with the smallest hashes, from all slices
@@ -244,13 +243,13 @@ def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         runs = np.concatenate([np.frombuffer(x.as_buffer(), RUN) for x in table.column("payload")])
-        runs = runs[np.argsort(runs["doc"], kind="stable")]
-        docs, at = np.unique(runs["doc"], return_index=True)
-        parts = np.split(runs, at[1:]) if len(docs) else []
-        return pa.table({"doc": docs} | {f"{c}s": pa.array([x[c].tobytes() for x in parts], pa.binary()) for c in ("begin", "end")})
+        order, head = K.run_ranks(runs["row"], runs["doc"])
+        runs, at = runs[order], np.flatnonzero(head)
+        parts = np.split(runs, at[1:]) if len(at) else []
+        return pa.table({"doc": runs["doc"][at], "row": runs["row"][at]} | {f"{c}s": pa.array([x[c].tobytes() for x in parts], pa.binary()) for c in ("begin", "end")})
 
     packed = rows.mapInArrow(run, "bucket int, payload binary").groupBy("bucket").applyInArrow(judge, "part int, payload binary")
-    return packed.groupBy("part").applyInArrow(gather, "doc long, begins binary, ends binary")
+    return packed.groupBy("part").applyInArrow(gather, "doc long, row long, begins binary, ends binary")
 
 
 def _merged(begins: bytes, ends: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,15 +266,13 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, n_bytes, n_removed, n_spans, kept binary (what remains need not be valid UTF-8)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = keyed_rows(docs, id_col, text_col)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = materialise(exact_classes(rows, "id", "text", "min").select("id", "kept"), "byte_classes")
-    copies = materialise(classes.filter("not kept").select("id").distinct(), "byte_copies")
-    heads = P.without(rows, copies, "id")
+    copies, heads = split_copies(rows, "byte")
     gone = materialise(removed_runs(heads, buckets).withColumnRenamed("doc", "id"), "byte_runs")
     free_shuffles(spark)
-    marked = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = marked.join(gone, "id", "left").join(copies.withColumn("copy", F.lit(True)), "id", "left").select("own", "text", "begins", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = keyed_rows(docs, id_col, text_col, F.col(id_col).alias("own"))
+    marked = marked.join(gone, ["id", "row"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "row"], "left").select("own", "text", "begins", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
