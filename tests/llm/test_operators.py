@@ -355,3 +355,21 @@ def test_byte_dedup_of_rows_that_share_an_id(spark):
         want.append((i, len(t), sum(out), len(re.findall(b"\1+", bytes(out))), bytes(b for b, o in zip(t, out, strict=True) if not o)))
     got = dedup_bytes(spark.createDataFrame(repeated_ids(), "doc_id long, text string"), buckets=7)
     assert Counter((*r[:4], bytes(r[4])) for r in got.collect()) == Counter(want)
+
+
+def test_line_dedup_of_repetitive_lines(spark):
+    from tidemark.llm.line_minhash import dedup_lines
+
+    rnd = random.Random(3)
+    phrase, other = "buy it now, ", "".join(rnd.choice("abcdefgh") for _ in range(150))
+    lines = [x * (n // len(x) + 1) for x in ("=", "-+", phrase) for n in (60, 100, 200)]
+    lines = [x[:n].strip() for x, n in zip(lines, (60, 100, 200) * 3, strict=True)] + [other[:120] + phrase * 9, other[:120] + phrase * 30, other]
+    sets = [frozenset(x[j : j + 5] for j in range(max(1, len(x) - 4))) for x in lines]
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    got = by_id(dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
+    assert {i for i, r in got.items() if r.n_removed} == {i for i in range(len(lines)) if root.index(root[i]) != i}
+    assert {1, 2, 4, 5, 7, 8, 10} <= {i for i, r in got.items() if r.n_removed}

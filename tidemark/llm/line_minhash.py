@@ -3,8 +3,8 @@
 A line is what stands between newlines, without white space at its ends. Lines without a word are never removed. Equal
 lines are one node, known by a 64-bit hash. A node's shingles are SHINGLE consecutive characters (a shorter line is one
 shingle). Its signature has ROWS * BANDS values: short lines take one hash function per value, long lines one function
-whose values are dealt to as many bins, empty bins taking their left neighbour's value. Lines of SHORT to LONG shingles
-have both, so a similar pair always has signatures of one kind in common; at the least similarity of 0.8 a pair shares a
+whose values are dealt to as many bins, empty bins taking their left neighbour's value. Lines of SHORT to LONG distinct
+shingles have both, so a similar pair always has signatures of one kind in common; at the least similarity of 0.8 a pair shares a
 band with a probability of 0.998.
 
 Candidates come in two rounds, as in the n-gram join: each node with the smallest of its band (first within a slice of
@@ -68,16 +68,31 @@ def shingles(data: np.ndarray, rolling: K.Rolling, starts: np.ndarray, ends: np.
     return rolling.of(chars[at], chars[np.minimum(at + SHINGLE, np.repeat(last, n))]), offsets
 
 
+def distinct_counts(hashes: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """Number of distinct shingles (as in sketches) of each row; rows of fewer than `least` shingles have that number instead."""
+    sizes = np.diff(offsets)
+    n, long = sizes.copy(), np.flatnonzero(sizes >= least)
+    held = hashes[np.repeat(sizes >= least, sizes)]
+    cuts = np.concatenate([[0], np.cumsum(sizes[long])])
+    for start in range(0, len(long), 4096):
+        rows = long[start : start + 4096]
+        own = held[cuts[start] : cuts[start + len(rows)]]
+        found = K.distinct((np.repeat(np.arange(len(rows), dtype=np.uint64), sizes[rows]) << np.uint64(52)) | (own >> np.uint64(12)))
+        n[rows] = np.bincount((found >> np.uint64(52)).astype(np.int64), minlength=len(rows))
+    return n
+
+
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, kind (0: a function per value, 1: bins) and SIZE signature values of each row and kind that it has."""
-    n = np.diff(offsets)
-    row = np.repeat(np.arange(len(n)), n)
+    counts = np.diff(offsets)
+    n = distinct_counts(hashes, offsets, SHORT)
+    row = np.repeat(np.arange(len(n)), counts)
     parts = []
     few = np.flatnonzero(n <= LONG)
     if len(few):
         inside = n[row] <= LONG
         some = (hashes[inside] >> np.uint64(32)).astype(np.uint32)
-        cuts = np.concatenate([[0], np.cumsum(n[few])[:-1]])
+        cuts = np.concatenate([[0], np.cumsum(counts[few])[:-1]])
         values = np.empty((len(few), SIZE), np.uint64)
         for i in range(SIZE):
             values[:, i] = np.minimum.reduceat(some * _TURNS[0, i] + _TURNS[1, i], cuts)
