@@ -186,3 +186,17 @@ def test_schedule_uses_the_next_session(spark):
     cal = spark.createDataFrame([(x, i) for i, x in enumerate(d)], "date date, pos long")
     got = [(r.execution_date, r.code) for r in B.schedule(scores, cal, 2, 1).orderBy("place").collect()]
     assert got == [(d[1], "b"), (d[1], "c")]
+
+
+def test_neighbours_among_all_rows(spark, tmp_path):
+    from tidemark.plans.catalogue import QUERIES
+
+    vecs = [(i, [float(i * 37 % 101), float(i * 11 % 13)], i % 3) for i in range(250)] + [(300, [1.0, 1.0], 1), (7000, [1.0, 1.0], 2)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.place): r.train_id for r in QUERIES["q40_knn_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for q, x, _ in vecs:
+        if q % 100 == 0:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)), t) for t, y, _ in vecs if t != q)
+            want |= {(q, p): t for p, (_, t) in enumerate(near[:5], 1)}
+    assert got == want and {t % 10 == 0 for t in got.values()} == {True, False}

@@ -198,6 +198,10 @@ ORACLES = {
         k as (select *, row_number() over (partition by query_id order by d2, train_id) as place from n qualify place <= 5),
         p as (select query_id, coalesce(avg(case when d2 <= 1e-24 then y end), sum(y / sqrt(greatest(d2, 1e-24))) / sum(1 / sqrt(greatest(d2, 1e-24)))) as prediction from k group by query_id)
         select query_id, train_id, place, round(prediction, 5) + 0.0 as prediction from k join p using (query_id)""",
+    "q40_knn_all": """with n as (select q.vec_id as query_id, t.vec_id as train_id, t.label as y, list_sum(list_transform(list_zip(q.embedding::double[], t.embedding::double[]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2 from embeddings q, embeddings t where q.vec_id % 100 = 0 and t.vec_id <> q.vec_id),
+        k as (select *, row_number() over (partition by query_id order by d2, train_id) as place from n qualify place <= 5),
+        p as (select query_id, coalesce(avg(case when d2 <= 1e-24 then y end), sum(y / sqrt(greatest(d2, 1e-24))) / sum(1 / sqrt(greatest(d2, 1e-24)))) as prediction from k group by query_id)
+        select query_id, train_id, place, round(prediction, 5) + 0.0 as prediction from k join p using (query_id)""",
     "q42_direction_metrics": f"""with {PROBABILITY}, k as (select *, rank() over (order by score) - 1 + (count(*) over (partition by score) - 1) / 2.0::double as rk from prob)
         select count(*) as n, round(avg(case when (score >= 0.5) = (up = 1) then 1.0::double else 0.0 end), 6) + 0.0 as accuracy, round(({_hit(1, 0.5)} + {_hit(0, 0.5)}) / 2, 6) + 0.0 as balanced, round(avg((score - up) * (score - up)), 6) + 0.0 as brier,
         round((sum(rk * up) - sum(up) * (sum(up) - 1) / 2.0::double) / nullif(sum(up) * sum(1 - up), 0), 6) + 0.0 as auc, cast(sum(up) as bigint) as ups, cast(sum(1 - up) as bigint) as downs from k""",
