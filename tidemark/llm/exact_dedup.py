@@ -52,14 +52,19 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]) & (sha == kept["__sha"]), "left_semi")
 
 
+def row_key(number: Column, text: Column) -> tuple[Column, Column]:
+    """(id, row): null ids as the smallest number; row is a hash of id and text."""
+    number = F.coalesce(number.cast("long"), F.lit(-(1 << 63)))
+    return number, F.xxhash64(number, F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(id, row, text) and more: null ids as the smallest number; (id, row) is the key of a document, row a hash of id and text.
 
     Rows that repeat an id have one key only if their texts are equal too.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return docs.select(*more, number.alias("id"), F.xxhash64(number, F.sha2(text, 256)).alias("row"), text.alias("text"))
+    number, row = row_key(F.col(id_col), F.col(text_col))
+    return docs.select(*more, number.alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def split_copies(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

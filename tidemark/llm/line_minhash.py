@@ -1,23 +1,27 @@
 """Fuzzy line deduplication: MinHash, banding, exact verification, components.
 
 A line is what stands between newlines, without white space at its ends. Lines without a word are never removed. Equal
-lines are one node, known by a 64-bit hash. A node's shingles are SHINGLE consecutive characters (a shorter line is one
-shingle). Its signature has ROWS * BANDS values: short lines take one hash function per value, long lines one function
-whose values are dealt to as many bins, empty bins taking their left neighbour's value. Lines of SHORT to LONG distinct
-shingles have both, so a similar pair always has signatures of one kind in common; at the least similarity of 0.8 a pair shares a
-band with a probability of 0.998.
-
-Candidates come in two rounds, as in the n-gram join: each node with the smallest of its band (first within a slice of
-the input, then over all, so a band that very many lines share is small when it is gathered), then, in bands of three
-nodes or more, all pairs that are still in different components. A node has a sketch: the size of its shingle set and
-WORDS * 64 bits, of which each shingle sets one. Two sets differ in at least as many shingles as their sketches in bits,
-so a sketch that differs too much rules a pair out for certain, before the pair becomes a row (second round) or meets
-its texts (first round). Every other candidate is verified by the Jaccard similarity of the shingle sets. Of a component
-the occurrence with the smallest (id, line number) stays.
-
-Defined cases: null and empty texts have one line without a word; rows with a null id are kept as they are and take no
-part; rows that repeat an id are judged as the same lines; an empty table gives an empty result; other columns,
-whatever their names, pass through.
+lines are one node, known by a 128-bit content hash (its first half numbers the node, the second half checks it). A
+node's shingles are SHINGLE consecutive characters (a shorter line is one shingle). Its signature has ROWS * BANDS
+values of one of two kinds: one hash function per value (few shingles), or one function whose values are dealt to as
+many bins, empty bins taking their left neighbour's value (many). How many bins a shingle set fills decides on the
+kinds, between MANY and FEW a node has both, so similar nodes have a kind in common. At the least similarity of 0.8 a
+pair shares a band with a probability of 0.99, dissimilar lines hardly ever; `tests/llm` measures it for either kind.
+
+Candidates are verified in two rounds, by the exact Jaccard similarity of the shingle sets. First each node meets one
+other: of the smallest nodes of its bands (first within a slice of the input, then over all) the one with which it shares
+most bands. Then come the bands whose nodes are still in different components: a band's lines meet in one task, which
+counts all overlaps by matrix products over the shingles that two of them share and returns only the links that join
+components. Many lines are cut into blocks that meet each other, so no task holds more than BLOCK lines or HELD shingles
+and no pair is ever a row. Of a component the occurrence with the smallest (id, row, line number) stays.
+
+A slice of the input sends each band and each line once, with its smallest place; later places of a line are gone
+already there, so a line that very many documents hold meets in one task once a slice.
+
+Defined cases: null and empty texts have one line without a word and stay as they are; a null id counts as the smallest;
+rows that repeat an id are documents of their own, ordered by a hash of their text; rows repeating both id and text are
+one document and share one result; an empty table gives an empty result; other columns, whatever their names, pass
+through, but for n_lines and n_removed, which the operator's own replace.
 """
 
 from __future__ import annotations
@@ -26,366 +30,578 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
 from tidemark.llm.components import components
-from tidemark.llm.shared import free_shuffles, materialise, small_batches
+from tidemark.llm.exact_dedup import row_key
+from tidemark.llm.shared import drop, free_shuffles, lean, materialise, small_batches
 
 SHINGLE, PERCENT = 5, 80
-ROWS, BANDS = 5, 16
+ROWS, BANDS = 7, 20
 SIZE = ROWS * BANDS
-SHORT, LONG = 128, 160
-WORDS = 8
-_BITS = [f"bits_{i}" for i in range(WORDS)]
-#: more: how many other nodes of the band stayed in the slice, 2 if it were more
+#: Of SIZE bins: nodes that fill FEW at the most have signatures of the first kind, those that fill MANY at least of the second.
+FEW, MANY = 80, 50
+#: Lines and shingles of a block.
+BLOCK, HELD = 2048, 2_000_000
+#: Postings of a bucket, about.
+PER_BUCKET = 1_000_000
+#: more: whether other nodes of the band, or other places of the line, stayed in the slice
 BAND = np.dtype([("key", "<u8"), ("node", "<i8"), ("more", "u1")])
-PLACED_BAND = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("size", "<i8"), ("bits", "<u8", (WORDS,))])
+PLACE = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("line", "<i4")])
+VOTE = np.dtype([("row", "<i8"), ("lead", "<i8")])
+GONE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("line", "<i4")])
+MEMBER = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("best", "<i8"), ("n", "<i8")])
+MEETING = np.dtype([("row", "<i8"), ("chief", "<i8"), ("own", "u1"), ("n", "<i8")])
+_NONE = np.uint32(2**32 - 1)
+_CHARS = np.random.default_rng(31).integers(1, 2**31, (2, SHINGLE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _TURNS = np.random.default_rng(23).integers(1, 2**31, (2, SIZE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_JOIN = np.random.default_rng(29).integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VOTES, _GONE, _FIRSTS = range(3)
 
 
 def stripped_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, line number, start and end of the lines that have a word."""
     starts, ends, line_offsets = K.lines(data, offsets)
-    word_starts, word_ends, _ = K.words(data, offsets)
-    a, b = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
-    has = b > a
     doc = K.doc_of(line_offsets)
     number = np.arange(len(starts)) - line_offsets[doc]
-    return doc[has], number[has], word_starts[a[has]], word_ends[b[has] - 1]
-
-
-def shingles(data: np.ndarray, rolling: K.Rolling, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each byte range, end to end, and n + 1 offsets."""
-    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    first, last = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
-    n = np.maximum(last - first - SHINGLE + 1, 1)
+    for _ in range(8):  # long margins are rare
+        open_rows = np.flatnonzero(starts < ends)
+        at_start = open_rows[K.SPACES[data[starts[open_rows]]]]
+        starts[at_start] += 1
+        open_rows = np.flatnonzero(starts < ends)
+        at_end = open_rows[K.SPACES[data[ends[open_rows] - 1]]]
+        ends[at_end] -= 1
+        if not len(at_start) and not len(at_end):
+            break
+    else:
+        word_starts, word_ends, _ = K.words(data, offsets)
+        a, b = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+        has = b > a
+        return doc[has], number[has], word_starts[a[has]], word_ends[b[has] - 1]
+    has = starts < ends
+    return doc[has], number[has], starts[has], ends[has]
+
+
+def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit hashes of byte ranges: node numbers and checks."""
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    found = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(found[:, 0]).view(np.int64), np.ascontiguousarray(found[:, 1])
+
+
+def characters(data: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Code points of UTF-8 bytes, and byte places as places among them; of bytes that are not UTF-8 each counts as one."""
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint32), *places
+    try:
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return data.astype(np.uint32), *places
+    firsts = np.flatnonzero((data & 0xC0) != 0x80)
+    return points, *[np.searchsorted(firsts, x) for x in places]
+
+
+def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (of 64 bits, or 32) of the shingles of each byte range, end to end, and n + 1 offsets."""
+    points, starts, ends = characters(data, starts, ends)
+    n = ends - starts - SHINGLE + 1
+    short = np.flatnonzero(n < 1)
+    n = np.maximum(n, 1)
     offsets = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, n)
-    return rolling.of(chars[at], chars[np.minimum(at + SHINGLE, np.repeat(last, n))]), offsets
-
-
-def distinct_counts(hashes: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
-    """Number of distinct shingles (as in sketches) of each row; rows of fewer than `least` shingles have that number instead."""
-    sizes = np.diff(offsets)
-    n, long = sizes.copy(), np.flatnonzero(sizes >= least)
-    held = hashes[np.repeat(sizes >= least, sizes)]
-    cuts = np.concatenate([[0], np.cumsum(sizes[long])])
-    for start in range(0, len(long), 4096):
-        rows = long[start : start + 4096]
-        own = held[cuts[start] : cuts[start + len(rows)]]
-        found = K.distinct((np.repeat(np.arange(len(rows), dtype=np.uint64), sizes[rows]) << np.uint64(52)) | (own >> np.uint64(12)))
-        n[rows] = np.bincount((found >> np.uint64(52)).astype(np.int64), minlength=len(rows))
-    return n
+    at = np.arange(offsets[-1])
+    at += np.repeat(starts - offsets[:-1], n)
+    spread = points * np.uint32(0x9E3779B1)
+    spread ^= spread >> np.uint32(15)
+    spread *= np.uint32(0x85EBCA77)
+    spread ^= spread >> np.uint32(13)
+    found = []
+    for turn in range(1 + wide):
+        whole = np.zeros(len(points) + 1, np.uint32)
+        inner = whole[: max(0, len(points) - SHINGLE + 1)]
+        for i in range(SHINGLE):
+            inner += spread[i : i + len(inner)] * _CHARS[turn, i]
+        whole ^= whole >> np.uint32(16)
+        whole *= np.uint32(0xC2B2AE3D)
+        hashes = whole[at]
+        for k in short.tolist():  # lines of fewer characters are rare
+            value = int(ends[k] - starts[k])
+            for x in spread[starts[k] : ends[k]].tolist():
+                value = (value * 0x27D4EB2F + x * int(_CHARS[turn, 0]) + 1) & 0xFFFFFFFF
+            hashes[offsets[k]] = value
+        found.append(hashes)
+    return (found[0].astype(np.uint64) << np.uint64(32) | found[1]) if wide else found[0], offsets
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, kind (0: a function per value, 1: bins) and SIZE signature values of each row and kind that it has."""
-    counts = np.diff(offsets)
-    n = distinct_counts(hashes, offsets, SHORT)
-    row = np.repeat(np.arange(len(n)), counts)
-    parts = []
-    few = np.flatnonzero(n <= LONG)
-    if len(few):
-        inside = n[row] <= LONG
-        some = (hashes[inside] >> np.uint64(32)).astype(np.uint32)
-        cuts = np.concatenate([[0], np.cumsum(counts[few])[:-1]])
-        values = np.empty((len(few), SIZE), np.uint64)
-        for i in range(SIZE):
-            values[:, i] = np.minimum.reduceat(some * _TURNS[0, i] + _TURNS[1, i], cuts)
-        parts.append((few, np.zeros(len(few), np.int64), values))
-    many = np.flatnonzero(n >= SHORT)
-    if len(many):
-        place = np.full(len(n), -1)
-        place[many] = np.arange(len(many))
-        inside = n[row] >= SHORT
-        some = hashes[inside]
-        bins = ((some >> np.uint64(40)) * np.uint64(SIZE) >> np.uint64(24)).astype(np.int64)
-        values = np.full(len(many) * SIZE, np.uint64(2**64 - 1))
-        np.minimum.at(values, place[row[inside]] * SIZE + bins, some & np.uint64(2**40 - 1))
-        values = values.reshape(-1, SIZE)
-        while (empty := values == np.uint64(2**64 - 1)).any():
-            values = np.where(empty, np.where(np.roll(empty, 1, axis=1), values, np.roll(values, 1, axis=1) + np.uint64(0x9E3779B9)), values)
-        parts.append((many, np.ones(len(many), np.int64), values))
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SIZE), np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    n = np.diff(offsets)
+    if hashes.dtype == np.uint64:
+        hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+    many = np.flatnonzero(n >= MANY)
+    values = np.full(len(many) * SIZE, _NONE)
+    some = hashes if len(many) == len(n) else hashes[np.repeat(n >= MANY, n)]
+    bins = np.repeat(np.arange(len(many)) * SIZE, n[many])
+    bins += (some >> np.uint32(16)) * np.uint32(SIZE) >> np.uint32(16)
+    np.minimum.at(values, bins, some)
+    values = values.reshape(-1, SIZE)
+    filled = values != _NONE
+    bins = np.zeros(len(n), np.int64)
+    bins[many] = filled.sum(axis=1)
+    both = bins[many] >= MANY
+    many, values, filled = many[both], values[both], filled[both]
+    # an empty bin: the next filled one to its left, round the corner, changed by the distance
+    sparse = np.flatnonzero(~filled.all(axis=1))
+    place = np.arange(SIZE, dtype=np.int16)
+    left = np.where(filled[sparse], place, np.int16(-SIZE))
+    left = np.maximum.accumulate(np.concatenate([left - np.int16(SIZE), left], axis=1), axis=1)[:, SIZE:]
+    gap = (place - left).astype(np.uint32)
+    left += np.where(left < 0, np.int16(SIZE), np.int16(0))
+    values[sparse] = np.take_along_axis(values[sparse], left.astype(np.int64), axis=1) + gap * np.uint32(0x9E3779B9)
+    few = np.flatnonzero(bins <= FEW)
+    inside = hashes[np.repeat(bins <= FEW, n)]
+    cuts = np.concatenate([[0], np.cumsum(n[few])])[:-1]
+    least = np.empty((len(few), SIZE), np.uint32)
+    for i in range(SIZE if len(few) else 0):
+        least[:, i] = np.minimum.reduceat(inside * _TURNS[0, i] + _TURNS[1, i], cuts)
+    return np.append(few, many), np.append(np.zeros(len(few), np.int64), np.ones(len(many), np.int64)), np.concatenate([least, values])
 
 
 def bands(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and band keys, BANDS for each row and kind."""
     row, kind, values = signatures(hashes, offsets)
-    keys = np.empty((len(row), BANDS), np.uint64)
-    for b in range(BANDS):
-        total = np.full(len(row), b + 1, np.uint64) + (kind * BANDS).astype(np.uint64)
-        for i in range(ROWS):
-            total = K.mix(total + values[:, b * ROWS + i])
-        keys[:, b] = total
-    return np.repeat(row, BANDS), keys.reshape(-1)
+    joined = (values.reshape(-1, BANDS, ROWS).astype(np.uint64) * _JOIN).sum(axis=2, dtype=np.uint64)
+    salt = K.mix((np.arange(BANDS) + kind[:, None] * BANDS).astype(np.uint64) + np.uint64(1))
+    return np.repeat(row, BANDS), K.mix(joined + salt).reshape(-1)
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct shingles (of 52 bits of their hash, as verified) and WORDS * 64 bits of each row."""
-    n = len(offsets) - 1
-    sizes, bits = np.empty(n, np.int64), np.zeros((n, WORDS * 64), np.uint8)
-    for start in range(0, n, 4096):  # the row in the high bits of the hash: one plain sort finds the sets of all rows
-        cuts = offsets[start : start + 4097] - offsets[start]
-        own = hashes[offsets[start] : offsets[start] + cuts[-1]]
-        found = K.distinct((K.doc_of(cuts).astype(np.uint64) << np.uint64(52)) | (own >> np.uint64(12)))
-        row = (found >> np.uint64(52)).astype(np.int64)
-        sizes[start : start + len(cuts) - 1] = np.bincount(row, minlength=len(cuts) - 1)
-        bits[start + row, (found & np.uint64(WORDS * 64 - 1)).astype(np.int64)] = 1
-    return sizes, np.packbits(bits, axis=1, bitorder="little").view("<u8")
+def _by_key(keys: np.ndarray) -> np.ndarray:
+    """Stable order of the keys (of equal leading bits only, which a band's second lead does no harm to)."""
+    if len(keys) >= 1 << 24:
+        return np.argsort(keys, kind="stable")
+    return (np.sort((keys & ~np.uint64(2**24 - 1)) | np.arange(len(keys), dtype=np.uint64)) & np.uint64(2**24 - 1)).astype(np.int64)
 
 
-def may_match(percent: int) -> P.Need:
-    """1 for pairs of records whose sketches leave room for the similarity, else 0."""
+def _heads(x: np.ndarray) -> np.ndarray:
+    head = np.ones(len(x), bool)
+    head[1:] = x[1:] != x[:-1]
+    return head
 
-    def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        differ = np.bitwise_count(a["bits"] ^ b["bits"]).sum(axis=1, dtype=np.int64)
-        return _room(a["size"], b["size"], differ, percent).astype(np.int64)
 
-    return need
+def _packed(records: np.ndarray, buckets: int, first: int = 0) -> pa.RecordBatch:
+    batch = P.by_bucket(records, buckets)
+    return batch if not first else batch.set_column(0, "bucket", pa.array(batch.column(0).to_numpy() + np.int32(first)))
 
 
-def _room(x, y, differ, percent: int):
-    """Sets of x and y members that differ in `differ` at least: common <= (x + y - differ) / 2 and <= the smaller one."""
-    return ((100 + percent) * (x + y - differ) >= 2 * percent * (x + y)) & (100 * x >= percent * y) & (100 * y >= percent * x)
+def _by_part(records: np.ndarray, parts: int, kind: int) -> pa.RecordBatch:
+    """(kind, part, payload) rows; a part is some rows (or nodes)."""
+    part = (K.mix(np.ascontiguousarray(records["row"]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    used, starts = np.unique(part[order], return_index=True)
+    payload = [x.tobytes() for x in np.split(records[order], starts[1:])] if len(used) else []
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), pa.array(used, pa.int32()), pa.array(payload, pa.binary())], names=["kind", "part", "payload"])
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+def _first_places(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places (key: node, check, doc, row, line) the smallest of each line, and all others; equal places are one."""
+    records = records[np.lexsort((records["line"], records["row"], records["doc"], records["check"], records["key"]))]
+    line, place = np.ones(len(records), bool), np.ones(len(records), bool)
+    line[1:] = (records["key"][1:] != records["key"][:-1]) | (records["check"][1:] != records["check"][:-1])
+    place[1:] = line[1:] | (records["doc"][1:] != records["doc"][:-1]) | (records["row"][1:] != records["row"][:-1]) | (records["line"][1:] != records["line"][:-1])
+    return records[line], records[place & ~line]
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(node, id, line) of every line with a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
-            data, offsets = K.utf8(batch.column("text"))
-            doc, number, starts, ends = stripped_lines(data, offsets)
-            nodes = K.Rolling(data).of(starts, ends).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(batch.column("id").to_numpy()[doc]), pa.array(number.astype(np.int32))], names=["node", "id", "line"])
-
-    return rows.mapInArrow(run, "node long, id long, line int")
+def _gone(places: np.ndarray) -> np.ndarray:
+    out = np.empty(len(places), GONE)
+    for c in GONE.names:
+        out[c] = places[c]
+    return out
 
 
-def band_postings(rows: DataFrame, buckets: int) -> DataFrame:
-    """Postings by bucket; below 0 the pairs of a slice's own lines with the smallest of their band there."""
+def posted(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, payload): bands below `buckets`, places of lines below twice that; below 0 votes and gone places that a slice knows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, most=1 << 20):
             data, offsets = K.utf8(batch.column("text"))
-            _, _, starts, ends = stripped_lines(data, offsets)
-            rolling = K.Rolling(data)
-            nodes, first = np.unique(rolling.of(starts, ends), return_index=True)
-            line, keys = bands(*shingles(data, rolling, starts[first], ends[first]))
-            records = np.zeros(len(keys), BAND)
-            records["key"], records["node"] = keys, nodes[line].view(np.int64)
-            records = records[np.lexsort((records["node"], keys))]
-            head = np.ones(len(records), bool)
-            head[1:] = records["key"][1:] != records["key"][:-1]
-            starts = np.flatnonzero(head)
-            members = np.diff(np.append(starts, len(records)))
-            lead = records["node"][np.repeat(starts, members)]
-            records["more"][starts] = np.minimum(members - 1, 2)
-            pairs = np.ascontiguousarray(np.unique(np.column_stack([lead, records["node"]])[~head], axis=0), "<i8")
-            yield P.by_bucket(records[head], buckets)
-            if len(pairs):
-                bucket = -1 - int(pairs[0].sum() % buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["bucket", "payload"])
+            doc, number, starts, ends = stripped_lines(data, offsets)
+            nodes, checks = content_hashes(data, starts, ends)
+            places = np.empty(len(nodes), PLACE)
+            places["key"], places["check"], places["line"] = nodes.view(np.uint64), checks, number
+            places["doc"], places["row"] = batch.column("id").to_numpy()[doc], batch.column("row").to_numpy()[doc]
+            first, later = _first_places(places)
+            yield _packed(first, buckets, buckets)
+            distinct, at = np.unique(nodes, return_index=True)
+            line, keys = bands(*shingles(data, starts[at], ends[at], wide=False))
+            order = np.argsort(line, kind="stable")
+            line, keys = line[order], keys[order]
+            order = _by_key(keys)
+            records = np.zeros(len(order), BAND)
+            records["key"], records["node"] = keys[order], distinct[line[order]]
+            head = _heads(records["key"])
+            begin = np.flatnonzero(head)
+            members = np.diff(np.append(begin, len(records)))
+            records["more"][begin] = members > 1
+            yield _packed(records[head], buckets)
+            votes = np.empty(int((~head).sum()), VOTE)
+            votes["lead"], votes["row"] = records["node"][np.repeat(begin, members)[~head]], records["node"][~head]
+            for kind, rest in ((_VOTES, votes), (_GONE, _gone(later))):
+                if len(rest):
+                    bucket = -1 - kind - 2 * int(rest["row"][0] % buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([rest.tobytes()], pa.binary())], names=["bucket", "payload"])
 
     return rows.mapInArrow(run, "bucket int, payload binary")
 
 
-def stars(postings: DataFrame) -> DataFrame:
-    """(a, b, band): pairs of a node with the smallest of its band, or the key of a band of three nodes or more."""
+def judged(postings: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(kind, part, payload): votes (row: a node, lead: the smallest of one of its bands), gone places, first places of lines."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
-        payload = [x.as_buffer() for x in table.column("payload")]
-        if table.column("bucket")[0].as_py() < 0:
-            pairs, large = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in payload]), np.empty(0, np.uint64)
-        else:
-            r = np.concatenate([np.frombuffer(x, BAND) for x in payload])
-            keys, counts = K.counted(r["key"])
-            several = keys[counts > 1]
-            large = r["key"][r["more"] > 1]
-            kept = several[np.minimum(np.searchsorted(several, r["key"]), len(several) - 1)] == r["key"] if len(several) else np.zeros(len(r), bool)
-            r = r[kept]
-            r = r[np.lexsort((r["node"], r["key"]))]
-            head = np.ones(len(r), bool)
-            head[1:] = r["key"][1:] != r["key"][:-1]
-            starts = np.flatnonzero(head)
-            members = np.diff(np.append(starts, len(r)))
-            if len(starts):
-                # a node that several slices sent counts again, which only makes a band large too early
-                large = np.concatenate([large, r["key"][starts][members + np.add.reduceat(r["more"].astype(np.int64), starts) > 2]])
-            pairs = np.column_stack([r["node"][np.repeat(starts, members)], r["node"]])
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        large = np.unique(large).view(np.int64)
-        nothing = np.zeros(len(large), np.int64)
-        return pa.table({"a": np.append(pairs[:, 0], nothing), "b": np.append(pairs[:, 1], nothing), "band": pa.array([*[None] * len(pairs), *large.tolist()], pa.int64())})
-
-    return postings.groupBy("bucket").applyInArrow(run, "a long, b long, band long").distinct()
-
-
-def line_sketches(lines: DataFrame) -> DataFrame:
-    """(node, size, bits) of lines (node, line); bits as an array of longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, text="line"):
-            data, offsets = K.utf8(batch.column("line"))
-            sizes, bits = sketches(*shingles(data, K.Rolling(data), offsets[:-1], offsets[1:]))
-            columns = [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), *columns], names=["node", "size", *_BITS])
-
-    return lines.mapInArrow(run, "node long, size long, " + ", ".join(f"{x} long" for x in _BITS))
-
-
-def possible(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sketches do not rule out."""
-    side = lambda c: sketched.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *_BITS)])
-    differ = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in _BITS[1:]), F.bit_count(F.col(f"a_{_BITS[0]}").bitwiseXOR(F.col(f"b_{_BITS[0]}"))))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_room(F.col("a_size"), F.col("b_size"), differ, percent)).select("a", "b")
+        bucket = table.column("bucket")[0].as_py()
+        known = (BAND if bucket < buckets else PLACE) if bucket >= 0 else (VOTE, GONE)[(-1 - bucket) % 2]
+        r = np.concatenate([np.frombuffer(x.as_buffer(), known) for x in table.column("payload")])
+        if bucket < 0:
+            return pa.Table.from_batches([_by_part(r, parts, (-1 - bucket) % 2)])
+        if known is PLACE:
+            first, later = _first_places(r)
+            out = np.empty(len(first), [("row", "<i8"), *PLACE.descr[1:3], ("own", "<i8"), ("line", "<i4")])
+            out["row"], out["check"], out["doc"], out["own"], out["line"] = first["key"].view(np.int64), first["check"], first["doc"], first["row"], first["line"]
+            return pa.Table.from_batches([_by_part(_gone(later), parts, _GONE), _by_part(out, parts, _FIRSTS)])
+        r = r[np.argsort(r["key"])]
+        head = _heads(r["key"])
+        alone = head & np.append(head[1:], True)[: len(r)] & (r["more"] == 0)
+        r, head = r[~alone], head[~alone]
+        begin = np.flatnonzero(head)
+        lead = np.minimum.reduceat(r["node"], begin) if len(begin) else r["node"]
+        votes = np.empty(len(r), VOTE)
+        votes["row"], votes["lead"] = r["node"], np.repeat(lead, np.diff(np.append(begin, len(r))))
+        return pa.Table.from_batches([_by_part(votes, parts, _VOTES)])
+
+    return postings.groupBy("bucket").applyInArrow(run, "kind int, part int, payload binary")
+
+
+def best_leads(votes: DataFrame) -> DataFrame:
+    """(node, best): of every node that shares a band the node with most votes, null if all votes are for itself."""
+
+    @lean
+    def run(table: pa.Table) -> pa.Table:
+        r = np.concatenate([np.frombuffer(x.as_buffer(), VOTE) for x in table.column("payload")])
+        nodes = K.distinct(r["row"])
+        r = r[r["row"] != r["lead"]]
+        r = r[np.lexsort((r["lead"], r["row"]))]
+        begin = np.flatnonzero(_heads(r["row"]) | _heads(r["lead"]))
+        count = np.diff(np.append(begin, len(r)))
+        node, lead = r["row"][begin], r["lead"][begin]
+        order = np.lexsort((lead, -count, node))
+        node, lead = node[order], lead[order]
+        head = _heads(node)
+        node, lead = node[head], lead[head]
+        best, has = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
+        at = np.searchsorted(nodes, node)
+        best[at], has[at] = lead, True
+        return pa.table({"node": nodes, "best": pa.array(best, mask=~has)})
+
+    # a node that is only ever a lead has no votes of its own row if its bands' others stayed in slices
+    leads = votes.mapInArrow(_lead_rows, "part int, payload binary")
+    return votes.select("part", "payload").unionAll(leads).groupBy("part").applyInArrow(run, "node long, best long").groupBy("node").agg(F.max("best").alias("best"))
+
+
+def _lead_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        leads = [K.distinct(np.frombuffer(x.as_buffer(), VOTE)["lead"]) for x in batch.column("payload")]
+        payload = []
+        for x in leads:
+            own = np.empty(len(x), VOTE)
+            own["row"] = own["lead"] = x
+            payload.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(payload, pa.binary())], names=["part", "payload"])
 
 
 def line_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the nodes, one row each."""
+    """(node, check, line) of the nodes, one row each."""
     passes = P.IdFilter(nodes, "node")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, most=1 << 20):
             data, offsets = K.utf8(batch.column("text"))
             _, _, starts, ends = stripped_lines(data, offsets)
-            found, first = np.unique(K.Rolling(data).of(starts, ends), return_index=True)
+            nodes, checks = content_hashes(data, starts, ends)
+            found, first = np.unique(nodes, return_index=True)
             good = passes(found)
             found, first = found[good], first[good]
             raw = data.tobytes()
             text = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(text, pa.binary()).cast(pa.string())], names=["node", "line"])
-
-    return rows.select("text").mapInArrow(run, "node long, line string").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(checks[first].view(np.int64)), pa.array(text, pa.binary()).cast(pa.string())], names=["node", "check", "line"])
+
+    every = rows.select("text").mapInArrow(run, "node long, check long, line string")
+    return every.groupBy("node").agg(F.min(F.struct("check", "line")).alias("x")).select("node", "x.check", "x.line").join(nodes, "node", "left_semi")
+
+
+def overlaps(hashes: np.ndarray, cuts: np.ndarray, percent: int, width: int = 4096) -> np.ndarray:
+    """Which pairs of rows have shingle sets of the similarity, as a square matrix; counted over shingles of two rows or more."""
+    n = len(cuts) - 1
+    low = np.uint64(max(1, int(n).bit_length()))
+    found = K.distinct((hashes >> low << low) | K.doc_of(cuts).astype(np.uint64))
+    row, shingle = (found & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), found >> low
+    sizes = np.bincount(row, minlength=n)
+    head = _heads(shingle)
+    alone = head & np.append(head[1:], True)[: len(head)]
+    row, head = row[~alone], head[~alone]
+    column = np.cumsum(head) - 1
+    common = np.zeros((n, n), np.float32)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 1 + width, width))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            seen = np.zeros((n, int(column[b - 1] - column[a]) + 1), np.float32)
+            seen[row[a:b], column[a:b] - column[a]] = 1
+            common += seen @ seen.T
+    return (100 + percent) * common >= percent * (sizes[:, None] + sizes[None, :]).astype(np.float32) - np.float32(0.5)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs whose shingle sets reach the similarity."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.slices(iter([whole]), text="la", most=1 << 20, rows=4096):
-                n, sets = batch.num_rows, []
-                for side in ("la", "lb"):
-                    data, offsets = K.utf8(batch.column(side))
-                    hashes, cuts = shingles(data, K.Rolling(data), offsets[:-1], offsets[1:])
-                    # the row in the high bits of the hash: one plain sort finds the sets of all rows
-                    sets.append(K.distinct((K.doc_of(cuts).astype(np.uint64) << np.uint64(52)) | (hashes >> np.uint64(12))))
-                both = np.sort(np.concatenate(sets))
-                common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=n)
-                union = np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=n) - common
-                good = pa.array(100 * common >= percent * union)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
-
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
-    lines = P.probably_in(lines, ends, "node")
+                n = batch.num_rows
+                data, offsets = K.utf8(pa.concat_arrays([batch.column("la"), batch.column("lb")]))
+                good = similar(*shingles(data, offsets[:-1], offsets[1:]), np.arange(n), np.arange(n, 2 * n), percent)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
+
     side = lambda c: lines.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def line_components(rows: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """(node, root) of the lines that are similar to another line; rows: id, text."""
-    spark = rows.sparkSession
-    small_batches(spark)
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = materialise(stars(band_postings(rows, buckets)), "line_stars")
-    pairs, large = found.filter("band is null").select("a", "b"), found.filter("band is not null")
-    nodes = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "line_nodes")
-    lines = materialise(line_texts(rows, nodes), "line_texts")
-    free_shuffles(spark)
-    sketched = materialise(line_sketches(lines), "line_sketches")
-    links = materialise(verified(materialise(possible(pairs, sketched, percent), "line_possible"), lines, percent), "line_links")
-    free_shuffles(spark)
-    labels = materialise(components(links), "line_labels")
-    alone, joined = P.split(lines, labels, "node")  # only the texts of nodes with links move
-    joined = joined.join(labels, "node", "left").select("node", F.col("line").alias("text"), F.coalesce("root", "node").alias("comp"))
-    placed = joined.unionAll(alone.select("node", F.col("line").alias("text"), F.col("node").alias("comp")))
-    in_large = P.IdFilter(large, "band")
+def meetings(placed: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(node, group): the tasks in which a node's line is compared.
 
+    A band with several components belongs to the component most of its nodes are in, and all such bands of a component
+    meet in one group: its own nodes there and the others. Own nodes need not meet each other, so beyond BLOCK lines
+    or HELD shingles the others' blocks meet each other and the blocks of own nodes.
+    """
+
+    @lean
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
-            data, offsets = K.utf8(batch.column("text"))
-            hashes, cuts = shingles(data, K.Rolling(data), offsets[:-1], offsets[1:])
+        for batch in K.slices(batches, text="line", most=1 << 20):
+            data, offsets = K.utf8(batch.column("line"))
+            hashes, cuts = shingles(data, offsets[:-1], offsets[1:], wide=False)
             line, keys = bands(hashes, cuts)
-            held = in_large(keys.view(np.int64))
-            line, keys = line[held], keys[held]
-            sizes, bits = sketches(hashes, cuts)
-            records = np.empty(len(keys), PLACED_BAND)
-            records["key"], records["size"], records["bits"] = keys, sizes[line], bits[line]
-            for name in ("node", "comp"):
+            records = np.empty(len(keys), MEMBER)
+            records["key"], records["n"] = keys, np.diff(cuts)[line]
+            for name in ("node", "comp", "best"):
                 records[name] = batch.column(name).to_numpy()[line]
             yield P.by_bucket(records, buckets)
 
-    cross = P.candidate_pairs(placed.mapInArrow(post, "bucket int, payload binary"), may_match(percent), True, PLACED_BAND)
-    cross = materialise(cross.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "line_cross")
-    links = links.unionAll(materialise(verified(cross, lines, percent), "line_cross_links"))
-    return materialise(components(links), "line_components")
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, gone array<int>): the numbers of the lines that go, for documents that lose any."""
-    rows = _rows(docs, id_col, text_col)
-    at = materialise(occurrences(rows), "line_occurrences")
-    labels = line_components(rows, percent)
-    firsts = at.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = materialise(firsts.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "root", "first", "n").toDF("node", "root", "linked", "first", "n").filter("n > 1 or linked is not null"), "line_firsts")
-    stays = firsts.groupBy("root").agg(F.min("first").alias("stays"))
-    judged = materialise(firsts.select("node", "root").join(stays, "root").select("node", "stays"), "line_judged")
-    gone = at.join(judged, "node").filter((F.col("id") != F.col("stays.id")) | (F.col("line") != F.col("stays.line")))
-    return materialise(gone.groupBy("id").agg(F.collect_set("line").alias("gone")), "lines_gone")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The input's rows and columns with the lines removed from the text, and n_lines and n_removed behind them."""
-    gone = removed_lines(docs, id_col, text_col, percent).withColumnRenamed("id", "__id")
-    columns, place = docs.columns, docs.columns.index(text_col)
-    id_place = columns.index(id_col)
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    touched = P.IdFilter(gone, "__id")
-
-    def may_lose(batch: pa.RecordBatch) -> np.ndarray:
-        ids = batch.column(id_place).cast(pa.int64())
-        return touched(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-
-    def cleaned(batch: pa.RecordBatch, gone: list[list[int] | None]) -> pa.RecordBatch:
-        texts, total, lost = [], [], []
-        for text, numbers in zip(batch.column(place).to_pylist(), gone, strict=True):
-            parts = (text or "").split("\n")
-            total.append(len(parts))
-            lost.append(len(numbers or ()))
-            if numbers:
-                drop = set(numbers)
-                text = "\n".join(x for i, x in enumerate(parts) if i not in drop)
-            texts.append(text)
-        arrays = [batch.column(i) for i in range(len(columns))]
-        arrays[place] = pa.array(texts, arrays[place].type)
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*columns, "n_lines", "n_removed"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def mixed(table: pa.Table) -> pa.Table:
+        r = np.concatenate([np.frombuffer(x.as_buffer(), MEMBER) for x in table.column("payload")])
+        r = r[np.lexsort((r["comp"], r["key"]))]
+        begin = np.flatnonzero(_heads(r["key"]))
+        members = np.diff(np.append(begin, len(r)))
+        several = r["comp"][begin] != r["comp"][begin + members - 1]
+        two = np.flatnonzero(members == 2)
+        x, y = r[begin[two]], r[begin[two] + 1]
+        several[two[(x["best"] == y["node"]) | (y["best"] == x["node"])]] = False  # compared in the first round
+        r, members = r[np.repeat(several, members)], members[several]
+        band = np.repeat(np.arange(len(members)), members)
+        begin = np.flatnonzero(_heads(band) | _heads(r["comp"]))
+        count, of = np.diff(np.append(begin, len(r))), band[begin]
+        order = np.lexsort((r["comp"][begin], -count, of))
+        chief = r["comp"][begin[order[_heads(of[order])]]]
+        out = np.empty(len(r), MEETING)
+        out["row"], out["chief"], out["own"], out["n"] = r["node"], chief[band], r["comp"] == chief[band], r["n"]
+        return pa.Table.from_batches([_by_part(out, parts, 0)])
+
+    @lean
+    def gather(table: pa.Table) -> pa.Table:
+        r = np.concatenate([np.frombuffer(x.as_buffer(), MEETING) for x in table.column("payload")])
+        r = r[np.lexsort((r["chief"], r["row"]))]
+        r = r[_heads(r["row"]) | _heads(r["chief"])]
+        return pa.table({"node": np.ascontiguousarray(r["row"]), "chief": np.ascontiguousarray(r["chief"]), "own": r["own"] == 1, "n": np.ascontiguousarray(r["n"])})
+
+    found = placed.mapInArrow(post, "bucket int, payload binary").groupBy("bucket").applyInArrow(mixed, "kind int, part int, payload binary")
+    met = materialise(found.groupBy("part").applyInArrow(gather, "node long, chief long, own boolean, n long"), "line_meetings")
+    blocks = lambda own: F.greatest(F.ceil(F.sum(F.when(own, 1)) / (BLOCK // 2)), F.ceil(F.sum(F.when(own, F.col("n"))) / (HELD // 2)))
+    cut = met.groupBy("chief").agg(blocks(F.col("own")).alias("owns"), blocks(~F.col("own")).alias("others"))
+    cut = cut.withColumn("owns", F.coalesce("owns", F.lit(0))).filter("owns + others > 2")
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    other = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("chief", F.least(block(F.col("others")), j), F.greatest(block(F.col("others")), j))),
+        F.when(F.col("owns") > 0, F.transform(F.sequence(F.lit(0), F.col("owns") - 1), lambda k: F.xxhash64("chief", block(F.col("others")), -1 - k))).otherwise(F.array().cast("array<bigint>")),
+    )
+    own = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.xxhash64("chief", i, -1 - block(F.col("owns"))))
+    groups = F.when(F.col("others").isNull(), F.array(F.xxhash64("chief"))).when(F.col("own"), own).otherwise(other)
+    return met.join(cut, "chief", "left").select("node", F.explode(groups).alias("group"))
+
+
+def joining_links(met: DataFrame, percent: int, few: int = 8, held: int = 4096) -> DataFrame:
+    """(a, b): links between components; rows of met: group, comp, line.
+
+    The rows of a partition come by group; `few` lines at the most are compared pair by pair, many groups at once.
+    """
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            batch = batch.filter(pa.array(~may_lose(batch)))
-            yield cleaned(batch, [None] * batch.num_rows)
+            waiting.append(batch)
+            if sum(x.num_rows for x in waiting) >= held or sum(x.nbytes for x in waiting) >= 4 << 20:
+                table = pa.Table.from_batches(waiting)
+                group = table.column("group").to_numpy()
+                whole = int(np.searchsorted(group, group[-1]))
+                if whole:
+                    yield links(table.slice(0, whole))
+                    waiting = table.slice(whole).combine_chunks().to_batches()
+        if waiting:
+            yield links(pa.Table.from_batches(waiting))
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        data, offsets = K.utf8(table.column("line"))
+        hashes, cuts = shingles(data, offsets[:-1], offsets[1:])
+        comp = table.column("comp").to_numpy()
+        begin = np.flatnonzero(_heads(table.column("group").to_numpy()))
+        members = np.diff(np.append(begin, len(comp)))
+        pairs = []
+        for n in range(2, few + 1):
+            at = begin[members == n]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    pairs.append(np.column_stack([at + i, at + j]))
+        x, y = np.concatenate([*pairs, np.empty((0, 2), np.int64)]).T
+        differ = comp[x] != comp[y]
+        x, y = x[differ], y[differ]
+        good = np.concatenate([similar(hashes, cuts, x[i : i + 2048], y[i : i + 2048], percent) for i in range(0, len(x), 2048)] + [np.empty(0, bool)])
+        found = [np.column_stack([comp[x[good]], comp[y[good]]])]
+        for a, n in zip(begin[members > few].tolist(), members[members > few].tolist(), strict=True):
+            found.append(spanning(comp[a : a + n], overlaps(hashes[cuts[a] : cuts[a + n]], cuts[a : a + n + 1] - cuts[a], percent)))
+        found = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
+
+    return met.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+
+
+def similar(hashes: np.ndarray, cuts: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (at most 4,096) of rows of shingles reach the similarity."""
+    sets = []
+    for rows in (x, y):
+        n = cuts[rows + 1] - cuts[rows]
+        at = np.arange(n.sum()) + np.repeat(cuts[rows] - np.cumsum(n) + n, n)
+        # the pair in the high bits of the hash: one plain sort finds the sets of all pairs
+        sets.append(K.distinct((np.repeat(np.arange(len(rows), dtype=np.uint64), n) << np.uint64(52)) | (hashes[at] >> np.uint64(12))))
+    both = np.sort(np.concatenate(sets))
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(x))
+    union = np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=len(x)) - common
+    return 100 * common >= percent * union
+
+
+def spanning(comp: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Of all links between rows those that join the rows' components."""
+    comps, own = np.unique(comp, return_inverse=True)
+    x, y = np.nonzero(good & (own[:, None] < own[None, :]))
+    pairs = K.distinct(own[x] * len(comps) + own[y])
+    parent, links = list(range(len(comps))), []
+    for a, b in zip((pairs // len(comps)).tolist(), (pairs % len(comps)).tolist(), strict=True):
+        link = comps[a], comps[b]
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append(link)
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
+def line_components(rows: DataFrame, votes: DataFrame, percent: int, buckets: int, parts: int) -> DataFrame:
+    """(node, check, root) of the lines that are similar to another line; rows: text."""
+    best = materialise(best_leads(votes), "line_best")
+    lines = materialise(line_texts(rows, best.select("node")), "line_texts")
+    free_shuffles(rows.sparkSession)
+    links = materialise(verified(best.filter("best is not null").select(F.col("best").alias("a"), F.col("node").alias("b")), lines, percent), "line_links")
+    labels = materialise(components(links), "line_labels")
+    placed = lines.join(best, "node").join(labels, "node", "left").select("node", "line", F.coalesce("root", "node").alias("comp"), F.coalesce("best", "node").alias("best"))
+    placed = materialise(placed, "line_placed")
+    drop(best, links)
+    met = materialise(meetings(placed, buckets, parts), "line_groups").withColumnRenamed("node", "__node")
+    free_shuffles(rows.sparkSession)
+    more = materialise(joining_links(placed.join(met, F.col("node") == F.col("__node")).select("group", "comp", "line"), percent), "line_joins")
+    drop(placed)
+    found = components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    found = materialise(lines.select("node", "check").join(found, "node"), "line_components")
+    drop(lines, more, labels)
+    return found
+
+
+def gone_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, row, gone array<boolean>): by line number whether it goes, for documents that lose any; rows: id, row, text."""
+    spark = rows.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = rows.agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0
+    buckets = max(parts, -(-lines * BANDS // PER_BUCKET))
+    found = materialise(judged(posted(rows, buckets), buckets, parts), "line_judged")
+    free_shuffles(spark)
+    kind = lambda k: found.filter(F.col("kind") == k).select("part", "payload")
+    labels = line_components(rows, kind(_VOTES), percent, buckets, parts)
+    linked = P.IdFilter(labels, "node")
+    first = np.dtype([("node", "<i8"), ("check", "<i8"), ("doc", "<i8"), ("own", "<i8"), ("line", "<i4")])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_lose(batch)))
+            for x in batch.column("payload"):
+                r = np.frombuffer(x.as_buffer(), first)
+                r = r[linked(r["node"])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[c])) for c in first.names], names=list(first.names))
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield cleaned(batch, batch.column(len(columns)).to_pylist())
-
-    # only documents that may lose a line meet the list of lines
-    met = docs.mapInArrow(others, docs.schema)
-    met = met.join(gone, met[id_col] == gone["__id"], "left").select(*[met[c] for c in columns], gone["gone"])
-    return docs.mapInArrow(whole, schema).unionAll(met.mapInArrow(judged, schema))
+            out = np.empty(batch.num_rows, GONE)
+            for c in GONE.names:
+                out[c] = batch.column(c).to_numpy()
+            yield _by_part(out, parts, _GONE).select(["part", "payload"])
+
+    @lean
+    def gather(table: pa.Table) -> pa.Table:
+        r = np.concatenate([np.frombuffer(x.as_buffer(), GONE) for x in table.column("payload")])
+        r = r[np.lexsort((r["line"], r["doc"], r["row"]))]
+        begin = np.flatnonzero(_heads(r["row"]) | _heads(r["doc"]))
+        ends = np.append(begin[1:], len(r))[: len(begin)]
+        sizes = r["line"][ends - 1].astype(np.int64) + 1
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        flags = np.zeros(cuts[-1], bool)
+        flags[np.repeat(cuts[:-1], ends - begin) + r["line"]] = True
+        return pa.table({"doc": r["doc"][begin], "row": r["row"][begin], "gone": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flags))})
+
+    linked_firsts = kind(_FIRSTS).mapInArrow(firsts, "node long, check long, doc long, own long, line int").join(labels, ["node", "check"])
+    linked_firsts = materialise(linked_firsts.select("root", "doc", F.col("own").alias("row"), "line"), "line_firsts")
+    stays = linked_firsts.groupBy("root").agg(F.min(F.struct("doc", "row", "line")).alias("stays"))
+    lost = linked_firsts.join(stays, "root").filter(F.struct("doc", "row", "line") != F.col("stays")).select("doc", "row", "line")
+    every = kind(_GONE).unionAll(lost.mapInArrow(packed, "part int, payload binary"))
+    gone = materialise(every.groupBy("part").applyInArrow(gather, "doc long, row long, gone array<boolean>").withColumnRenamed("doc", "id"), "lines_gone")
+    drop(found, labels, linked_firsts)
+    return gone
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counts: bool = True) -> DataFrame:
+    """The input's rows and columns with the lines removed from the text, and n_lines and n_removed behind them if counts are wanted."""
+    small_batches(docs.sparkSession)
+    number, row = row_key(F.col(id_col), F.col(text_col))
+    gone = gone_lines(docs.select(number.alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), percent)
+    whole = docs.select(number.alias("id"), row.alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    whole = whole.join(gone, ["id", "row"], "left").select("doc", "gone")
+    text = F.col("doc").getField(text_col)
+    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+    columns = [kept.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    if counts:
+        columns += [F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size(F.filter("gone", lambda x: x)), F.lit(0)).cast("long").alias("n_removed")]
+    return whole.select(*columns)
