@@ -33,8 +33,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tidemark.llm.token_files import read_token_files, write_token_files
 
-    files, by_rank = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    read = read_token_files(files, by_rank)
+    read = read_token_files(spark, write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
     return read.select("doc_id", "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
