@@ -6,7 +6,7 @@ there, found by an automaton, the one that fits the last token of the prefix bef
 filled left to right in one pass and the ids are read off backwards from the end.
 
 No piece joins a character to a space mark behind it, nor (checked when the model is loaded) a newline to anything, so
-a text falls into chunks with encodings of their own, and a bounded cache keeps those of frequent chunks. Pieces of
+a text falls into chunks with encodings of their own, and a bounded pool keeps those met before, known by 64-bit hashes. Pieces of
 space marks alone tie in score; a chunk with several space marks is therefore merged step by step, in the library's
 order (best score, then leftmost).
 
@@ -18,10 +18,9 @@ result.
 from __future__ import annotations
 
 import heapq
-import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,24 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as K
+from tidemark.llm.shared import lean
+from tidemark.llm.units import Pool
 
 SPACE = "▁"
-CACHED = 600_000
-
-
-class _Filled(dict):
-    """A dict of at most `size` results of a function; it starts anew when full. Long keys are not kept."""
-
-    def __init__(self, make: Callable[[str], bytes], size: int):
-        self.make, self.size = make, size
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = value
-        return value
+#: Chunks and fitting pairs that a worker keeps, and the bytes of a chunk that is kept.
+CACHED, PAIRS, LONGEST = 600_000, 1 << 18, 64
 
 
 class PieceCodec:
@@ -72,15 +59,25 @@ class PieceCodec:
                 self.surface[i] = piece.replace(SPACE, " ").encode()
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.ids):
             raise ValueError("a piece crosses the chunk boundaries")
-        self.chunk = re.compile(rf"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        #: by two neighbouring ASCII characters: whether some piece has them so
+        self.inside = np.zeros((128, 128), bool)
+        for piece in self.ids:
+            codes = [32 if c == SPACE else ord(c) for c in piece]
+            for x, y in zip(codes[:-1], codes[1:], strict=True):
+                if x < 128 and y < 128:
+                    self.inside[x, y] = True
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             if len(piece) > 1 and self.merge(piece) == [piece]:
                 self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
-        self.fits = lru_cache(1 << 19)(lambda left, right: self.merge(left + right) == [left, right])
-        self.token_ids = _Filled(lambda token: array("I", [self.ids[token]] if token in self.ids else [self.bytes[b] for b in token.encode()]).tobytes(), 1 << 18)
-        self.cache = _Filled(self.encode_chunk, CACHED)
+        self.fits = lru_cache(PAIRS)(lambda left, right: self.merge(left + right) == [left, right])
+        self.token_ids = lru_cache(1 << 16)(lambda token: [self.ids[token]] if token in self.ids else [self.bytes[b] for b in token.encode()])
+        self.pool = Pool(CACHED)
+        self.plain = np.array([x is not None for x in self.surface])
+        self.surface_sizes = np.array([len(x or b"") for x in self.surface], np.int32)
+        self.surface_starts = np.cumsum(self.surface_sizes) - self.surface_sizes
+        self.surface_bytes = np.frombuffer(b"".join(x or b"" for x in self.surface), np.uint8)
 
     def merge(self, text: str) -> list[str]:
         """Merge neighbouring symbols by best score, then leftmost, until no pair is a piece."""
@@ -126,8 +123,7 @@ class PieceCodec:
         last += text[known:]
         return last
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        """The chunk's ids as little-endian 32-bit integers."""
+    def encode_chunk(self, chunk: str) -> list[int]:
         if chunk.startswith(SPACE * 2):
             tokens = self.merge(chunk)
         else:
@@ -137,14 +133,68 @@ class PieceCodec:
                 tokens.append(token)
                 end -= len(token)
             tokens.reverse()
-        return b"".join(map(self.token_ids.__getitem__, tokens))
+        return [i for token in tokens for i in self.token_ids(token)]
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (their UTF-8 bytes end to end) end to end, and n + 1 offsets.
+
+        A text begins with a space mark; chunks begin at newlines, at the first of several space marks, and between ASCII
+        characters that no piece has side by side.
+        """
+        mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.empty(0, np.int64)
+        if len(mark):  # space marks in the text itself are spaces
+            kept = np.ones(len(data), bool)
+            kept[np.concatenate([mark + 1, mark + 2])] = False
+            data = np.where(np.isin(np.arange(len(data)), mark), np.uint8(32), data)
+            offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
+            data = data[kept]
+        filled = np.diff(offsets) > 0
+        data = np.insert(data, offsets[:-1][filled], np.uint8(32))
+        offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        space = data == 32
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut |= data == 10
+        plain = data < 128
+        cut[1:] |= plain[1:] & plain[:-1] & ~self.inside[data[:-1] & 127, data[1:] & 127]
+        cut[offsets[:-1][filled]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        raw = data.tobytes()
+
+        def make(at: np.ndarray) -> np.ndarray:
+            found = [self.encode_chunk(raw[a:b].decode().replace(" ", SPACE)) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            return self.pool.keep(np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found)), np.int64))
+
+        ids, total = self.pool.ids(K.Rolling(data).of(starts, ends), np.flatnonzero(ends - starts > LONGEST), make, make)
+        return ids, total[np.searchsorted(starts, offsets)]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, uint32."""
-        if not text:
-            return np.empty(0, np.uint32)
-        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), np.uint32)
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_all(data, np.array([0, len(data)]))[0]
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of many documents' ids laid end to end."""
+        sizes = self.surface_sizes[ids].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(total[-1])
+        at += np.repeat(self.surface_starts[ids] - total[:-1], sizes)
+        data, cuts = self.surface_bytes[at], total[offsets]
+        filled = np.flatnonzero(np.diff(cuts) > 0)
+        lead = cuts[filled][data[cuts[filled]] == 32]  # the space mark before the text
+        data = np.delete(data, lead)
+        cuts = cuts - np.searchsorted(lead, cuts)
+        texts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        try:
+            if not self.plain[ids].all():
+                raise pa.ArrowInvalid("special ids")
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+        return texts.cast(pa.string())
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; sequences that are no encodings (special ids, broken bytes) go to the library."""
@@ -165,14 +215,13 @@ def codec(model_file: str) -> PieceCodec:
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ids array<int>, decoded."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in K.slices(batches, most=1 << 20):
-            encoded = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])])
-            values = np.concatenate([*encoded, np.empty(0, np.uint32)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, pa.array([own.decode(x.tolist()) for x in encoded], pa.string())], names=[id_col, "ids", "decoded"])
+            values, offsets = own.encode_all(*K.utf8(batch.column("text")))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, own.decode_all(values, offsets)], names=[id_col, "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded string")
