@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import anchors as A
 from tidemark.llm import textkit as K
 from tidemark.llm.exact_dedup import keyed_rows, split_copies
-from tidemark.llm.shared import free_shuffles, materialise, small_batches
+from tidemark.llm.shared import free_shuffles, lean, materialise, small_batches
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
@@ -63,6 +63,7 @@ def _anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def repeated_grams(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, payload) of anchor hashes that occur in more than one document or slice."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))
@@ -70,6 +71,7 @@ def repeated_grams(rows: DataFrame, buckets: int) -> DataFrame:
             found, counts = K.counted(hashes & ~np.uint64(1))
             yield A.hash_rows(found | (counts > 1).astype(np.uint64), buckets)
 
+    @lean
     def merge(table: pa.Table) -> pa.Table:
         every = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("payload")])
         double = K.distinct(every[every & np.uint64(1) == 1] & ~np.uint64(1))
@@ -100,7 +102,7 @@ def _suffixes(batch: pa.RecordBatch, repeats: A.RepeatFilter) -> np.ndarray:
 
 def _symbols(records: np.ndarray, begin: int) -> np.ndarray:
     """The suffixes from byte `begin` of the content on as columns of big-endian 64-bit symbols."""
-    raw = np.ascontiguousarray(records["text"]).view(np.uint8).reshape(len(records), -1)[:, begin:]
+    raw = np.ascontiguousarray(records["text"]).view(np.uint8).reshape(-1, REACH + LENGTH)[:, begin:]
     wide = np.zeros((len(records), -(-raw.shape[1] // 8) * 8), np.uint8)
     wide[:, : raw.shape[1]] = raw
     return wide.view(">u8").astype(np.uint64)
@@ -151,7 +153,7 @@ def repeated_strings(records: np.ndarray) -> np.ndarray:
     twin = common >= GRAM
     alive = twin | np.append(twin[1:], False)[: len(twin)]
     records, common = records[alive], common[alive]
-    raw = np.ascontiguousarray(records["text"]).view(np.uint8).reshape(len(records), -1)
+    raw = np.ascontiguousarray(records["text"]).view(np.uint8).reshape(-1, REACH + LENGTH)
     before = np.zeros(len(records), np.uint64)
     found = []
     for back in range(REACH + 1):
@@ -209,6 +211,7 @@ def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
     repeats = A.RepeatFilter(materialise(repeated_grams(rows, buckets), "repeated_grams"))
 
     # the sample: the beginnings of the suffixes with the smallest hashes, from all slices
+    @lean
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))
@@ -222,11 +225,12 @@ def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
     cuts = [bytes(leads[i * len(leads) // buckets]) for i in range(1, buckets)] if leads else []
     splitters = np.array(sorted(set(cuts)), f"S{LEADING}") if cuts else np.empty(0, f"S{LEADING}")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             records, found = _local(_suffixes(batch, repeats))
             if len(records):
-                raw = np.ascontiguousarray(records["text"]).view(np.uint8).reshape(len(records), -1)
+                raw = np.ascontiguousarray(records["text"]).view(np.uint8).reshape(-1, REACH + LENGTH)
                 lead = np.ascontiguousarray(raw[:, REACH : REACH + LEADING]).view(f"S{LEADING}").ravel()
                 bucket = np.searchsorted(splitters, lead, side="right").astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
@@ -236,11 +240,13 @@ def removed_runs(rows: DataFrame, buckets: int) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - int(found["doc"][0] % buckets)], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["bucket", "payload"])
 
+    @lean
     def judge(table: pa.Table) -> pa.Table:
         kind = SUFFIX if table.column("bucket")[0].as_py() >= 0 else FOUND
         records = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("payload")])
         return pa.Table.from_batches([A.rows_by_doc(_runs(repeated_strings(records) if kind is SUFFIX else records), buckets)])
 
+    @lean
     def gather(table: pa.Table) -> pa.Table:
         runs = np.concatenate([np.frombuffer(x.as_buffer(), RUN) for x in table.column("payload")])
         order, head = K.run_ranks(runs["row"], runs["doc"])
@@ -274,6 +280,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = keyed_rows(docs, id_col, text_col, F.col(id_col).alias("own"))
     marked = marked.join(gone, ["id", "row"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "row"], "left").select("own", "text", "begins", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))
