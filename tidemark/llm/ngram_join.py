@@ -19,8 +19,9 @@ sent to all tasks. The documents that have one among their first n-grams and are
 compared block by block of BLOCK documents as matrix products of their fragments.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; fewer words than the width count as
-one n-gram; equal sets are one class whatever their texts; rows that repeat an id count as
-versions of one document, of which any may make a link; rows with a null id are dropped; an empty table gives an empty result; extra columns are ignored.
+one n-gram; equal sets are one class whatever their texts; rows that repeat an id with other texts are documents of
+their own, and each row has the results of its text; a null id counts as the smallest and is null in the results; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
 from tidemark.llm.components import components
-from tidemark.llm.shared import free_shuffles, materialise, small_batches
+from tidemark.llm.exact_dedup import row_key
+from tidemark.llm.shared import free_shuffles, lean, materialise, small_batches
 
 WIDTH, PERCENT = 5, 80
 FREQUENT = 1_000_000
@@ -68,8 +70,18 @@ def _least(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return -(-n * percent // 100)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, first): of ids (null as the smallest number) with several texts the row key of one."""
+    number, row = row_key(F.col(id_col), F.col(text_col))
+    several = docs.select(number.alias("doc"), row.alias("row")).groupBy("doc").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    return materialise(several.filter("first <> last").select("doc", "first"), "ngram_versions")
+
+
+def _rows(docs: DataFrame, versions: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, doc, text) and more: doc is the id of the input; id is that too, but for further texts of a doc their row key."""
+    number, row = row_key(F.col(id_col), F.col(text_col))
+    keyed = docs.select(number.alias("doc"), row.alias("row"), F.col(text_col).alias("text"), *more).join(versions, "doc", "left")
+    return keyed.withColumn("id", F.coalesce(F.when(F.col("row") != F.col("first"), F.col("row")), F.col("doc"))).drop("row", "first")
 
 
 def frequent_ngrams(rows: DataFrame, width: int, most: int = FREQUENT) -> np.ndarray:
@@ -79,6 +91,7 @@ def frequent_ngrams(rows: DataFrame, width: int, most: int = FREQUENT) -> np.nda
     the order of n-grams may be any, so this costs speed, never results.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in K.slices(batches):
@@ -126,8 +139,9 @@ def needed(percent: int) -> P.Need:
 
 
 def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """id, n, key_a, key_b (of the whole set), first (rare n-grams to post), often (frequent ones to post)."""
+    """id, doc, n, key_a, key_b (of the whole set), first (rare n-grams to post), often (frequent ones to post)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
         for batch in K.slices(batches):
@@ -136,7 +150,7 @@ def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
             every = np.concatenate([*sets, np.empty(0, np.uint64)])
             at = np.minimum(np.searchsorted(known, every), max(len(known) - 1, 0))
             often = known[at] == every if len(known) else np.zeros(len(every), bool)
-            out = {"id": batch.column("id"), "n": n, "key_a": [], "key_b": [], "first": [], "often": []}
+            out = {"id": batch.column("id"), "doc": batch.column("doc"), "n": n, "key_a": [], "key_b": [], "first": [], "often": []}
             start = 0
             for s in sets:
                 f = often[start : start + len(s)]
@@ -147,10 +161,10 @@ def set_table(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
                 out["often"].append(s[f][: wanted - len(rare)].view(np.int64))
                 out["key_a"].append(int(K.mix(s).sum(dtype=np.uint64).view(np.int64)))
                 out["key_b"].append(int(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    return rows.mapInArrow(run, "id long, n long, key_a long, key_b long, first array<long>, often array<long>")
+    return rows.mapInArrow(run, "id long, doc long, n long, key_a long, key_b long, first array<long>, often array<long>")
 
 
 def _records(batch: pa.RecordBatch) -> np.ndarray:
@@ -169,6 +183,7 @@ def _records(batch: pa.RecordBatch) -> np.ndarray:
 def fragment_sets(rows: DataFrame, width: int) -> DataFrame:
     """id, fragment, grams: each set cut at fixed points of the global order of hashes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.arange(1, FRAGMENTS).astype(np.uint64) * np.uint64(2**64 // FRAGMENTS)
         for batch in K.slices(batches, most=1 << 20):
@@ -227,6 +242,7 @@ def _family_links(rows: DataFrame, members: DataFrame, width: int, percent: int,
     met = met.select("id", "comp", "family", F.least(here, there).alias("x"), F.greatest(here, there).alias("y"), (here == F.least(here, there)).alias("left"))
     sets = materialise(_fragments(rows, members.select("id").distinct(), width).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("fragment", "grams"))).alias("parts")), "family_sets")
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
         same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
@@ -252,13 +268,19 @@ def _family_links(rows: DataFrame, members: DataFrame, width: int, percent: int,
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """One row per id: id, n_ngrams, class_id (smallest id with the same set), component_id."""
-    spark = docs.sparkSession
+    """One row per input row: id, n_ngrams, class_id (smallest id with the same set), component_id."""
+    found = _components(_rows(docs, _versions(docs, id_col, text_col), id_col, text_col), width, percent, buckets)
+    shown = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
+    return found.select(shown("doc").alias(id_col), F.col("n").alias("n_ngrams"), shown("class_doc").alias("class_id"), shown("component_doc").alias("component_id"))
+
+
+def _components(rows: DataFrame, width: int, percent: int, buckets: int | None) -> DataFrame:
+    """id, doc, n, class_doc, component_doc of rows (id, doc, text)."""
+    spark = rows.sparkSession
     small_batches(spark)
-    rows = _rows(docs, id_col, text_col)
     frequent = spark.sparkContext.broadcast(frequent_ngrams(rows, width))
     sets = materialise(set_table(rows, frequent, width, percent), "ngram_sets")
-    classes = materialise(sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")), "ngram_classes")
+    classes = materialise(sets.filter("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("id").alias("class_id"), F.min("doc").alias("class_doc"), F.count(F.lit(1)).alias("members")), "ngram_classes")
     copies = sets.filter("n > 0").select("id", "key_a", "key_b", "n").join(classes.filter("members > 1"), ["key_a", "key_b", "n"]).filter("id <> class_id")
     copies = materialise(copies.select("id").distinct(), "ngram_copies")
     heads = P.without(sets.filter("n > 0").select("id", "n", "first", "often"), copies, "id")
@@ -310,13 +332,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = links.unionAll(materialise(verified(cross, fragments, percent), "cross_links")).unionAll(family_links)
     labels = materialise(components(links), "ngram_components")
 
-    by_class = classes.join(labels, classes["class_id"] == labels["node"], "left").select("key_a", "key_b", "n", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-    out = sets.select("id", "n", "key_a", "key_b").join(by_class, ["key_a", "key_b", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_ngrams"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+    by_class = classes.join(labels, classes["class_id"] == labels["node"], "left").select("key_a", "key_b", "n", "class_id", "class_doc", "root")
+    least = by_class.filter("root is not null").groupBy("root").agg(F.min("class_doc").alias("least"))
+    by_class = by_class.join(least, "root", "left").select("key_a", "key_b", "n", "class_doc", F.coalesce("least", "class_doc").alias("component_doc"))
+    out = sets.select("id", "doc", "n", "key_a", "key_b").join(by_class, ["key_a", "key_b", "n"], "left")
+    return out.select("id", "doc", "n", F.coalesce("class_doc", "doc").alias("class_doc"), F.coalesce("component_doc", "doc").alias("component_doc"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The input's rows and columns with the smallest id of each component only; rows with a null id stay."""
-    found = ngram_components(docs, id_col, text_col, width, percent)
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The input's rows and columns with the smallest id of each component only (null is the smallest); rows that repeat that id stay if they are in the component."""
+    versions = _versions(docs, id_col, text_col)
+    found = _components(_rows(docs, versions, id_col, text_col), width, percent, None)
+    gone = materialise(found.filter("component_doc <> doc").select("id").distinct(), "ngram_gone")
+    whole = _rows(docs, versions, id_col, text_col, F.struct(*[docs[c] for c in docs.columns]).alias("whole")).select("id", "whole")
+    return whole.join(gone, "id", "left_anti").select("whole.*")
