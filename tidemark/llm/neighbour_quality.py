@@ -8,12 +8,12 @@ the NEIGHBOURS nearest count by similarity.
 
 Defined cases: a null or empty text, or one without any known term, scores the mean label of the sample; null labels
 are ignored; several labels of an id count by their mean; without labels every document scores 1; rows that repeat an id
-are scored each; an empty table gives an empty result.
+are scored each, and the smallest text of an id is learnt; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as K
+from tidemark.llm.shared import lean
 
 MAX_TRAIN = 4_000
 DIMENSIONS = 64
@@ -111,8 +112,8 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours:
     return np.clip(out, 0.0, 1.0)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
-    """One row per input row: id, score. learn_from: condition on id that a labelled row must meet to be learnt from."""
+def _fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None, id_col: str, text_col: str, label_col: str, max_train: int) -> Callable[[pa.Array], np.ndarray]:
+    """A function that scores an array of texts on the executors."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("double").alias("label")).filter(F.col("label").isNotNull())
@@ -123,6 +124,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
     # at most max_train rows of (id, label)
     picked = spark.createDataFrame([(r.id, r.label) for r in chosen.collect()], "id long, label double")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, rows=512):
             counts = term_counts(*K.utf8(batch.column("text"))).astype(np.float16)
@@ -132,8 +134,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
                 packed.append(at.astype(np.uint16).tobytes() + row[at].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(packed, pa.binary())], names=["id", "label", "packed"])
 
-    learnt = rows.join(F.broadcast(picked), "id").mapInArrow(count, "id long, label double, packed binary").collect()
-    learnt = sorted({r.id: r for r in learnt}.values(), key=lambda r: r.id)
+    # one text of an id, whatever the order of rows
+    texts = rows.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    learnt = texts.select("id", "text", "label").mapInArrow(count, "id long, label double, packed binary").collect()
+    learnt = sorted(learnt, key=lambda r: r.id)
     if learnt:
         counts = np.zeros((len(learnt), TERMS), np.float32)
         for i, r in enumerate(learnt):
@@ -146,10 +150,38 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
         projection, known, values = np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0)
     model = spark.sparkContext.broadcast((projection, known, values))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: pa.Array) -> np.ndarray:
         projection, known, values = model.value
+        return vote(_unit(term_counts(*K.utf8(texts)) @ projection), known, values)
+
+    return scores
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
+    """One row per input row: id, score. learn_from: condition on id that a labelled row must meet to be learnt from."""
+    scores = _fit(docs, labels, learn_from, id_col, text_col, label_col, max_train)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, rows=512):
-            vectors = _unit(term_counts(*K.utf8(batch.column("text"))) @ projection)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(vote(vectors, known, values))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores(batch.column("text")))], names=[id_col, "score"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
+    """The input's rows and columns, without rows that score less; nothing is shuffled."""
+    scores = _fit(docs, labels, learn_from, id_col, text_col, label_col, max_train)
+    place = docs.columns.index(text_col)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # by number, as other columns may have any names
+            named = pa.RecordBatch.from_arrays([*whole.columns, whole.column(place)], names=[*(f"c{i}" for i in range(whole.num_columns)), "text"])
+            for batch in K.slices(iter([named]), rows=512):
+                good = batch.filter(pa.array(scores(batch.column("text")) >= least))
+                yield pa.RecordBatch.from_arrays(good.columns[:-1], names=whole.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
