@@ -130,12 +130,16 @@ def test_token_files(spark, docs, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library, start = Tokenizer.from_file(path), 0
-    got = by_id(read_token_files(*write_token_files(docs, path, 1)))
+    got = by_id(read_token_files(spark, write_token_files(docs, path, 1)))
     for i, t, *_ in corpus():
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         assert (got[i].start, zlib.crc32(got[i].ids)) == (start, zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    assert read_token_files(*write_token_files(empty, path, 1)).count() == 0
+    assert read_token_files(spark, write_token_files(empty, path, 1)).count() == 0
+    # another session finds all it needs in the folder
+    folder = write_token_files(docs, path, 1)
+    again = by_id(read_token_files(spark.newSession(), folder))
+    assert {i: (r.start, bytes(r.ids)) for i, r in again.items()} == {i: (r.start, bytes(r.ids)) for i, r in got.items()}
     ranks, counts = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1, 7], np.uint32), np.array([3, 0, 5])
     control, data, _, _ = pack(ranks, counts)
     assert unpack(control, data, counts).tolist() == ranks.tolist()
@@ -286,25 +290,47 @@ def test_pipeline_stages(spark):
 
 
 def test_token_cache_equals_the_tokenizer_on_odd_words(monkeypatch):
-    """Marks, special tokens, apostrophes and odd letters before punctuation; generations change often."""
-    import random
-
+    """Marks, special tokens, apostrophes, odd letters before punctuation, long words; the pool starts anew often."""
     import public_tokenizers
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
+    from tidemark.llm import textkit as K
     from tidemark.llm import token_files
 
     monkeypatch.setattr(token_files, "CACHED", 2000)
     path = public_tokenizers.path("word_bpe_49k.json")
-    cache, plain = token_files.WordCache(path), Tokenizer.from_file(path)
+    cache, plain = token_files.UnitCache(path), Tokenizer.from_file(path)
     assert cache.apart
-    alphabet = ["a", "B", "é", "É", "İ", "ß", "́", "̸", " ", "\n", "\t", " ", "'", "'s", "'LL", ",", "!", "***", "<", ">", "|"]
-    alphabet += ["<|endoftext|>", "<|ENDOFTEXT|>", "1", "²", "ª", "—", "한", "Σ", "Å", "÷", "_", "日", "\U0001f600", "\x00", "\r", "\u0085"]
+    alphabet = ["a", "B", "é", "É", "İ", "ß", "\u0301", "\u0338", " ", "\n", "\t", "\u00a0", "'", "'s", "'LL", ",", "!", "***", "<", ">", "|", "x" * 70]
+    alphabet += ["<|endoftext|>", "<|ENDOFTEXT|>", "1", "²", "ª", "—", "한", "Σ", "Å", "÷", "×", "Ö", "ÿ", "_", "日", "\U0001f600", "\x00", "\r", "\x7f", "\x1c", "\u0085"]
     rng = random.Random(5)
     for _ in range(12):
-        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(1000)]
-        want = [np.array(plain.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
-        assert cache.encode(texts) == want
+        texts = [None, "", *("".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(1000))]
+        ids, cuts = cache.encode(*K.utf8(pa.array(texts)))
+        for x, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            assert ids[a:b].tolist() == plain.encode(x or "", add_special_tokens=False).ids
+
+
+def test_pool_and_table_hold_what_they_were_given():
+    from tidemark.llm.units import Pool, Table
+
+    rng = np.random.default_rng(3)
+    table, keys = Table(2), np.unique(rng.integers(1, 2**64, 5000, dtype=np.uint64))
+    for part in np.array_split(keys, 7):
+        table.add(part, (part % np.uint64(1000)).astype(np.int32))
+    assert (table.find(keys) == (keys % np.uint64(1000)).astype(np.int32)).all() and (table.find(keys + np.uint64(1)) == -1).sum() >= 4990
+    pool, made = Pool(50), []
+
+    def make(at):
+        made.append(len(at))
+        return pool.keep(np.repeat(units[at], units[at].astype(np.int64) % 3).astype(np.uint32), units[at].astype(np.int64) % 3)
+
+    for _ in range(20):
+        units = rng.integers(1, 200, 60).astype(np.uint64)
+        ids, cuts = pool.ids(units, np.array([4]), make, make)
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [[u] * (u % 3) for u in units.tolist()]
+    assert sum(made) > 200  # it started anew
 
 
 def repeated_ids():
@@ -373,3 +399,118 @@ def test_line_dedup_of_repetitive_lines(spark):
     got = by_id(dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
     assert {i for i, r in got.items() if r.n_removed} == {i for i in range(len(lines)) if root.index(root[i]) != i}
     assert {1, 2, 4, 5, 7, 8, 10} <= {i for i, r in got.items() if r.n_removed}
+
+
+def test_bands_find_similar_lines():
+    """Recall of the banding at similarities of 0.80 to 0.86, by kind of signature."""
+    from tidemark.llm import line_minhash as L
+
+    rnd = random.Random(4)
+    letters = "etaoin shrdlucmfwypvbgkqj  "
+    text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    grams = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+    for n, kinds in ((40, {0}), (75, {0, 1}), (300, {1})):
+        lines = []
+        while len(lines) < 800:
+            a = b = text(n)
+            while True:
+                c = list(b)
+                c[rnd.randrange(len(c))] = rnd.choice(letters)
+                c = "".join(c)
+                if len(grams(a) & grams(c)) < 0.8 * len(grams(a) | grams(c)):
+                    break
+                b = c
+            lines += [a, b]
+        data = np.frombuffer("".join(lines).encode(), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+        hashes, cuts = L.shingles(data, offsets[:-1], offsets[1:], wide=False)
+        assert kinds <= set(L.signatures(hashes, cuts)[1].tolist())
+        keys = [set() for _ in lines]
+        for row, key in zip(*(x.tolist() for x in L.bands(hashes, cuts)), strict=True):
+            keys[row].add(key)
+        assert np.mean([bool(keys[i] & keys[i + 1]) for i in range(0, len(lines), 2)]) >= 0.99
+
+
+def test_line_blocks_and_clashing_columns(spark, monkeypatch):
+    """A family of lines that are compared in many blocks; columns named like the operator's own; shared ids."""
+    from tidemark.llm import line_minhash as L
+
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    base = [rnd.choice(words) for _ in range(30)]
+    lines = [" ".join(w if rnd.random() > 0.09 else rnd.choice(words) for w in base) for _ in range(60)]
+    sets = [{x[j : j + 5] for j in range(len(x) - 4)} for x in lines]
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {i for i in range(len(lines)) if root.index(root[i]) == i}
+    rows = [(i, x, "a", "b", "c", None) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, gone string, doc string, id long")
+    for block in (2048, 8):
+        monkeypatch.setattr(L, "BLOCK", block)
+        kept = L.dedup_lines(docs, counts=False)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert {r.doc_id for r in got if r.text} == want and all((r.n_removed, r.gone, r.doc) == ("a", "b", "c") for r in got)
+    assert sorted(L.dedup_lines(docs).columns) == sorted([*docs.columns, "n_lines"])
+    shared = [(1, "A first\nB second"), (5, "A first\nC third"), (5, "D fourth\nB second"), (None, "E fifth"), (None, "E fifth"), (None, None), (7, "E fifth\nF sixth")]
+    got = L.dedup_lines(spark.createDataFrame(shared, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text or "", r.n_lines, r.n_removed) for r in got) == sorted(
+        [(1, "A first\nB second", 2, 0), (5, "C third", 2, 1), (5, "D fourth", 2, 1), (-1, "E fifth", 1, 0), (-1, "E fifth", 1, 0), (-1, "", 1, 0), (7, "F sixth", 2, 1)]
+    )
+
+
+def test_byte_dedup_without_repeats(spark):
+    from tidemark.llm.suffix_ranges import dedup_bytes
+
+    rnd = random.Random(8)
+    text = lambda: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(300))
+    for rows in ([(1, text()), (2, text()), (3, text())], [(1, text())], [(1, None), (2, None)]):
+        got = dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(i, len(t or ""), 0, 0) for i, t in rows]
+
+
+def test_ngram_join_of_rows_that_share_an_id(spark):
+    """Several texts of an id are documents of their own; null ids count as the smallest and stay null."""
+    from tidemark.llm.ngram_join import keep_one, ngram_components
+
+    rnd = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    near = lambda x: x + " tail"
+    rows = [(3, a), (5, near(a)), (5, b), (7, near(b)), (7, near(b)), (None, c), (None, d), (9, near(c)), (4, near(d)), (None, None), (11, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_ngrams, r.component_id) for r in ngram_components(frame).collect())
+    assert got == Counter([(3, 56, 3), (5, 57, 3), (5, 56, 5), (7, 57, 5), (7, 57, 5), (None, 56, None), (None, 56, None), (9, 57, None), (4, 57, None), (None, 0, None), (11, 0, 11)])
+    kept = Counter((r.doc_id, r.text) for r in keep_one(frame).collect())
+    assert kept == Counter([(3, a), (5, b), (None, c), (None, d), (None, None), (11, "")])
+
+
+def test_quality_votes_equal_an_unblocked_version(spark, docs):
+    """Every score from one product of all documents and all labelled vectors; repeated ids learn one text."""
+    import pyarrow as pa
+
+    from tidemark.llm import neighbour_quality as Q
+    from tidemark.llm import textkit as K
+
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)] + [(3, 0), (900, 1), (5, None)], "doc_id long, quality int")
+    twice = docs.unionAll(docs.filter("doc_id = 7"))
+    got = [(r.doc_id, r.score) for r in Q.score_quality(twice, labels, learn_from=F.col("doc_id") % 3 != 0).collect()]
+    known = sorted({i: t or "" for i, t, *_ in corpus() if i < 40 and i % 3}.items())
+    counts = Q.term_counts(*K.utf8(pa.array([t for _, t in known]))).astype(np.float16).astype(np.float32)
+    projection, vectors = Q.fit_space(counts)
+    values = np.array([float(i % 2) for i, _ in known])
+    texts = [t or "" for _, t, *_ in corpus()]
+    own = Q.term_counts(*K.utf8(pa.array(texts))) @ projection
+    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+    want = {}
+    for (i, *_), row in zip(corpus(), own @ vectors.T, strict=True):
+        near = np.sort(row)[::-1][: Q.NEIGHBOURS][-1]
+        weight = np.where(row >= near, np.maximum(row, 0).astype(float) ** 16, 0)
+        want[i] = (weight * values).sum() / weight.sum() if weight.sum() > 1e-12 else values.mean()
+    assert len(got) == len(texts) + 1
+    for i, score in got:
+        assert score == pytest.approx(want[i], abs=0.02)
+    kept = Q.keep_good(docs, labels, 0.5, learn_from=F.col("doc_id") % 3 != 0)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, score in got if score >= 0.5}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as K
+from tidemark.llm.shared import lean
 
 _PLACE = np.uint64((1 << 28) - 1)
 #: Bits of the filter of repeated anchors; fixed, so it may be sent to all tasks. When full it lets every anchor pass.
@@ -51,6 +52,7 @@ class RepeatFilter:
     """A broadcast bit filter of hashes; column `payload` of rows has them as 64-bit integers."""
 
     def __init__(self, rows: DataFrame):
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")

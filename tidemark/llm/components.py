@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import lean, materialise
 
 
 #: A local union-find takes about so many edges; what is left after some rounds fits one task and ends there.
@@ -24,6 +24,7 @@ PER_TASK = 200_000
 def _join_locally(edges: DataFrame, count: int) -> DataFrame:
     """Each partition's edges replaced by edges of its nodes to the first node (by rank) of their local component."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
         rank: dict[int, int] = {}

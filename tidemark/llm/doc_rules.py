@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as K
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import lean, materialise
 
 MAX_TRAIN = 20_000
 SYMBOLS = b"#*$%&|<>"
@@ -162,6 +162,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: dict[int, int], trees: int
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and COUNTS of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             counts = count_statistics(*K.utf8(batch.column("text")))
@@ -180,6 +181,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     monotone = {FEATURES.index(k): v for k, v in MONOTONE.items()}
     model = fit_trees(x, (sample["label"].to_numpy(float) >= 0.5).astype(float), monotone)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = {k: batch.column(k).to_numpy() for k in COUNTS}

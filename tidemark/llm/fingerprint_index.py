@@ -29,7 +29,7 @@ from tidemark.llm import anchors as A
 from tidemark.llm import postings as P
 from tidemark.llm import textkit as K
 from tidemark.llm.exact_dedup import keyed_rows, split_copies
-from tidemark.llm.shared import discard, free_shuffles, materialise, new_path, small_batches
+from tidemark.llm.shared import discard, free_shuffles, lean, materialise, new_path, small_batches
 
 WINDOW, ANCHOR = 20, 8
 FANOUT, BATCHES = 3, 4
@@ -57,6 +57,7 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: (bucket, payload) rows of sorted hashes, the lowest bit set where a slice has the hash twice. Returns (bucket, payload) of repeated hashes."""
 
+        @lean
         def merge(table: pa.Table) -> pa.Table:
             old = np.array(table.column("run").to_pylist(), bool)
             parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("payload")]
@@ -82,6 +83,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one sorted run and drop the old ones."""
 
+        @lean
         def merge(table: pa.Table) -> pa.Table:
             hashes = K.distinct(np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("payload")]))
             return pa.table({"bucket": table.column("bucket").slice(0, 1), "payload": pa.array([hashes.tobytes()], pa.binary())})
@@ -98,6 +100,7 @@ class FingerprintIndex:
 def anchor_hashes(rows: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
     """(batch, bucket, payload): each slice's distinct anchor hashes, the lowest bit set where the slice has one twice."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in K.slices(batches):
             number = whole.column("batch").to_numpy()
@@ -116,6 +119,7 @@ def anchor_hashes(rows: DataFrame, buckets: int, window: int, anchor: int) -> Da
 def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, window: int, anchor: int) -> DataFrame:
     """(doc, row, starts binary of 32-bit integers): windows that occur earlier; one row per document."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             ids, own = batch.column("id").to_numpy(), batch.column("row").to_numpy()
@@ -135,6 +139,7 @@ def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, wind
             if len(rest := records[~first]):
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - int(rest["doc"][0] % buckets)], pa.int32()), pa.array([rest.tobytes()], pa.binary())], names=["bucket", "payload"])
 
+    @lean
     def judge(table: pa.Table) -> pa.Table:
         records = np.concatenate([np.frombuffer(x.as_buffer(), REPEAT) for x in table.column("payload")])
         if table.column("bucket")[0].as_py() >= 0:
@@ -145,6 +150,7 @@ def repeated_starts(rows: DataFrame, repeats: A.RepeatFilter, buckets: int, wind
             out[c] = records[c]
         return pa.Table.from_batches([A.rows_by_doc(out, max(8, buckets // 16))])
 
+    @lean
     def gather(table: pa.Table) -> pa.Table:
         records = np.concatenate([np.frombuffer(x.as_buffer(), START) for x in table.column("payload")])
         order, head = K.run_ranks(records["row"], records["doc"])
@@ -189,6 +195,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = keyed_rows(docs, id_col, text_col, F.col(id_col).alias("own"))
     marked = marked.join(gone, ["id", "row"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "row"], "left").select("own", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             data, offsets = K.utf8(batch.column("text"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as K
+from tidemark.llm.shared import lean
 
 #: Of pairs of records: how many common lists a candidate needs, 0 if it can be none.
 Need = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -103,6 +104,7 @@ def _order(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def candidate_pairs(postings: DataFrame, need: Need, cross: bool, kind: np.dtype) -> DataFrame:
     """(bucket, payload) rows to distinct (a, b, lists, need); buckets below 0 hold pairs made before, as (a, b, need) of 64-bit integers."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         payload = [x.as_buffer() for x in table.column("payload")]
         if table.column("bucket")[0].as_py() < 0:
@@ -127,6 +129,7 @@ def summed(pairs: DataFrame) -> DataFrame:
 def posting_rows(df: DataFrame, records_of: Callable[[pa.RecordBatch], np.ndarray], buckets: int) -> DataFrame:
     """(bucket, payload) rows of the records that each batch of df makes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
@@ -148,6 +151,7 @@ class IdFilter:
     """A bit filter of ids, as broadcast words."""
 
     def __init__(self, ids: DataFrame, column: str):
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 bits = np.concatenate(_bits(batch.column(0).to_numpy()))
@@ -169,6 +173,7 @@ class IdFilter:
 def _filtered(rows: DataFrame, ids: DataFrame, column: str, keep: bool) -> DataFrame:
     passes = IdFilter(ids, column)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passes(batch.column(column).to_numpy()) == keep))
