@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.line_minhash import dedup_lines
 from tidemark.llm.mixing import repeat_by_mix
-from tidemark.llm.neighbour_quality import score_quality
+from tidemark.llm.neighbour_quality import keep_good
 from tidemark.llm.ngram_join import keep_one
 from tidemark.llm.piece_prefix import encode_decode
 from tidemark.llm.queries import held_out
+from tidemark.llm.shared import materialise
 
 #: A document goes if its score is lower.
 LEAST_SCORE = 0.3
@@ -22,14 +23,12 @@ LEAST_SCORE = 0.3
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects; learnt as in its own query."""
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn_from=~held_out())
-    rejected = scored.filter(F.col("score") < LEAST_SCORE).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__rejected"]), "left_anti")
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), LEAST_SCORE, learn_from=~held_out())
 
 
 def dedup_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the lines removed that are similar to an earlier one; n_chars follows the text."""
-    return dedup_lines(docs).drop("n_lines", "n_removed").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return dedup_lines(docs, counts=False).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over the table that the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
