@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts that mean "missing".
@@ -96,3 +96,42 @@ def limit_rate(code: Column, is_st: Column) -> Column:
     """special treatment, growth boards, north board, the rest; in this order."""
     growth = code.startswith("sh.688") | code.startswith("sz.300")
     return F.when(is_st, F.lit(ST_RATE)).when(growth, F.lit(GROWTH_RATE)).when(code.startswith("bj."), F.lit(NORTH_RATE)).otherwise(F.lit(PLAIN_RATE))
+
+
+#: Decimal places of a bar's fields, and its whole-number and text fields.
+DAILY_DECIMALS = {"open": 4, "high": 4, "low": 4, "close": 4, "preclose": 4, "amount": 2, "turn": 6, "pctChg": 6}
+DAILY_INTEGERS = ["volume", "tradestatus", "isST", "adjustflag"]
+DAILY_TEXTS = ["code_name", "industry_code", "industry_name", "adjustment", "data_source"]
+CONSTITUENT_TEXTS = ["code_name", "industry_code", "industry_name", "classification"]
+
+
+def _all_known(names: list[str]) -> Column:
+    known = F.lit(True)
+    for name in names:
+        known = known & F.col(name).isNotNull()
+    return known
+
+
+def _texts(names: list[str]) -> dict[str, Column]:
+    shape = {"industry_code": F.upper, "adjustment": F.lower}
+    return {n: shape.get(n, lambda c: c)(normalize_text(F.col(n))) for n in names}
+
+
+def normalize_daily(rows: DataFrame) -> DataFrame:
+    """typed bars of text rows, and valid: whether every field is (a row counts as a whole or not at all)."""
+    typed = {"date": normalize_date(F.col("date")), "code": normalize_code(F.col("code"))}
+    typed |= {n: normalize_decimal(F.col(n), p) for n, p in DAILY_DECIMALS.items()} | {n: normalize_integer(F.col(n)) for n in DAILY_INTEGERS} | _texts(DAILY_TEXTS)
+    return rows.select(*[c.alias(n) for n, c in typed.items()]).withColumn("valid", _all_known(list(typed)))
+
+
+def normalize_constituents(rows: DataFrame) -> DataFrame:
+    """the same for constituents."""
+    typed = {"code": normalize_code(F.col("code")), **_texts(CONSTITUENT_TEXTS), "updateDate": normalize_date(F.col("updateDate"))}
+    return rows.select(*[c.alias(n) for n, c in typed.items()]).withColumn("valid", _all_known(list(typed)))
+
+
+def at_least(value, least, name: str):
+    """a parameter that must not be smaller."""
+    if value < least:
+        raise ValueError(f"{name} must be at least {least}")
+    return value

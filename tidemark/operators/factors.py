@@ -87,24 +87,35 @@ def complete(rows: DataFrame) -> Column:
 
 
 def add_labels(rows: DataFrame, horizons: tuple[int, ...] = (5, 20)) -> DataFrame:
-    """Return to the same code's index on the date `h` calendar positions on; never the h-th next row."""
+    """Return to the same code's index on the date `h` calendar positions on; never the h-th next row.
+
+    A frame over positions finds that row in the code's own sort; only the calendar is sent along.
+    """
     cal = calendar(rows)
     out = rows.join(F.broadcast(cal), "date")
     for h in horizons:
-        target = F.broadcast(cal.select((F.col("pos") - h).alias("pos"), F.col("date").alias(f"label_{h}d_end_date")))
-        then = rows.select("code", F.col("date").alias(f"label_{h}d_end_date"), F.col("tri").alias("__then"))
-        out = out.join(target, "pos", "left").join(then, ["code", f"label_{h}d_end_date"], "left").withColumn(f"fwd_return_{h}d", ratio(F.col("__then"), F.col("tri"))).drop("__then")
+        then = F.max("tri").over(W.partitionBy("code").orderBy("pos").rangeBetween(h, h))
+        out = out.withColumn(f"fwd_return_{h}d", ratio(then, F.col("tri")))
+    for h in horizons:
+        out = out.join(F.broadcast(cal.select((F.col("pos") - h).alias("pos"), F.col("date").alias(f"label_{h}d_end_date"))), "pos", "left")
     return out
 
 
-def drop_reason(horizons: tuple[int, ...] = (5, 20)) -> Column:
-    """The first rule that a row fails; NULL for a row that stays (Q4: both labels are needed)."""
+def add_history(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """Training rows (code, date) with the history row of the same code and date, history_missing where there is none."""
+    return rows.select("code", "date").join(history.withColumn("__known", F.lit(True)), ["code", "date"], "left").withColumn("history_missing", F.col("__known").isNull()).drop("__known")
+
+
+def drop_reason(horizons: tuple[int, ...] = (5, 20), history: bool = False) -> Column:
+    """The first rule that a row fails; NULL for a row that stays (Q4: both labels are needed). history: rows come from add_history."""
     known = F.lit(True)
     for name in FACTORS:
         known = known & F.col(name).isNotNull()
-    reason = F.when(~known, "feature_warmup")
+    reason = F.when(F.col("history_missing"), "feature_history_missing").when(~known, "feature_warmup") if history else F.when(~known, "feature_warmup")
     for h in horizons:
-        reason = reason.when(F.col(f"label_{h}d_end_date").isNull(), f"label_{h}d_outside").when(F.col(f"fwd_return_{h}d").isNull(), f"label_{h}d_missing")
+        reason = reason.when(F.col(f"label_{h}d_end_date").isNull(), f"label_{h}d_outside")
+        # a base of zero has a target, but no return
+        reason = reason.when(F.col(f"fwd_return_{h}d").isNull(), F.when(F.col("tri") == 0, "invalid_label_base_price").otherwise(f"label_{h}d_missing"))
     return reason
 
 
@@ -112,3 +123,10 @@ def labelled_panel(rows: DataFrame) -> DataFrame:
     """All factors, context and labels of the rows that keep both labels."""
     panel = add_labels(add_context(add_factors(total_return(valid_bars(rows)))))
     return panel.filter(drop_reason().isNull())
+
+
+def split_panel(rows: DataFrame, splits: DataFrame, name: str) -> DataFrame:
+    """Factors and labels of one split's dates, from bars up to the split's last date. splits: (date, split)."""
+    last = splits.filter(F.col("split") == name).agg(F.max("date")).first()[0]
+    dates = splits.filter(F.col("split") == name).select("date").distinct()
+    return labelled_panel(rows.filter(F.col("date") <= F.lit(last))).join(F.broadcast(dates), "date", "left_semi")

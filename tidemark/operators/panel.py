@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.normalize import limit_rate
+from tidemark.functions.normalize import first_value, limit_rate, strict_date
 
 #: Fixed value: sessions after which a security counts as listed for a year.
 MIN_LISTING = 250
@@ -97,6 +97,25 @@ def membership_events(snapshots: DataFrame, manifest: DataFrame | None = None) -
     return snapshots.select("snapshot_date", "effective_date", "code", F.lit("member").alias("event_type")).unionByName(removed)
 
 
+def normalize_snapshot(rows: DataFrame, snapshot_date: str, prefix: str, industry: list[str], classification: list[str], update: list[str]) -> DataFrame:
+    """One snapshot's constituents of an industry from raw text rows with aliased fields; a bad or repeated code is an error.
+
+    The snapshot's date is the effective one: an update date may be older than its publication.
+    """
+    has = lambda names: [F.col(n) for n in names if n in rows.columns] or [F.lit(None).cast("string")]
+    kept = rows.withColumn("__industry", F.upper(first_value(*has(industry)))).filter(F.col("__industry").startswith(prefix.upper()))
+    day = F.to_date(F.lit(snapshot_date))
+    out = kept.select(
+        day.alias("snapshot_date"), day.alias("effective_date"), F.lower(first_value(*has(["code"]))).alias("code"), first_value(*has(["code_name", "codeName"])).alias("code_name"),
+        F.lit(prefix.upper()).alias("industry_code"), F.coalesce(first_value(*has(classification)), F.lit("unknown")).alias("classification"), strict_date(first_value(*has(update))).alias("source_update_date"),
+    )
+    if not out.filter(~F.coalesce(F.col("code").rlike(r"^(sh|sz)\.\d{6}$"), F.lit(False))).isEmpty():
+        raise ValueError(f"a code of the snapshot {snapshot_date} is malformed")
+    if not out.groupBy("code").count().filter("count > 1").isEmpty():
+        raise ValueError(f"the snapshot {snapshot_date} has a code twice")
+    return out
+
+
 def check_events(snapshots: DataFrame) -> None:
     """An effective date after its snapshot, or two of one code, are errors."""
     if not snapshots.filter("effective_date > snapshot_date").isEmpty():
@@ -119,6 +138,21 @@ def point_in_time_panel(rows: DataFrame, events: DataFrame) -> DataFrame:
     return membership_asof(rows, events).filter("event_type = 'member'")
 
 
+def membership_audit(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """P5: how many rows a panel keeps, and why it drops the others."""
+    state = F.coalesce(F.col("event_type"), F.lit("before_first_event"))
+    return membership_asof(rows, events).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("codes"))
+
+
+def latest_names(*sources: DataFrame) -> DataFrame:
+    """(code, code_name) from sources (code, code_name, at) in order; a later source overrides an earlier one, within one the latest row counts."""
+    every = None
+    for i, rows in enumerate(sources):
+        one = rows.select("code", "code_name", F.struct(F.lit(i).alias("source"), F.col("at").alias("at")).alias("order"))
+        every = one if every is None else every.unionByName(one)
+    return every.filter("code_name is not null and code_name <> ''").groupBy("code").agg(F.max_by("code_name", "order").alias("code_name"))
+
+
 def allocate(n: int, ratios: list[str]) -> list[int]:
     """M1: largest remainders; ties go to the earlier split; an empty split is an error."""
     shares = [Decimal(r) for r in ratios]

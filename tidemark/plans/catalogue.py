@@ -11,12 +11,18 @@ from tidemark.operators import backtest as B
 from tidemark.operators import factors as X
 from tidemark.operators import models as M
 from tidemark.operators import panel as P
+from tidemark.operators import selection as C
 from tidemark.operators import stability as S
 from tidemark.sources import fixtures as T
 
 RATIOS = {"train": "0.70", "validation": "0.10", "test": "0.10", "final_oos": "0.10"}
 TARGET = "fwd_return_5d"
-PAIRED = ["momentum_5", "momentum_20", "volatility_20", "close_location", "rsi_14"]
+#: All features of the models.
+FEATURES = [*X.FACTORS, *X.CONTEXT]
+#: Features that differ between the codes of a day: others are uncorrelated with a centred target, but for noise of either sign.
+VARIED = [f for f in FEATURES if f not in ("market_return_1", "market_breadth_up")]
+#: Scores of the backtest grid, in place of model predictions.
+GRID = ["momentum_5", "momentum_20", "volatility_20", "close_location", "rsi_14"]
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -172,21 +178,34 @@ def q27_drop_reasons(spark, d):
 
 
 def q28_preprocess_params(spark, d):
-    fitted = M.fit_preprocessor(_panel(spark, d), PAIRED)
+    panel = _panel(spark, d).persist()
+    try:
+        fitted = M.fit_preprocessor(panel, FEATURES)
+    finally:
+        panel.unpersist()
     return rounded(spark.createDataFrame([(f, *map(float, v)) for f, v in fitted.items()], "factor string, median double, low double, high double, mean double, scale double"))
 
 
 def _standardised(spark, d):
-    panel = _panel(spark, d).withColumn("y", F.col(TARGET) - F.avg(TARGET).over(W.partitionBy("date")))
-    return M.standardise(panel, M.fit_preprocessor(panel, PAIRED))
+    panel = _panel(spark, d).withColumn("y", F.col(TARGET) - F.avg(TARGET).over(W.partitionBy("date"))).persist()
+    try:
+        fitted = M.fit_preprocessor(panel, FEATURES)
+    finally:
+        panel.unpersist()
+    return M.standardise(panel, fitted)
 
 
 def q29_standardized(spark, d):
-    return rounded(_standardised(spark, d).select("code", "date", "y", *PAIRED))
+    return rounded(_standardised(spark, d).select("code", "date", "y", *FEATURES))
+
+
+def _ranked_panel(spark, d):
+    """Features without the noise of sums in another order, which would break ties."""
+    return _panel(spark, d).withColumns({f: F.round(f, 9) for f in FEATURES})
 
 
 def _ic(spark, d):
-    return S.daily_ic(_panel(spark, d), PAIRED, TARGET)
+    return S.daily_ic(_ranked_panel(spark, d), FEATURES, TARGET)
 
 
 def q30_rank_ic_daily(spark, d):
@@ -210,7 +229,7 @@ def q33_newey_west_p(spark, d):
 
 
 def q34_factor_pairs(spark, d):
-    return rounded(S.factor_pairs(_panel(spark, d), PAIRED))
+    return rounded(S.factor_pairs(_ranked_panel(spark, d), FEATURES))
 
 
 def q35_stability(spark, d):
@@ -219,21 +238,30 @@ def q35_stability(spark, d):
     return rounded(S.stability(S.summary(ic.filter(F.col("date") < cut), ["factor"]), S.summary(ic.filter(F.col("date") >= cut), ["factor"])))
 
 
+def _gram(spark, d):
+    """Gram matrix and cross products; the panel is computed once for all passes of the fit."""
+    panel = _panel(spark, d).withColumn("y", F.col(TARGET) - F.avg(TARGET).over(W.partitionBy("date"))).persist()
+    try:
+        return M.gram(M.standardise(panel, M.fit_preprocessor(panel, FEATURES)), FEATURES, "y")
+    finally:
+        panel.unpersist()
+
+
 def q36_gram(spark, d):
-    g, c, n = M.gram(_standardised(spark, d), PAIRED, "y")
-    rows = [(PAIRED[i], PAIRED[j], float(g[i, j])) for i in range(len(PAIRED)) for j in range(len(PAIRED))] + [(PAIRED[i], "y", float(c[i])) for i in range(len(PAIRED))]
+    g, c, n = _gram(spark, d)
+    rows = [(a, b, float(g[i, j])) for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES)] + [(a, "y", float(v)) for a, v in zip(FEATURES, c, strict=True)]
     return rounded(spark.createDataFrame(rows, "a string, b string, value double"), 5)
 
 
 def q37_composite_score(spark, d):
     rows = _standardised(spark, d)
-    _, c, _ = M.gram(rows, PAIRED, "y")
-    return rounded(rows.select("code", "date", M.composite_score(PAIRED, c).alias("score")), 5)
+    _, c, _ = _gram(spark, d)
+    return rounded(rows.select("code", "date", M.composite_score(VARIED, [c[FEATURES.index(f)] for f in VARIED]).alias("score")), 5)
 
 
 def _coefficients(spark, d, fit):
-    g, c, _ = M.gram(_standardised(spark, d), PAIRED, "y")
-    return spark.createDataFrame([(f, *key, float(v)) for key, b in fit(g, c) for f, v in zip(PAIRED, b, strict=True)], "factor string, alpha double, l1 double, coefficient double")
+    g, c, _ = _gram(spark, d)
+    return spark.createDataFrame([(f, *key, float(v)) for key, b in fit(g, c) for f, v in C.listed_coefficients(FEATURES, b)], "factor string, alpha double, l1 double, coefficient double")
 
 
 def q38_ridge(spark, d):
@@ -245,13 +273,6 @@ def q39_elastic_net(spark, d):
 
 
 def q40_knn(spark, d):
-    rows = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
-    near = M.nearest(rows.filter("id % 10 = 0"), rows.filter("id % 10 <> 0"), 5)
-    predicted = M.neighbour_mean(near, rows.select(F.col("id").alias("train_id"), F.col("label").cast("double").alias("y")))
-    return rounded(near.join(predicted, "query_id").select("query_id", "train_id", "place", "prediction"), 5)
-
-
-def q40_knn_all(spark, d):
     """The ids divisible by 100 against all other rows."""
     rows = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
     near = M.nearest(rows.filter("id % 100 = 0"), rows, 6).filter("query_id <> train_id")
@@ -262,8 +283,8 @@ def q40_knn_all(spark, d):
 
 
 def q41_logistic(spark, d):
-    intercept, b = M.logistic(_standardised(spark, d).withColumn("up", (F.col("y") > 0).cast("int")), PAIRED, "up", 1e-2)
-    return spark.createDataFrame([("intercept", intercept), *zip(PAIRED, map(float, b), strict=True)], "term string, value double")
+    intercept, b = M.logistic(_standardised(spark, d).withColumn("up", (F.col("y") > 0).cast("int")), FEATURES, "up", 1e-2)
+    return spark.createDataFrame([("intercept", intercept), *zip(FEATURES, map(float, b), strict=True)], "term string, value double")
 
 
 def _probability(spark, d):
@@ -291,18 +312,53 @@ def q45_tradability(spark, d):
     return B.tradable(_ledger(spark, d)).select("date", "code", "can_buy", "can_sell")
 
 
-def _simulated(spark, d):
+def _simulated(spark, d, scores, ks, holdings, scenarios):
+    """Events of the plans of all scores by all ks (None: all codes) and holding periods."""
     bars = T.bars(spark, d)
     status = P.status_ledger(_quality(bars)).select("date", "code", "trading_status", "price_limit_status")
-    plans = None
-    for k in (5, 10):
-        one = B.schedule(_scores(spark, d), P.calendar(bars), k, 5).withColumn("run_id", F.lit(f"top{k}"))
-        plans = one if plans is None else plans.unionByName(one)
-    return B.simulate(bars.join(status, ["date", "code"]), plans, 5)
+    cal, plans = P.calendar(bars), None
+    for holding in holdings:
+        for name, rows in scores.items():
+            for k in ks:
+                one = B.schedule(rows, cal, k, holding).select(F.lit(f"{name}_{'all' if k is None else f'top{k}'}_{holding}d").alias("plan_id"), F.lit(holding).alias("holding"), "execution_date", "code", "place")
+                plans = one if plans is None else plans.unionByName(one)
+    return B.simulate(bars.join(status, ["date", "code"]), plans, cal, scenarios)
 
 
 def q46_simulate(spark, d):
-    return rounded(_simulated(spark, d), 2)
+    events = _simulated(spark, d, {"reversal": _scores(spark, d)}, (5, 10), (5,), {"base": B.Costs()})
+    return rounded(B.nav_of(events), 2)
+
+
+def q50_backtest_grid(spark, d):
+    """Metrics of 3 cost scenarios by 2 holding periods by 5 scores and the equally weighted universe, over the second half of all dates."""
+    bars = T.bars(spark, d)
+    rows = X.add_factors(_tri(spark, d))
+    middle = P.calendar(bars).agg(F.percentile_approx("date", 0.5)).first()[0]
+    rows = rows.filter(F.col("date") > F.lit(middle)).persist()
+    scored = {f: rows.select("date", "code", F.col(f).alias("score")).filter("score is not null") for f in GRID}
+    universe = {"universe": rows.select("date", "code", F.lit(0.0).alias("score"))}
+    status = P.status_ledger(_quality(bars)).select("date", "code", "trading_status", "price_limit_status")
+    cal, plans = P.calendar(bars), None
+    for holding in (5, 20):
+        for name, k, score in [*((f, 10, s) for f, s in scored.items()), ("universe", None, universe["universe"])]:
+            one = B.schedule(score, cal, k, holding).select(F.lit(f"{name}_{holding}d").alias("plan_id"), F.lit(holding).alias("holding"), "execution_date", "code", "place")
+            plans = one if plans is None else plans.unionByName(one)
+    events = B.simulate(bars.join(status, ["date", "code"]), plans.persist(), cal).persist()
+    return rounded(B.portfolio_metrics(B.nav_of(events), B.trades_of(events), B.Costs().capital), 4)
+
+
+def _made_trades(spark, d):
+    """A trade per day of the made value series, whose size follows the day's bars."""
+    day = T.bars(spark, d).groupBy("date").agg(F.sum("volume").alias("v"))
+    gross = F.col("v") % 50
+    return day.select(F.lit("made").alias("run_id"), "date", gross.alias("gross"), (gross * 3e-4).alias("commission"), (gross * 5e-4).alias("stamp_tax"), (gross * 1e-3).alias("slippage"))
+
+
+def q51_portfolio_metrics(spark, d):
+    """A22, B6 on the made series: half of the value is invested, every fifth day rebalances."""
+    nav = _made_nav(spark, d).withColumn("invested", F.col("nav") / 2).withColumn("rebalanced", (F.dayofmonth("date") % 5 == 0).cast("int"))
+    return rounded(B.portfolio_metrics(nav, _made_trades(spark, d), 100.0), 5)
 
 
 def _made_nav(spark, d):
@@ -319,8 +375,8 @@ def q48_latest_name(spark, d):
     return T.table(spark, d, "part").groupBy(F.col("p_brand").alias("code")).agg(F.max_by("p_name", "p_partkey").alias("code_name"))
 
 
-def q49_model_selection(spark, d):
-    """Thresholds by balanced accuracy over the walk-forward test rows, first best wins."""
+def q49_thresholds(spark, d):
+    """Thresholds by balanced accuracy over the walk-forward test rows, first best wins."""
     rows = P.walk_forward(_panel(spark, d), "label_5d_end_date").filter("role = 'test'").select(F.col("return_rank").alias("score"), (F.col(TARGET) > 0).cast("long").alias("up"))
     grid = F.explode(F.array(*[F.lit(t) for t in M.THRESHOLDS])).alias("threshold")
     said = (F.col("score") >= F.col("threshold")).cast("int")
@@ -329,6 +385,49 @@ def q49_model_selection(spark, d):
     return rounded(scored.withColumn("place", F.row_number().over(W.orderBy(F.round("balanced", 9).desc_nulls_last(), "threshold")).cast("long")))
 
 
+def _walk(spark, d):
+    return C.centred(P.walk_forward(_panel(spark, d), "label_5d_end_date"), TARGET)
+
+
+def q52_candidates(spark, d):
+    """Out-of-fold metrics of the composite, 5 ridge and 12 elastic net candidates, and which of a family is chosen."""
+    walk = _walk(spark, d).persist()
+    scores = C.candidates(walk, VARIED, ("factor_composite", "ridge", "elastic_net")).persist()
+    metrics = S.score_metrics(scores, ["candidate"], "centred").persist()
+    chosen = C.select_models(metrics).select("candidate", F.lit(True).alias("chosen"))
+    return rounded(metrics.join(chosen, "candidate", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))), 5)
+
+
+def q53_signal_metrics(spark, d):
+    """A12, A14, M18 on two raw features over the validation split of the panel: daily rank correlation and spread, increments, gate."""
+    panel = C.centred(_panel(spark, d), TARGET)
+    rows = panel.select("date", "code", "y", "centred", F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), c.alias("score")) for n, c in (("factor_composite", F.col("momentum_5")), ("reversal", -F.col("momentum_5")), ("shape", F.col("close_location")))])).alias("s"))
+    metrics = S.score_metrics(rows.select("s.candidate", "date", "code", "s.score", "y", "centred"), ["candidate"], "centred")
+    return rounded(C.gate(metrics).join(metrics.select("candidate", "trading_dates", "rows", "positive_spread_ratio", "top_bps", "bottom_bps", "mae_bps", "rmse_bps"), "candidate"), 5)
+
+
+def q54_direction_summary(spark, d):
+    return rounded(S.direction_summary(_probability(spark, d), 0.5))
+
+
+def q55_membership_audit(spark, d):
+    return P.membership_audit(T.bars(spark, d).select("code", "date"), P.membership_events(T.memberships(spark, d)))
+
+
+def q56_daily_rows(spark, d):
+    """Text rows of bars, a fault in some; valid rows by date and code."""
+    bars = T.bars(spark, d)
+    kind = F.dayofmonth("date")
+    money = lambda c: F.col(c).cast("decimal(18,4)").cast("string")
+    texts = {
+        "date": F.date_format("date", "yyyy/M/d"), "code": F.concat(F.lit("SH"), F.lpad(F.regexp_extract("code", r"(\d+)", 1), 6, "0")), **{c: money(c) for c in ("high", "low", "close", "preclose", "amount")},
+        "open": F.when(kind == 3, "n/a").otherwise(F.concat(F.floor("open").cast("string"), F.lit(".25"))), "turn": money("turn"), "pctChg": F.when(kind == 4, "1e").otherwise(F.lit("0.5")), "volume": F.when(kind == 5, "1.5").otherwise(F.format_number("volume", 0)),
+        "tradestatus": F.lit("1"), "isST": F.lit("0"), "adjustflag": F.lit("3"), "code_name": F.col("code"), "industry_code": F.lit(" j66 "), "industry_name": F.when(kind != 6, F.lit("x")), "adjustment": F.lit("None"), "data_source": F.lit("s"),
+    }
+    typed = N.normalize_daily(bars.select(*[c.alias(n) for n, c in texts.items()]))
+    return typed.filter("valid").select("date", "code", F.col("open").cast("double").alias("open"), "volume", "industry_code", "adjustment")
+
+
 QUERIES = {name: value for name, value in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()} | {
     "q19_momentum": _some_factors("return_1", "momentum_5", "momentum_20", "momentum_60"),
     "q20_volatility": _some_factors("volatility_20", "volatility_60"),

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-FACTORS = ["return_1", "momentum_5", "momentum_20", "momentum_60", "volatility_20", "volatility_60", "sma_ratio_5_20", "sma_ratio_20_60", "volume_ratio_5_20", "amount_ratio_5_20", "turnover_mean_20", "intraday_range", "close_location", "open_gap", "amihud_20", "rsi_14", "turnover_1"]
-CONTEXT = ["market_return_1", "market_breadth_up", "relative_return_1", "return_rank"]
-PAIRED = ["momentum_5", "momentum_20", "volatility_20", "close_location", "rsi_14"]
+from tidemark.operators.factors import CONTEXT, FACTORS
+from tidemark.plans.catalogue import FEATURES, VARIED
 
 
 def r(names, places=6):
@@ -65,7 +64,7 @@ labelled as (select p.*, c5.date as label_5d_end_date, t5.tri / nullif(p.tri, 0)
 
 KNOWN = " and ".join(f"{f} is not null" for f in FACTORS)
 PANEL = FACTOR + context("factored") + labels("contexted") + f", panel as (select * from labelled where {KNOWN} and fwd_return_5d is not null and fwd_return_20d is not null)"
-LONG = PANEL + ", long as (" + " union all ".join(f"select date, code, '{f}' as factor, {f} as x, fwd_return_5d as y from panel" for f in PAIRED) + ")"
+LONG = PANEL + ", long as (" + " union all ".join(f"select date, code, '{f}' as factor, round({f}, 9) as x, fwd_return_5d as y from panel" for f in FEATURES) + ")"
 IC = (
     LONG
     + """, ranked as (select date, factor, rank() over (partition by date, factor order by x) - 1 + (count(*) over (partition by date, factor, x) - 1) / 2.0 as rx,
@@ -73,8 +72,8 @@ IC = (
 ic as (select * from (select date, factor, count(*) as n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) as ic from ranked group by all) where n >= 3 and ic is not null)
 """
 )
-SUMMARY = "count(*) as days, avg(ic) as mean_ic, median(ic) as median_ic, stddev_pop(ic) as std_ic, case when stddev_pop(ic) > 1e-20 then avg(ic) / stddev_pop(ic) end as ir, case when stddev_pop(ic) > 1e-20 then avg(ic) / stddev_pop(ic) end * sqrt(252) as annual_ir, avg(case when ic > 1e-12 then 1.0::double else 0.0 end) as positive_ratio"
-SUMMED = ["mean_ic", "median_ic", "std_ic", "ir", "annual_ir", "positive_ratio"]
+SUMMARY = "count(*) as days, avg(ic) as mean_ic, median(ic) as median_ic, stddev_pop(ic) as std_ic, case when stddev_pop(ic) > 1e-20 then avg(ic) / stddev_pop(ic) end as ir, case when stddev_pop(ic) > 1e-20 then avg(ic) / stddev_pop(ic) end * sqrt(252) as annual_ir, avg(case when ic > 1e-12 then 1.0::double else 0.0 end) as positive_ratio, avg(abs(ic)) as mean_abs_ic"
+SUMMED = ["mean_ic", "median_ic", "std_ic", "ir", "annual_ir", "positive_ratio", "mean_abs_ic"]
 
 MONEY = "cast({} as decimal(18,4))"
 LEDGER = (
@@ -111,13 +110,13 @@ def _fitted(f):
 
 FITTED = (
     PANEL
-    + ", q as (select " + ", ".join(f"quantile_cont({f}, 0.5) as {f}_median, quantile_cont({f}, 0.01) as {f}_low, quantile_cont({f}, 0.99) as {f}_high" for f in PAIRED) + " from panel)"
-    + ", fit as (select " + ", ".join(map(_fitted, PAIRED)) + " from panel cross join q)"
+    + ", q as (select " + ", ".join(f"quantile_cont({f}, 0.5) as {f}_median, quantile_cont({f}, 0.01) as {f}_low, quantile_cont({f}, 0.99) as {f}_high" for f in FEATURES) + " from panel)"
+    + ", fit as (select " + ", ".join(map(_fitted, FEATURES)) + " from panel cross join q)"
 )
 STANDARD = (
     FITTED
     + ", std as (select p.code, p.date, fwd_return_5d - avg(fwd_return_5d) over (partition by p.date) as y, "
-    + ", ".join(f"(least(greatest(p.{f}, {f}_low), {f}_high) - {f}_mean) / {f}_scale as {f}" for f in PAIRED)
+    + ", ".join(f"(least(greatest(p.{f}, {f}_low), {f}_high) - {f}_mean) / {f}_scale as {f}" for f in FEATURES)
     + " from panel p cross join fit)"
 )
 PROBABILITY = PANEL + ", prob as (select date, code, return_rank as score, cast(fwd_return_5d > 0 as bigint) as up, fwd_return_5d as y from panel)"
@@ -130,11 +129,12 @@ walk as (select w.*, fold, start_date, end_date, case when date between start_da
 
 
 def _pairs():
-    ranks = ", ".join(f"rank() over (partition by date order by {f}) - 1 + (count(*) over (partition by date, {f}) - 1) / 2.0 as {f}" for f in PAIRED)
+    ranks = ", ".join(f"rank() over (partition by date order by {f}) - 1 + (count(*) over (partition by date, {f}) - 1) / 2.0 as {f}" for f in FEATURES)
+    near = ", ".join(f"round({f}, 9) as {f}" for f in FEATURES)
     daily = " union all ".join(
-        f"select date, '{a}' as factor_a, '{b}' as factor_b, covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) as r from rk group by date having count(*) >= 3" for i, a in enumerate(PAIRED) for b in PAIRED[i + 1 :]
+        f"select date, '{a}' as factor_a, '{b}' as factor_b, covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0) as r from rk group by date having count(*) >= 3" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]
     )
-    return f"with {PANEL}, rk as (select date, {ranks} from panel), pr as ({daily}) select factor_a, factor_b, count(*) as days, round(avg(r), 6) + 0.0 as mean_r, round(avg(abs(r)), 6) + 0.0 as mean_abs_r, round(avg(case when r > 1e-12 then 1.0::double else 0.0 end), 6) + 0.0 as positive_ratio from pr where r is not null group by all"
+    return f"with {PANEL}, nr as (select date, {near} from panel), rk as (select date, {ranks} from nr), pr as ({daily}) select factor_a, factor_b, count(*) as days, round(avg(r), 6) + 0.0 as mean_r, round(avg(abs(r)), 6) + 0.0 as mean_abs_r, round(avg(case when r > 1e-12 then 1.0::double else 0.0 end), 6) + 0.0 as positive_ratio from pr where r is not null group by all"
 
 
 def _hit(c, t):
@@ -180,9 +180,9 @@ ORACLES = {
     "q24_context": f"with {BARS}{context('bars')} select code, date, {r(CONTEXT)} from contexted",
     "q25_factor_panel": f"with {FACTOR}{context('factored')} select code, date, {r(FACTORS + CONTEXT)} from contexted where {KNOWN}",
     "q26_forward_labels": f"with {TRI}{labels('tri')} select code, date, label_5d_end_date, label_20d_end_date, {r(['fwd_return_5d', 'fwd_return_20d'])} from labelled",
-    "q27_drop_reasons": f"with {FACTOR}{labels('factored')} select case when not ({KNOWN}) then 'feature_warmup' when label_5d_end_date is null then 'label_5d_outside' when fwd_return_5d is null then 'label_5d_missing' when label_20d_end_date is null then 'label_20d_outside' when fwd_return_20d is null then 'label_20d_missing' else 'kept' end as reason, count(*) as n from labelled group by reason",
-    "q28_preprocess_params": f"with {FITTED} " + " union all ".join(f"select '{f}' as factor, round({f}_median, 6) + 0.0 as median, round({f}_low, 6) + 0.0 as low, round({f}_high, 6) + 0.0 as high, round({f}_mean, 6) + 0.0 as mean, round({f}_scale, 6) + 0.0 as scale from fit" for f in PAIRED),
-    "q29_standardized": f"with {STANDARD} select code, date, {r(['y', *PAIRED])} from std",
+    "q27_drop_reasons": f"with {FACTOR}{labels('factored')} select case when not ({KNOWN}) then 'feature_warmup' when label_5d_end_date is null then 'label_5d_outside' when fwd_return_5d is null then case when tri = 0 then 'invalid_label_base_price' else 'label_5d_missing' end when label_20d_end_date is null then 'label_20d_outside' when fwd_return_20d is null then case when tri = 0 then 'invalid_label_base_price' else 'label_20d_missing' end else 'kept' end as reason, count(*) as n from labelled group by reason",
+    "q28_preprocess_params": f"with {FITTED} " + " union all ".join(f"select '{f}' as factor, round({f}_median, 6) + 0.0 as median, round({f}_low, 6) + 0.0 as low, round({f}_high, 6) + 0.0 as high, round({f}_mean, 6) + 0.0 as mean, round({f}_scale, 6) + 0.0 as scale from fit" for f in FEATURES),
+    "q29_standardized": f"with {STANDARD} select code, date, {r(['y', *FEATURES])} from std",
     "q30_rank_ic_daily": f"with {IC} select date, factor, n, {r(['ic'])} from ic",
     "q31_ic_summary": f"with {IC}, s as (select factor, {SUMMARY} from ic group by factor) select factor, days, {r(SUMMED)} from s",
     "q32_ic_yearly": f"with {IC}, s as (select factor, year(date) as year, {SUMMARY} from ic group by all) select factor, year, days, {r(SUMMED)} from s",
@@ -191,14 +191,10 @@ ORACLES = {
         t as (select factor, avg(ic) as mean_ic from ic group by factor) select factor, m as days, round(mean_ic, 6) + 0.0 as mean_ic, round(case when m >= 2 and s / m > 1e-20 then mean_ic / sqrt(s / m) end, 6) + 0.0 as t_stat from s join t using (factor)""",
     "q34_factor_pairs": _pairs(),
     "q35_stability": f"""with {IC}, s as (select factor, avg(case when date < date '2000-01-01' then ic end) as train_ic, avg(case when date >= date '2000-01-01' then ic end) as validation_ic from ic group by factor)
-        select factor, {r(['train_ic', 'validation_ic'])}, train_ic * validation_ic > 0 as consistent, row_number() over (order by abs(validation_ic) desc, factor) as place from s where train_ic is not null and validation_ic is not null""",
-    "q36_gram": f"with {STANDARD} " + " union all ".join([f"select '{a}' as a, '{b}' as b, round(avg({a} * {b}), 5) + 0.0 as value from std" for a in PAIRED for b in [*PAIRED, "y"]]),
-    "q37_composite_score": f"with {STANDARD}, sg as (select {', '.join(f'sign(sum({f} * y)) as s_{f}' for f in PAIRED)} from std) select code, date, round(({' + '.join(f's_{f} * {f} / 5' for f in PAIRED)}) / sqrt(5), 5) + 0.0 as score from std cross join sg",
-    "q40_knn": """with n as (select q.vec_id as query_id, t.vec_id as train_id, t.label as y, list_sum(list_transform(list_zip(q.embedding::double[], t.embedding::double[]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2 from embeddings q, embeddings t where q.vec_id % 10 = 0 and t.vec_id % 10 <> 0),
-        k as (select *, row_number() over (partition by query_id order by d2, train_id) as place from n qualify place <= 5),
-        p as (select query_id, coalesce(avg(case when d2 <= 1e-24 then y end), sum(y / sqrt(greatest(d2, 1e-24))) / sum(1 / sqrt(greatest(d2, 1e-24)))) as prediction from k group by query_id)
-        select query_id, train_id, place, round(prediction, 5) + 0.0 as prediction from k join p using (query_id)""",
-    "q40_knn_all": """with n as (select q.vec_id as query_id, t.vec_id as train_id, t.label as y, list_sum(list_transform(list_zip(q.embedding::double[], t.embedding::double[]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2 from embeddings q, embeddings t where q.vec_id % 100 = 0 and t.vec_id <> q.vec_id),
+        select factor, {r(['train_ic', 'validation_ic'])}, train_ic * validation_ic > 0 as consistent, row_number() over (order by round(abs(validation_ic), 12) desc, factor) as place from s where train_ic is not null and validation_ic is not null""",
+    "q36_gram": f"with {STANDARD} " + " union all ".join([f"select '{a}' as a, '{b}' as b, round(avg({a} * {b}), 5) + 0.0 as value from std" for a in FEATURES for b in [*FEATURES, "y"]]),
+    "q37_composite_score": f"with {STANDARD}, sg as (select {', '.join(f'sign(sum({f} * y)) as s_{f}' for f in VARIED)} from std) select code, date, round(({' + '.join(f's_{f} * {f} / {len(VARIED)}' for f in VARIED)}) / sqrt({len(VARIED)}), 5) + 0.0 as score from std cross join sg",
+    "q40_knn": """with n as (select q.vec_id as query_id, t.vec_id as train_id, t.label as y, list_sum(list_transform(list_zip(q.embedding::double[], t.embedding::double[]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2 from embeddings q, embeddings t where q.vec_id % 100 = 0 and t.vec_id <> q.vec_id),
         k as (select *, row_number() over (partition by query_id order by d2, train_id) as place from n qualify place <= 5),
         p as (select query_id, coalesce(avg(case when d2 <= 1e-24 then y end), sum(y / sqrt(greatest(d2, 1e-24))) / sum(1 / sqrt(greatest(d2, 1e-24)))) as prediction from k group by query_id)
         select query_id, train_id, place, round(prediction, 5) + 0.0 as prediction from k join p using (query_id)""",
@@ -216,7 +212,36 @@ ORACLES = {
         s as (select 'made' as run_id, count(*) as days, arg_max(nav, date) / 100 - 1 as total_return, pow(arg_max(nav, date) / 100, 252.0::double / count(*)) - 1 as annual_return, stddev_pop(r) as sd, avg(r) as mr, min(dd) as max_drawdown from v)
         select run_id, days, round(total_return, 5) + 0.0 as total_return, round(annual_return, 5) + 0.0 as annual_return, round(sd * sqrt(252), 5) + 0.0 as volatility, round(case when sd > 1e-12 then mr / sd * sqrt(252) end, 5) + 0.0 as sharpe, round(max_drawdown, 5) + 0.0 as max_drawdown, round(case when max_drawdown < -1e-12 then annual_return / abs(max_drawdown) end, 5) + 0.0 as calmar from s""",
     "q48_latest_name": "select p_brand as code, arg_max(p_name, p_partkey) as code_name from part group by p_brand",
-    "q49_model_selection": f"""with {FOLDS}, t as (select return_rank as score, cast(fwd_return_5d > 0 as bigint) as up from walk where role = 'test'), m as ("""
+    "q49_thresholds": f"""with {FOLDS}, t as (select return_rank as score, cast(fwd_return_5d > 0 as bigint) as up from walk where role = 'test'), m as ("""
     + " union all ".join(f"select {t}::double as threshold, ({_hit(1, t)} + {_hit(0, t)}) / 2 as balanced from t" for t in (0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65))
     + ") select threshold, round(balanced, 6) + 0.0 as balanced, row_number() over (order by round(balanced, 9) desc nulls last, threshold) as place from m",
+    "q51_portfolio_metrics": f"""with {BARS}, g as (select date, 1 + avg(close / open - 1) / 1000 as g, sum(volume) as v from bars group by date), nav as (select date, 100.0::double * product(g) over (order by date rows unbounded preceding) as nav, v % 50 as gross from g),
+        v as (select *, nav / coalesce(lag(nav) over (order by date), 100.0) - 1 as r, least(nav / greatest(max(nav) over (order by date rows unbounded preceding), 100.0) - 1, 0.0) as dd from nav),
+        s as (select count(*) as days, arg_max(nav, date) as last, avg(nav) as mn, stddev_pop(r) as sd, avg(r) as mr, min(dd) as dd, sum(gross) as gross, cast(sum(case when day(date) % 5 = 0 then 1 else 0 end) as bigint) as rebalance_count from v),
+        m as (select *, pow(last / 100, 252.0::double / days) - 1 as yearly from s)
+        select 'made' as run_id, days, round(last / 100 - 1, 5) + 0.0 as total_return, round(yearly, 5) + 0.0 as annual_return, round(sd * sqrt(252), 5) + 0.0 as volatility, round(case when sd > 1e-12 then mr / sd * sqrt(252) end, 5) + 0.0 as sharpe, round(dd, 5) + 0.0 as max_drawdown,
+        round(case when dd < -1e-12 then yearly / abs(dd) end, 5) + 0.0 as calmar, 0.5::double as average_exposure, rebalance_count, round(last, 5) + 0.0 as final_nav, days as trade_count, round(gross / mn, 5) + 0.0 as turnover_ratio, round(gross / mn * 252 / days, 5) + 0.0 as annualized_turnover,
+        round(gross * 3e-4, 5) + 0.0 as total_commission, round(gross * 5e-4, 5) + 0.0 as total_stamp_tax, round(gross * 1e-3, 5) + 0.0 as total_slippage, round(gross * 1.8e-3, 5) + 0.0 as total_costs, round(gross * 1.8e-3 / mn * 10000, 5) + 0.0 as costs_bps_of_nav from m""",
+    "q53_signal_metrics": f"""with {PANEL}, cn as (select *, fwd_return_5d - avg(fwd_return_5d) over (partition by date) as centred from panel),
+        lg as (select date, code, c as candidate, case c when 'factor_composite' then momentum_5 when 'reversal' then -momentum_5 else close_location end as score, fwd_return_5d as y, centred from cn, (select unnest(['factor_composite', 'reversal', 'shape']) as c)),
+        rk as (select *, rank() over (partition by candidate, date order by score) - 1 + (count(*) over (partition by candidate, date, score) - 1) / 2.0::double as rx, rank() over (partition by candidate, date order by y) - 1 + (count(*) over (partition by candidate, date, y) - 1) / 2.0::double as ry from lg),
+        di as (select candidate, date, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) as ic from rk group by all),
+        mi as (select candidate, avg(ic) as mean_ic from di where ic is not null group by all),
+        gr as (select candidate, date, score, avg(y) as m, count(*) as c from lg group by all),
+        bk as (select *, greatest(1, ceil(sum(c) over (partition by candidate, date) * 0.2::double)) as k, coalesce(sum(c) over (partition by candidate, date order by score rows between unbounded preceding and 1 preceding), 0) as lo, coalesce(sum(c) over (partition by candidate, date order by score desc rows between unbounded preceding and 1 preceding), 0) as hi from gr),
+        sd as (select candidate, date, sum(c) as n, sum(greatest(0, least(c, k - hi)) * m / k) as top, sum(greatest(0, least(c, k - lo)) * m / k) as bottom from bk group by all),
+        ms as (select candidate, count(*) as trading_dates, cast(sum(n) as bigint) as rows, avg(top - bottom) * 1e4 as spread, avg(case when top - bottom > 0 then 1.0::double else 0.0 end) as positive_spread_ratio, avg(top) * 1e4 as top_bps, avg(bottom) * 1e4 as bottom_bps from sd group by all),
+        er as (select candidate, avg(abs(centred - score)) * 1e4 as mae_bps, sqrt(avg((centred - score) * (centred - score))) * 1e4 as rmse_bps from lg group by all),
+        j as (select * from ms join mi using (candidate) join er using (candidate)), bs as (select mean_ic as bi, spread as bsp from j where candidate = 'factor_composite')
+        select candidate, round(mean_ic, 5) + 0.0 as mean_daily_rank_ic, round(spread, 5) + 0.0 as mean_spread_bps, round(mean_ic - bi, 5) + 0.0 as more_ic, round(spread - bsp, 5) + 0.0 as more_spread,
+        candidate <> 'factor_composite' and mean_ic > 0 and spread > 0 and mean_ic > bi and spread > bsp as advances, row_number() over (order by mean_ic desc nulls last, spread desc nulls last, candidate) as place,
+        trading_dates, rows, round(positive_spread_ratio, 5) + 0.0 as positive_spread_ratio, round(top_bps, 5) + 0.0 as top_bps, round(bottom_bps, 5) + 0.0 as bottom_bps, round(mae_bps, 5) + 0.0 as mae_bps, round(rmse_bps, 5) + 0.0 as rmse_bps from j cross join bs""",
+    "q54_direction_summary": f"""with {PROBABILITY}, dy as (select date, avg(case when (score >= 0.5) = (up = 1) then 1.0::double else 0.0 end) as a, {_hit(1, 0.5)} as s, {_hit(0, 0.5)} as t from prob group by date),
+        dm as (select count(*) as trading_dates, avg(a) as mean_daily_accuracy, avg((s + t) / 2) as mean_daily_balanced from dy),
+        tt as (select count(*) as n, avg(case when (score >= 0.5) = (up = 1) then 1.0::double else 0.0 end) as accuracy, greatest(avg(up), 1 - avg(up)) as majority_accuracy, {_hit(1, 0.5)} as sensitivity, {_hit(0, 0.5)} as specificity, avg((score - up) * (score - up)) as brier,
+          avg(case when score >= 0.5 then 1.0::double else 0.0 end) as predicted_up_rate, avg(up) as actual_up_rate from prob)
+        select n, {r(['accuracy', 'majority_accuracy', 'sensitivity', 'specificity', 'brier', 'predicted_up_rate', 'actual_up_rate'])}, round((sensitivity + specificity) / 2, 6) + 0.0 as balanced, round(accuracy - majority_accuracy, 6) + 0.0 as accuracy_vs_majority, trading_dates, {r(['mean_daily_accuracy', 'mean_daily_balanced'])} from tt cross join dm""",
+    "q55_membership_audit": f"""with {EVENTS}, e as (select b.code, b.date, coalesce(event_type, 'before_first_event') as state from bars b left join events e on e.code = b.code and snapshot_date <= b.date qualify row_number() over (partition by b.code, b.date order by snapshot_date desc nulls last, effective_date desc, event_type desc) = 1)
+        select state, count(*) as n, count(distinct code) as codes from e group by state""",
+    "q56_daily_rows": f"""with {BARS} select date, 'sh.' || lpad(regexp_extract(code, '(\\d+)', 1), 6, '0') as code, floor(open) + 0.25::double as open, cast(volume as bigint) as volume, 'J66' as industry_code, 'none' as adjustment from bars where day(date) not in (3, 4, 5, 6)""",
 }

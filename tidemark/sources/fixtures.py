@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tidemark.functions.normalize import parse_number
+
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
@@ -32,6 +35,42 @@ def read_snapshot_dates(spark: SparkSession, path: str) -> DataFrame:
     return text.select(item).select(F.to_date(F.coalesce(F.get_json_object("item", "$.snapshot_date"), F.col("item"))).alias("snapshot_date"))
 
 
+#: A bar's numeric fields, and its fields in the order of files.
+BAR_NUMBERS = ["open", "high", "low", "close", "preclose", "volume", "amount", "adjustflag", "turn", "tradestatus", "pctChg", "isST"]
+BAR_COLUMNS = [
+    "date", "code", "code_name", "industry_code", "industry_name", "open", "high", "low", "close", "preclose", "volume", "amount", "turn", "pctChg", "tradestatus", "isST", "adjustflag", "adjustment", "data_source",
+]
+
+
+def normalize_bars(parts: list[DataFrame], constituents: DataFrame, constants: dict[str, str]) -> DataFrame:
+    """Raw bars of all codes with numbers (what is none becomes NULL), names and constants, by date and code.
+
+    A code with two names is an error.
+    """
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    names = constituents.select("code", "code_name").distinct()
+    if not names.groupBy("code").count().filter("count > 1").isEmpty():
+        raise ValueError("a code has several names")
+    typed = every.withColumns({c: parse_number(F.col(c).cast("string"), commas=False) for c in BAR_NUMBERS})
+    named = typed.join(names, "code", "left").withColumns({k: F.lit(v) for k, v in constants.items()})
+    return named.select(*BAR_COLUMNS).orderBy("date", "code")
+
+
+def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
+    """One CSV file with a byte order mark and a header; a column that is not among the fields is an error.
+
+    For small results: the rows come to the driver one partition at a time.
+    """
+    if extra := set(rows.columns) - set(fields):
+        raise ValueError(f"columns {sorted(extra)} are not among the fields")
+    with open(path, "w", encoding="utf-8-sig", newline="") as target:
+        writer = csv.DictWriter(target, fields, lineterminator="\n")
+        writer.writeheader()
+        writer.writerows(r.asDict() for r in rows.toLocalIterator())
+
+
 def write_split(df: DataFrame, path: str) -> None:
     """One folder per split, rows in date order inside a file."""
     df.sortWithinPartitions("split", "date").write.mode("overwrite").partitionBy("split").parquet(path)
