@@ -506,11 +506,12 @@ def test_quality_votes_equal_an_unblocked_version(spark, docs):
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
     want = {}
     for (i, *_), row in zip(corpus(), own @ vectors.T, strict=True):
-        near = np.sort(row)[::-1][: Q.NEIGHBOURS][-1]
-        weight = np.where(row >= near, np.maximum(row, 0).astype(float) ** 16, 0)
-        want[i] = (weight * values).sum() / weight.sum() if weight.sum() > 1e-12 else values.mean()
-    assert len(got) == len(texts) + 1
+        near = np.sort(row)[::-1][Q.NEIGHBOURS - 1]
+        if (row >= near - 1e-6).sum() == Q.NEIGHBOURS:  # without a tie for the last place
+            weight = np.where(row >= near, np.maximum(row, 0).astype(float) ** 16, 0)
+            want[i] = (weight * values).sum() / weight.sum() if weight.sum() > 1e-12 else values.mean()
+    assert len(got) == len(texts) + 1 and len(want) > 40
     for i, score in got:
-        assert score == pytest.approx(want[i], abs=0.02)
+        assert i not in want or score == pytest.approx(want[i], abs=1e-3)
     kept = Q.keep_good(docs, labels, 0.5, learn_from=F.col("doc_id") % 3 != 0)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, score in got if score >= 0.5}

@@ -307,8 +307,8 @@ def _components(rows: DataFrame, width: int, percent: int, buckets: int | None)
     sizes = materialise(able.filter(F.col("lists") >= least_common(F.floor(F.col("n") * (percent - 1) / 100))).select("id", "n"), "met_sizes")
     met = sizes.select("id")
     # half of the lists are enough here: a group's members may share the others with another of them
-    best = star.filter((F.col("a") != F.col("b")) & (F.col("lists") * 2 >= F.col("need"))).groupBy("b").agg(F.max(F.struct("lists", (-F.col("a")).alias("a"))).alias("best"))
-    star = materialise(_sized(best.select((-F.col("best.a")).alias("a"), "b"), sizes), "star_sized")
+    best = star.filter((F.col("a") != F.col("b")) & (F.col("lists") * 2 >= F.col("need"))).groupBy("b").agg(F.max(F.struct("lists", F.bitwise_not("a").alias("a"))).alias("best"))
+    star = materialise(_sized(best.select(F.bitwise_not("best.a").alias("a"), "b"), sizes), "star_sized")
     ids = materialise(ids_of(star), "star_ids")
     fragments = materialise(_fragments(rows, ids, width), "star_fragments")
     links = materialise(verified(star, fragments, percent), "star_links")
