@@ -515,3 +515,50 @@ def test_quality_votes_equal_an_unblocked_version(spark, docs):
         assert i not in want or score == pytest.approx(want[i], abs=1e-3)
     kept = Q.keep_good(docs, labels, 0.5, learn_from=F.col("doc_id") % 3 != 0)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, score in got if score >= 0.5}
+
+
+def test_pipeline_against_its_steps(spark, tmp_path):
+    """run() over a small folder: lines, near-duplicates and ids by brute force and the library, on what each step before kept."""
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline
+    from tidemark.llm.mixing import mix
+    from tidemark.llm.neighbour_quality import score_quality
+    from tidemark.llm.queries import held_out
+
+    rows = [(i, t, lang, s, n) for i, t, lang, s, n, *_ in corpus()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 9 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    scores = by_id(score_quality(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), learn_from=~held_out()))
+    kept = {r[0]: r for r in rows if scores[r[0]].score >= corpus_pipeline.LEAST_SCORE}
+
+    def roots(sets, percent=80):
+        root = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                if sets[a] and sets[b] and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    root = [root[b] if r == root[a] else r for r in root]
+        return [root.index(r) == i for i, r in enumerate(root)]
+
+    lines = [(i, k, x.strip(" \t\n\r\x0b\f")) for i, r in kept.items() for k, x in enumerate((r[1] or "").split("\n"))]
+    lines = [x for x in lines if x[2]]
+    stays = roots([frozenset(x[2][j : j + 5] for j in range(max(1, len(x[2]) - 4))) for x in lines])
+    gone = {(i, k) for (i, k, _), s in zip(lines, stays, strict=True) if not s}
+    texts = {i: r[1] and "\n".join(x for k, x in enumerate(r[1].split("\n")) if (i, k) not in gone) for i, r in kept.items()}
+
+    def grams(text):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    alone = roots([grams(texts[i]) for i in texts])
+    left = spark.createDataFrame([(i, t, *kept[i][2:]) for (i, t), a in zip(texts.items(), alone, strict=True) if a], schema)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter()
+    for r in mix(left).collect():
+        ids = library.encode(texts[r.doc_id] or "")
+        want[r.doc_id, tuple(ids), library.decode(ids)] += r.copies
+    got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +want and 0 < len(kept) < len(rows) and gone and not all(alone)

@@ -263,21 +263,28 @@ def _cut(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit, the end id last)."""
+def id_kind(tokenizer_file: str, end_id: int) -> np.dtype:
+    """Two bytes an id between the steps, if that is enough for the vocabulary."""
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+
+
+def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str, kind: np.dtype) -> DataFrame:
+    """doc_id, ids (of that kind, the end id last)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = unit_cache(tokenizer_file)
         for batch in K.slices(batches, most=2 << 20):
             ids, offsets = cache.encode(*K.utf8(batch.column("text")))
-            ids = np.insert(ids, offsets[1:], np.uint32(end_id)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _cut(ids.view(np.uint8), 4 * (np.diff(offsets) + 1))], names=["doc_id", "ids"])
+            ids = np.insert(ids, offsets[1:], np.uint32(end_id)).astype(kind)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _cut(ids.view(np.uint8), kind.itemsize * (np.diff(offsets) + 1))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(encoded: DataFrame) -> np.ndarray:
+def id_counts(encoded: DataFrame, kind: np.dtype) -> np.ndarray:
     """How often each id occurs, over all documents; the driver gets one row per id of the vocabulary."""
 
     @lean
@@ -285,7 +292,7 @@ def id_counts(encoded: DataFrame) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = _concatenated(batch.column("ids"))
-            found = np.bincount(data.view("<u4"))
+            found = np.bincount(data.view(kind))
             total = np.pad(total, (0, max(0, len(found) - len(total))))
             total[: len(found)] += found
         used = np.flatnonzero(total)
@@ -311,9 +318,10 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, id_col:
     small_batches(spark)
     path = path or new_path(spark, "tokens")
     encoded_at = new_path(spark, "token_ids")
-    tokenised(docs, tokenizer_file, end_id, id_col, text_col).write.option("compression", "lz4").parquet(encoded_at)
+    kind = id_kind(tokenizer_file, end_id)
+    tokenised(docs, tokenizer_file, end_id, id_col, text_col, kind).write.option("compression", "zstd").parquet(encoded_at)
     encoded = spark.read.schema("doc_id long, ids binary").parquet(encoded_at)
-    counts = id_counts(encoded)
+    counts = id_counts(encoded, kind)
     by_rank = np.lexsort((np.arange(len(counts)), -counts)).astype(np.uint32)
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.empty(len(counts), np.uint32)
@@ -327,7 +335,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, id_col:
         part, position = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = _concatenated(batch.column("ids"))
-            ranked, offsets = ranks.value[data.view("<u4")], offsets // 4
+            ranked, offsets = ranks.value[data.view(kind)], offsets // kind.itemsize
             n = np.diff(offsets)
             control, coded, blocks, sizes = pack(ranked, n)
             starts = position + np.cumsum(n) - n
@@ -338,7 +346,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, id_col:
             )
 
     # rows that repeat an id follow each other by a hash of their ids, so reruns agree
-    encoded.orderBy("doc_id", F.xxhash64("ids")).mapInArrow(run, FILES).write.option("compression", "lz4").parquet(f"{path}/files")
+    encoded.orderBy("doc_id", F.xxhash64("ids")).mapInArrow(run, FILES).write.option("compression", "zstd").parquet(f"{path}/files")
     discard(spark, encoded_at)
     return path
 
