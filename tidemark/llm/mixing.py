@@ -6,8 +6,9 @@ expected words stay the same, until one of them is 0 or 1. Chunks of FAN documen
 most one undecided document, and those are folded again, level by level, as a reduction tree over (source, chunk). A
 chunk has about FAN rows whatever its source's share of the table, so a source with a third of all rows is folded by
 as many tasks as the rest. Heavy documents are folded first, so what stays undecided is light as a rule. The root's one
-undecided document is rounded to the nearer end: a source's taken words differ from the target by at most half its
-largest document, and mostly by far less.
+undecided document is rounded to the nearer end, and documents that the root itself decided are turned, heavy ones first,
+where that makes up for it: a source's taken words differ from the target by at most half its largest document, and
+mostly by a few words.
 
 Random numbers are hashes of ids, so reruns agree whatever the partitioning.
 
@@ -91,6 +92,21 @@ def _fold(units: Column, level: int, seed: int) -> Column:
     return F.aggregate(units, start, step)
 
 
+def _balance(left: Column, done: Column) -> Column:
+    """The decided units, some turned (heavy ones first) where that makes up for rounding the unit left open to its nearer end."""
+    unit = "struct<ord:double,key:binary,weight:double,p:double>"
+    excess = F.coalesce((F.when(left["p"] >= 0.5, 1.0).otherwise(0.0) - left["p"]) * left["weight"], F.lit(0.0))
+
+    def step(state: Column, u: Column) -> Column:
+        change = F.when(u["p"] >= 0.5, -u["weight"]).otherwise(u["weight"])
+        turn = F.abs(state["e"] + change) < F.abs(state["e"])
+        turned = F.struct(u["ord"].alias("ord"), u["key"].alias("key"), u["weight"].alias("weight"), F.when(turn, 1 - u["p"]).otherwise(u["p"]).alias("p"))
+        return F.struct(F.when(turn, state["e"] + change).otherwise(state["e"]).alias("e"), F.concat(state["out"], F.array(turned)).alias("out"))
+
+    start = F.struct(excess.alias("e"), F.array().cast(f"array<{unit}>").alias("out"))
+    return F.aggregate(F.sort_array(done), start, step)["out"]
+
+
 def pivotal_round(units: DataFrame, largest: int, fan: int = FAN, seed: int = 17) -> DataFrame:
     """(grp, key binary, weight > 0, p in (0, 1)) with unique keys to (grp, key, taken 0 or 1).
 
@@ -107,7 +123,10 @@ def pivotal_round(units: DataFrame, largest: int, fan: int = FAN, seed: int = 17
     decided = None
     for level in range(levels):
         folded = level_units.groupBy("grp", "chunk").agg(F.sort_array(F.collect_list("u")).alias("us")).select("grp", "chunk", _fold(F.col("us"), level, seed).alias("f"))
-        folded = materialise(folded.select("grp", "chunk", "f.open", "f.done"), f"pivotal_{level}")
+        folded = folded.select("grp", "chunk", "f.open", "f.done")
+        if level == levels - 1:  # one chunk a group is left
+            folded = folded.withColumn("done", _balance(F.col("open"), F.col("done")))
+        folded = materialise(folded, f"pivotal_{level}")
         done = folded.select("grp", F.explode("done").alias("u")).select("grp", "u.key", F.col("u.p").cast("int").alias("taken"))
         decided = done if decided is None else decided.unionAll(done)
         level_units = folded.filter("open is not null").select("grp", F.floor(F.col("chunk") / fan).cast("long").alias("chunk"), F.col("open").alias("u"))
