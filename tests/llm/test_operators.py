@@ -528,6 +528,9 @@ def test_pipeline_against_its_steps(spark, tmp_path):
     from tidemark.llm.queries import held_out
 
     rows = [(i, t, lang, s, n) for i, t, lang, s, n, *_ in corpus()]
+    # the words of one document, but in lines like no other's
+    words = rows[51][1].split(" ")
+    rows.append((200, "\n".join(" ".join(words[k * len(words) // 3 : (k + 1) * len(words) // 3]) for k in range(3)), "en", "s1", 1))
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame(rows, schema)
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
