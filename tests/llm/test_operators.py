@@ -565,3 +565,42 @@ def test_pipeline_against_its_steps(spark, tmp_path):
         want[r.doc_id, tuple(ids), library.decode(ids)] += r.copies
     got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == +want and 0 < len(kept) < len(rows) and gone and not all(alone)
+
+
+def test_line_signatures_in_little_memory():
+    """Hashes and bands of many lines: the values of a plain loop, and few bytes a character at once."""
+    import tracemalloc
+
+    from tidemark.llm import line_minhash as L
+    from tidemark.llm import textkit as K
+
+    rnd = random.Random(9)
+    lines = ["".join(rnd.choice("abcdefgh ijklé") for _ in range(rnd.choice((3, 30, 70, 110, 300, 4000)))) for _ in range(60)]
+    raw = [x.encode() for x in lines]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
+    hashes, cuts = L.shingles(data, ends - [len(x) for x in raw], ends, wide=False)
+    assert np.diff(cuts).tolist() == [max(1, len(x) - 4) for x in lines]
+    row, kind, values = L.signatures(hashes, cuts)
+    for r, k, got in zip(row.tolist(), kind.tolist(), values, strict=True):
+        own = [int(x) for x in hashes[cuts[r] : cuts[r + 1]]]
+        if k:
+            best = [min([x for x in own if (x >> 16) * L.SIZE >> 16 == i], default=None) for i in range(L.SIZE)]
+            gaps = [next(g for g in range(L.SIZE) if best[i - g] is not None) for i in range(L.SIZE)]
+            want = [(best[i - g] + g * 0x9E3779B9) % 2**32 for i, g in enumerate(gaps)]
+        else:
+            want = [min((x * int(a) + int(b)) % 2**32 for x in own) for a, b in zip(*L._TURNS, strict=True)]
+        assert got.tolist() == want
+    row, keys = L.bands(hashes, cuts)
+    joined = (values.reshape(-1, L.BANDS, L.ROWS).astype(np.uint64) * L._JOIN).sum(axis=2, dtype=np.uint64)
+    salt = K.mix((np.arange(L.BANDS) + kind[:, None] * L.BANDS).astype(np.uint64) + np.uint64(1))
+    assert (keys == K.mix(joined + salt).reshape(-1)).all()
+    data = np.frombuffer("".join(rnd.choice("abcdefgh ijkl") for _ in range(400_000)).encode(), np.uint8)
+    starts = np.arange(0, len(data), 400)
+    tracemalloc.start()
+    hashes, cuts = L.shingles(data, starts, starts + 400, wide=False)
+    assert tracemalloc.get_traced_memory()[1] < 14 * len(data)
+    tracemalloc.stop()
+    keys = np.sort(K.mix(np.arange(1000, dtype=np.uint64)))
+    batch = L._ranged([keys, keys.view(np.int64), (keys % np.uint64(2)).astype(np.uint8)], 7)
+    assert batch.column("bucket").to_pylist() == list(range(7))
+    assert all((got == want).all() for got, want in zip(L._columns(batch.column("payload"), L.BAND), (keys, keys.view(np.int64), keys % np.uint64(2)), strict=True))

@@ -54,8 +54,10 @@ BAND = np.dtype([("key", "<u8"), ("node", "<i8"), ("more", "u1")])
 PLACE = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("line", "<i4")])
 VOTE = np.dtype([("row", "<i8"), ("lead", "<i8")])
 GONE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("line", "<i4")])
-MEMBER = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("best", "<i8"), ("n", "<i8")])
+MEMBER = np.dtype([("key", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("best", "<i8"), ("n", "<u4")])
 MEETING = np.dtype([("row", "<i8"), ("chief", "<i8"), ("own", "u1"), ("n", "<i8")])
+#: Characters, and shingles, that are worked on at once: their arrays stay in a core's cache.
+NEAR, CLOSE = 1 << 15, 1 << 16
 _NONE = np.uint32(2**32 - 1)
 _CHARS = np.random.default_rng(31).integers(1, 2**31, (2, SHINGLE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _TURNS = np.random.default_rng(23).integers(1, 2**31, (2, SIZE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -96,13 +98,40 @@ def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 def characters(data: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, ...]:
     """Code points of UTF-8 bytes, and byte places as places among them; of bytes that are not UTF-8 each counts as one."""
     if not len(data) or data.max() < 128:
-        return data.astype(np.uint32), *places
+        return data, *places
     try:
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     except UnicodeDecodeError:
-        return data.astype(np.uint32), *places
-    firsts = np.flatnonzero((data & 0xC0) != 0x80)
-    return points, *[np.searchsorted(firsts, x) for x in places]
+        return data, *places
+    before = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum(data.view(np.int8) > -65, out=before[1:])
+    return points, *[before[x].astype(np.int64) for x in places]
+
+
+def _spread(points: np.ndarray) -> np.ndarray:
+    spread = points.astype(np.uint32)
+    spread *= np.uint32(0x9E3779B1)
+    spread ^= spread >> np.uint32(15)
+    spread *= np.uint32(0x85EBCA77)
+    spread ^= spread >> np.uint32(13)
+    return spread
+
+
+def _windows(points: np.ndarray, turns: int) -> list[np.ndarray]:
+    """Hashes of the SHINGLE characters from each place on, of each turn; places without so many, and the end, have 0."""
+    found = [np.zeros(len(points) + 1, np.uint32) for _ in range(turns)]
+    last = len(points) - SHINGLE + 1
+    for a in range(0, last, NEAR):
+        b = min(a + NEAR, last)
+        spread = _spread(points[a : b + SHINGLE - 1])
+        part = np.empty(b - a, np.uint32)
+        for turn, out in enumerate(found):
+            whole = out[a:b]
+            for i in range(SHINGLE):
+                whole += np.multiply(spread[i : i + b - a], _CHARS[turn, i], out=part)
+            whole ^= np.right_shift(whole, np.uint32(16), out=part)
+            whole *= np.uint32(0xC2B2AE3D)
+    return found
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -112,28 +141,39 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wide: bool
     short = np.flatnonzero(n < 1)
     n = np.maximum(n, 1)
     offsets = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(offsets[-1])
-    at += np.repeat(starts - offsets[:-1], n)
-    spread = points * np.uint32(0x9E3779B1)
-    spread ^= spread >> np.uint32(15)
-    spread *= np.uint32(0x85EBCA77)
-    spread ^= spread >> np.uint32(13)
+    places = list(zip(starts.tolist(), (starts + n).tolist(), strict=True))
     found = []
-    for turn in range(1 + wide):
-        whole = np.zeros(len(points) + 1, np.uint32)
-        inner = whole[: max(0, len(points) - SHINGLE + 1)]
-        for i in range(SHINGLE):
-            inner += spread[i : i + len(inner)] * _CHARS[turn, i]
-        whole ^= whole >> np.uint32(16)
-        whole *= np.uint32(0xC2B2AE3D)
-        hashes = whole[at]
+    for turn, whole in enumerate(_windows(points, 1 + wide)):
+        hashes = np.concatenate([whole[:0], *[whole[a:b] for a, b in places]])
         for k in short.tolist():  # lines of fewer characters are rare
             value = int(ends[k] - starts[k])
-            for x in spread[starts[k] : ends[k]].tolist():
+            for x in _spread(points[starts[k] : ends[k]]).tolist():
                 value = (value * 0x27D4EB2F + x * int(_CHARS[turn, 0]) + 1) & 0xFFFFFFFF
             hashes[offsets[k]] = value
         found.append(hashes)
-    return (found[0].astype(np.uint64) << np.uint64(32) | found[1]) if wide else found[0], offsets
+    if not wide:
+        return found[0], offsets
+    both = found[0].astype(np.uint64)
+    both <<= np.uint64(32)
+    both |= found[1]
+    return both, offsets
+
+
+def _fill(values: np.ndarray) -> np.ndarray:
+    """How many of each row's SIZE bins are filled; an empty bin gets what the next filled one to its left has, round the corner, changed by the distance."""
+    values = values.reshape(-1)
+    full = values != _NONE
+    filled, empty = np.flatnonzero(full), np.flatnonzero(~full)
+    ends = np.searchsorted(filled, np.arange(0, len(values) + 1, SIZE))
+    begin, ends = ends[:-1], ends[1:]
+    if len(filled) and len(empty):
+        row = empty // SIZE
+        before = empty - np.arange(len(empty))
+        round_corner = before == begin[row]
+        left = filled[np.where(round_corner, ends[row], before) - 1]
+        gap = empty - left + np.where(round_corner, SIZE, 0)
+        values[empty] = values[left] + gap.astype(np.uint32) * np.uint32(0x9E3779B9)
+    return ends - begin
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,38 +182,44 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if hashes.dtype == np.uint64:
         hashes = (hashes >> np.uint64(32)).astype(np.uint32)
     many = np.flatnonzero(n >= MANY)
-    values = np.full(len(many) * SIZE, _NONE)
     some = hashes if len(many) == len(n) else hashes[np.repeat(n >= MANY, n)]
-    bins = np.repeat(np.arange(len(many)) * SIZE, n[many])
-    bins += (some >> np.uint32(16)) * np.uint32(SIZE) >> np.uint32(16)
-    np.minimum.at(values, bins, some)
-    values = values.reshape(-1, SIZE)
-    filled = values != _NONE
+    values = np.full((len(many), SIZE), _NONE)
     bins = np.zeros(len(n), np.int64)
-    bins[many] = filled.sum(axis=1)
+    cuts = np.concatenate([[0], np.cumsum(n[many])])
+    at = 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + CLOSE, side="right")) - 1)
+        inside = some[cuts[at] : cuts[to]]
+        place = inside >> np.uint32(16)
+        place *= np.uint32(SIZE)
+        place >>= np.uint32(16)
+        place = place + np.repeat(np.arange(to - at) * SIZE, n[many[at:to]])
+        np.minimum.at(values[at:to].reshape(-1), place, inside)
+        bins[many[at:to]] = _fill(values[at:to])
+        at = to
     both = bins[many] >= MANY
-    many, values, filled = many[both], values[both], filled[both]
-    # an empty bin: the next filled one to its left, round the corner, changed by the distance
-    sparse = np.flatnonzero(~filled.all(axis=1))
-    place = np.arange(SIZE, dtype=np.int16)
-    left = np.where(filled[sparse], place, np.int16(-SIZE))
-    left = np.maximum.accumulate(np.concatenate([left - np.int16(SIZE), left], axis=1), axis=1)[:, SIZE:]
-    gap = (place - left).astype(np.uint32)
-    left += np.where(left < 0, np.int16(SIZE), np.int16(0))
-    values[sparse] = np.take_along_axis(values[sparse], left.astype(np.int64), axis=1) + gap * np.uint32(0x9E3779B9)
+    if not both.all():
+        many, values = many[both], values[both]
     few = np.flatnonzero(bins <= FEW)
     inside = hashes[np.repeat(bins <= FEW, n)]
     cuts = np.concatenate([[0], np.cumsum(n[few])])[:-1]
-    least = np.empty((len(few), SIZE), np.uint32)
+    least = np.empty((SIZE, len(few)), np.uint32)
+    turned = np.empty_like(inside)
     for i in range(SIZE if len(few) else 0):
-        least[:, i] = np.minimum.reduceat(inside * _TURNS[0, i] + _TURNS[1, i], cuts)
+        np.multiply(inside, _TURNS[0, i], out=turned)
+        turned += _TURNS[1, i]
+        np.minimum.reduceat(turned, cuts, out=least[i])
+    least = least.T
     return np.append(few, many), np.append(np.zeros(len(few), np.int64), np.ones(len(many), np.int64)), np.concatenate([least, values])
 
 
 def bands(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and band keys, BANDS for each row and kind."""
     row, kind, values = signatures(hashes, offsets)
-    joined = (values.reshape(-1, BANDS, ROWS).astype(np.uint64) * _JOIN).sum(axis=2, dtype=np.uint64)
+    values = values.reshape(-1, BANDS, ROWS)
+    joined = np.zeros(values.shape[:2], np.uint64)
+    for i in range(ROWS):
+        joined += values[:, :, i].astype(np.uint64) * _JOIN[i]
     salt = K.mix((np.arange(BANDS) + kind[:, None] * BANDS).astype(np.uint64) + np.uint64(1))
     return np.repeat(row, BANDS), K.mix(joined + salt).reshape(-1)
 
@@ -196,6 +242,27 @@ def _packed(records: np.ndarray, buckets: int, first: int = 0) -> pa.RecordBatch
     return batch if not first else batch.set_column(0, "bucket", pa.array(batch.column(0).to_numpy() + np.int32(first)))
 
 
+def _ranged(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """(bucket, payload) rows, column after column, by ranges of the key, which comes first and is in order of its leading bits."""
+    bucket = (columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    begin = np.flatnonzero(_heads(bucket))
+    cuts = np.append(begin, len(bucket)).tolist()
+    payload = [b"".join(x[a:b].tobytes() for x in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(payload, pa.binary())], names=["bucket", "payload"])
+
+
+def _columns(payloads: pa.ChunkedArray, kind: np.dtype) -> list[np.ndarray]:
+    """The columns that _ranged packed, of all payloads."""
+    found = [[] for _ in kind.names]
+    for x in payloads:
+        x, at = x.as_buffer(), 0
+        n = x.size // kind.itemsize
+        for column, name in zip(found, kind.names, strict=True):
+            column.append(np.frombuffer(x, kind[name], n, at))
+            at += n * kind[name].itemsize
+    return [np.concatenate(x) for x in found]
+
+
 def _by_part(records: np.ndarray, parts: int, kind: int) -> pa.RecordBatch:
     """(kind, part, payload) rows; a part is some rows (or nodes)."""
     part = (K.mix(np.ascontiguousarray(records["row"]).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
@@ -237,18 +304,17 @@ def posted(rows: DataFrame, buckets: int) -> DataFrame:
             yield _packed(first, buckets, buckets)
             distinct, at = np.unique(nodes, return_index=True)
             line, keys = bands(*shingles(data, starts[at], ends[at], wide=False))
+            line = line[::BANDS]
             order = np.argsort(line, kind="stable")
-            line, keys = line[order], keys[order]
+            line, keys = line[order], keys.reshape(-1, BANDS)[order].reshape(-1)
             order = _by_key(keys)
-            records = np.zeros(len(order), BAND)
-            records["key"], records["node"] = keys[order], distinct[line[order]]
-            head = _heads(records["key"])
+            keys, owner = keys[order], distinct[line[order // BANDS]]
+            head = _heads(keys)
             begin = np.flatnonzero(head)
-            members = np.diff(np.append(begin, len(records)))
-            records["more"][begin] = members > 1
-            yield _packed(records[head], buckets)
-            votes = np.empty(int((~head).sum()), VOTE)
-            votes["lead"], votes["row"] = records["node"][np.repeat(begin, members)[~head]], records["node"][~head]
+            members = np.diff(np.append(begin, len(keys)))
+            yield _ranged([keys[begin], owner[begin], (members > 1).astype(np.uint8)], buckets)
+            votes = np.empty(len(keys) - len(begin), VOTE)
+            votes["lead"], votes["row"] = owner[np.repeat(begin, members)[~head]], owner[~head]
             for kind, rest in ((_VOTES, votes), (_GONE, _gone(later))):
                 if len(rest):
                     bucket = -1 - kind - 2 * int(rest["row"][0] % buckets)
@@ -263,24 +329,26 @@ def judged(postings: DataFrame, buckets: int, parts: int) -> DataFrame:
     @lean
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        known = (BAND if bucket < buckets else PLACE) if bucket >= 0 else (VOTE, GONE)[(-1 - bucket) % 2]
+        if 0 <= bucket < buckets:
+            return pa.Table.from_batches([_by_part(led(*_columns(table.column("payload"), BAND)), parts, _VOTES)])
+        known = PLACE if bucket >= 0 else (VOTE, GONE)[(-1 - bucket) % 2]
         r = np.concatenate([np.frombuffer(x.as_buffer(), known) for x in table.column("payload")])
         if bucket < 0:
             return pa.Table.from_batches([_by_part(r, parts, (-1 - bucket) % 2)])
-        if known is PLACE:
-            first, later = _first_places(r)
-            out = np.empty(len(first), [("row", "<i8"), *PLACE.descr[1:3], ("own", "<i8"), ("line", "<i4")])
-            out["row"], out["check"], out["doc"], out["own"], out["line"] = first["key"].view(np.int64), first["check"], first["doc"], first["row"], first["line"]
-            return pa.Table.from_batches([_by_part(_gone(later), parts, _GONE), _by_part(out, parts, _FIRSTS)])
-        r = r[np.argsort(r["key"])]
-        head = _heads(r["key"])
-        alone = head & np.append(head[1:], True)[: len(r)] & (r["more"] == 0)
-        r, head = r[~alone], head[~alone]
-        begin = np.flatnonzero(head)
-        lead = np.minimum.reduceat(r["node"], begin) if len(begin) else r["node"]
-        votes = np.empty(len(r), VOTE)
-        votes["row"], votes["lead"] = r["node"], np.repeat(lead, np.diff(np.append(begin, len(r))))
-        return pa.Table.from_batches([_by_part(votes, parts, _VOTES)])
+        first, later = _first_places(r)
+        out = np.empty(len(first), [("row", "<i8"), *PLACE.descr[1:3], ("own", "<i8"), ("line", "<i4")])
+        out["row"], out["check"], out["doc"], out["own"], out["line"] = first["key"].view(np.int64), first["check"], first["doc"], first["row"], first["line"]
+        return pa.Table.from_batches([_by_part(_gone(later), parts, _GONE), _by_part(out, parts, _FIRSTS)])
+
+    def led(key: np.ndarray, node: np.ndarray, more: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        head = _heads(key[order])
+        alone = head & np.append(head[1:], True)[: len(head)] & (more[order] == 0)
+        node, begin = node[order[~alone]], np.flatnonzero(head[~alone])
+        votes = np.empty(len(node), VOTE)
+        lead = np.minimum.reduceat(node, begin) if len(begin) else node
+        votes["row"], votes["lead"] = node, np.repeat(lead, np.diff(np.append(begin, len(node))))
+        return votes
 
     return postings.groupBy("bucket").applyInArrow(run, "kind int, part int, payload binary")
 
@@ -322,9 +390,9 @@ def _lead_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(payload, pa.binary())], names=["part", "payload"])
 
 
-def line_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, check, line) of the nodes, one row each."""
-    passes = P.IdFilter(nodes, "node")
+def line_texts(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """(node, check, line, best) of the nodes of best, one row each."""
+    passes = P.IdFilter(best, "node")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +408,7 @@ def line_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(checks[first].view(np.int64)), pa.array(text, pa.binary()).cast(pa.string())], names=["node", "check", "line"])
 
     every = rows.select("text").mapInArrow(run, "node long, check long, line string")
-    return every.groupBy("node").agg(F.min(F.struct("check", "line")).alias("x")).select("node", "x.check", "x.line").join(nodes, "node", "left_semi")
+    return every.groupBy("node").agg(F.min(F.struct("check", "line")).alias("x")).select("node", "x.check", "x.line").join(best, "node").select("node", "check", "line", "best")
 
 
 def overlaps(hashes: np.ndarray, cuts: np.ndarray, percent: int, width: int = 4096) -> np.ndarray:
@@ -364,20 +432,20 @@ def overlaps(hashes: np.ndarray, cuts: np.ndarray, percent: int, width: int = 40
     return (100 + percent) * common >= percent * (sizes[:, None] + sizes[None, :]).astype(np.float32) - np.float32(0.5)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity."""
+def verified(lines: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each line (b) with its best lead (a), where their shingle sets reach the similarity; rows: node, line, best."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in K.slices(iter([whole]), text="la", most=1 << 20, rows=4096):
+            for batch in K.slices(iter([whole]), text="la", most=1 << 18, rows=4096):
                 n = batch.num_rows
                 data, offsets = K.utf8(pa.concat_arrays([batch.column("la"), batch.column("lb")]))
                 good = similar(*shingles(data, offsets[:-1], offsets[1:]), np.arange(n), np.arange(n, 2 * n), percent)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-    side = lambda c: lines.select(F.col("node").alias(c), F.col("line").alias(f"l{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+    led = lines.filter("best is not null").select(F.col("best").alias("a"), F.col("node").alias("b"), F.col("line").alias("lb"))
+    return led.join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
 def meetings(placed: DataFrame, buckets: int, parts: int) -> DataFrame:
@@ -394,23 +462,26 @@ def meetings(placed: DataFrame, buckets: int, parts: int) -> DataFrame:
             data, offsets = K.utf8(batch.column("line"))
             hashes, cuts = shingles(data, offsets[:-1], offsets[1:], wide=False)
             line, keys = bands(hashes, cuts)
-            records = np.empty(len(keys), MEMBER)
-            records["key"], records["n"] = keys, np.diff(cuts)[line]
-            for name in ("node", "comp", "best"):
-                records[name] = batch.column(name).to_numpy()[line]
-            yield P.by_bucket(records, buckets)
+            order = _by_key(keys)
+            line = line[order]
+            yield _ranged([keys[order], *[batch.column(name).to_numpy()[line] for name in ("node", "comp", "best")], np.diff(cuts).astype(np.uint32)[line]], buckets)
 
     @lean
     def mixed(table: pa.Table) -> pa.Table:
-        r = np.concatenate([np.frombuffer(x.as_buffer(), MEMBER) for x in table.column("payload")])
-        r = r[np.lexsort((r["comp"], r["key"]))]
-        begin = np.flatnonzero(_heads(r["key"]))
-        members = np.diff(np.append(begin, len(r)))
-        several = r["comp"][begin] != r["comp"][begin + members - 1]
+        key, *rest = _columns(table.column("payload"), MEMBER)
+        order = np.argsort(key)
+        begin = np.flatnonzero(_heads(key[order]))
+        members = np.diff(np.append(begin, len(key)))
+        node, comp, best = (x[order] for x in rest[:3])
+        several = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
         two = np.flatnonzero(members == 2)
-        x, y = r[begin[two]], r[begin[two] + 1]
-        several[two[(x["best"] == y["node"]) | (y["best"] == x["node"])]] = False  # compared in the first round
-        r, members = r[np.repeat(several, members)], members[several]
+        x, y = begin[two], begin[two] + 1
+        several[two[(best[x] == node[y]) | (best[y] == node[x])]] = False  # compared in the first round
+        order, members = order[np.repeat(several, members)], members[several]
+        r = np.empty(len(order), MEMBER)
+        for name, x in zip(MEMBER.names, (key, *rest), strict=True):
+            r[name] = x[order]
+        r = r[np.lexsort((r["comp"], r["key"]))]
         band = np.repeat(np.arange(len(members)), members)
         begin = np.flatnonzero(_heads(band) | _heads(r["comp"]))
         count, of = np.diff(np.append(begin, len(r))), band[begin]
@@ -491,14 +562,23 @@ def joining_links(met: DataFrame, percent: int, few: int = 8, held: int = 4096)
 def similar(hashes: np.ndarray, cuts: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs (at most 4,096) of rows of shingles reach the similarity."""
     sets = []
-    for rows in (x, y):
+    for side, rows in enumerate((x, y)):
         n = cuts[rows + 1] - cuts[rows]
-        at = np.arange(n.sum()) + np.repeat(cuts[rows] - np.cumsum(n) + n, n)
-        # the pair in the high bits of the hash: one plain sort finds the sets of all pairs
-        sets.append(K.distinct((np.repeat(np.arange(len(rows), dtype=np.uint64), n) << np.uint64(52)) | (hashes[at] >> np.uint64(12))))
-    both = np.sort(np.concatenate(sets))
-    common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(x))
-    union = np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=len(x)) - common
+        if len(rows) and (rows[1:] - rows[:-1] == 1).all():
+            inside = hashes[cuts[rows[0]] : cuts[rows[-1] + 1]]
+        else:
+            inside = hashes[np.arange(n.sum()) + np.repeat(cuts[rows] - np.cumsum(n) + n, n)]
+        # the pair in the high bits of the hash, the side in the lowest: one plain sort finds the sets of all pairs
+        inside = inside >> np.uint64(12) & ~np.uint64(1)
+        inside |= np.repeat((np.arange(len(rows), dtype=np.uint64) << np.uint64(52)) | np.uint64(side), n)
+        sets.append(inside)
+    both = np.concatenate(sets)
+    both.sort()
+    both = both[_heads(both)]
+    shared = (both[1:] ^ both[:-1]) == 1
+    pair = (both >> np.uint64(52)).astype(np.int64)
+    common = np.bincount(pair[1:][shared], minlength=len(x))
+    union = np.bincount(pair, minlength=len(x)) - common
     return 100 * common >= percent * union
 
 
@@ -523,11 +603,11 @@ def spanning(comp: np.ndarray, good: np.ndarray) -> np.ndarray:
 def line_components(rows: DataFrame, votes: DataFrame, percent: int, buckets: int, parts: int) -> DataFrame:
     """(node, check, root) of the lines that are similar to another line; rows: text."""
     best = materialise(best_leads(votes), "line_best")
-    lines = materialise(line_texts(rows, best.select("node")), "line_texts")
+    lines = materialise(line_texts(rows, best), "line_texts")
     free_shuffles(rows.sparkSession)
-    links = materialise(verified(best.filter("best is not null").select(F.col("best").alias("a"), F.col("node").alias("b")), lines, percent), "line_links")
+    links = materialise(verified(lines, percent), "line_links")
     labels = materialise(components(links), "line_labels")
-    placed = lines.join(best, "node").join(labels, "node", "left").select("node", "line", F.coalesce("root", "node").alias("comp"), F.coalesce("best", "node").alias("best"))
+    placed = lines.join(labels, "node", "left").select("node", "line", F.coalesce("root", "node").alias("comp"), F.coalesce("best", "node").alias("best"))
     placed = materialise(placed, "line_placed")
     drop(best, links)
     met = materialise(meetings(placed, buckets, parts), "line_groups").withColumnRenamed("node", "__node")
